@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.llm.fingerprint import compare_edited
 from matchloom.llm.neardup import near_duplicates
+from matchloom.llm.packing import harmonic_pack
+
+#: The public vocabulary that the packing query counts tokens with.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,3 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles; links at 100 * intersection >= 80 * union."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, num=80, den=100)
+
+
+@query
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens; an id 1 ends each document."""
+    return harmonic_pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
