@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchloom.llm.fingerprint import compare_edited
 from matchloom.llm.neardup import near_duplicates
 from matchloom.llm.packing import harmonic_pack
+from matchloom.llm.topk import exact_topk
 
 #: The public vocabulary that the packing query counts tokens with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -42,3 +44,26 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components become floor(256 * x); every fiftieth vector asks for its 5 best."""
+    raw = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors = raw.where(sound).select("vec_id", F.transform("e", lambda x: F.floor(x * 256).cast("double")).alias("v"))
+    return exact_topk(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+ORACLE["op1_ball_tree_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
