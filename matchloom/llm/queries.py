@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.fingerprint import compare_edited
+from matchloom.llm.mixing import mix_sources
 from matchloom.llm.neardup import near_duplicates
 from matchloom.llm.packing import harmonic_pack
 from matchloom.llm.topk import exact_topk
@@ -67,3 +68,37 @@ r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op6_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 5, 2, 1 in turn share 150 % of all words; no source over twice its size."""
+    return mix_sources(table(spark, sf_dir, "documents"), 1.5, 2.0, [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op6_hash_threshold_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM s),
+r AS (SELECT *, source_size * 2.0::DOUBLE / weight AS ratio FROM w),
+l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+      - coalesce(sum(source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2.0::DOUBLE)
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r),
+t AS (
+  SELECT source, source_size,
+    least(coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1) * weight, source_size * 2.0::DOUBLE), source_size * 2.0::DOUBLE) AS target FROM l),
+f AS (
+  SELECT *, CAST(floor(target) AS BIGINT) AS budget, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) // source_size END AS full_times FROM t),
+b AS (
+  SELECT d.doc_id, d.size, f.source_size, f.target, f.full_times, f.budget - f.full_times * f.source_size AS rest,
+    CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS BIGINT) AS upto,
+    CAST(sum(d.size) OVER (PARTITION BY d.source, d.h) AS BIGINT) AS same
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(full_times * size + CASE WHEN upto <= rest THEN size WHEN upto - same >= rest THEN 0 ELSE size * (rest - upto + same) // same END AS BIGINT) AS taken
+FROM b
+"""
