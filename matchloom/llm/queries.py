@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.fingerprint import compare_edited
+from matchloom.llm.license_scan import NOTICES, PHRASES, scan_licenses
 from matchloom.llm.mixing import mix_sources
 from matchloom.llm.neardup import near_duplicates
 from matchloom.llm.packing import harmonic_pack
@@ -102,3 +103,37 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(full_times * size + CASE WHEN upto <= rest THEN size WHEN upto - same >= rest THEN 0 ELSE size * (rest - upto + same) // same END AS BIGINT) AS taken
 FROM b
 """
+
+
+@query
+def op9_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _templates_sql() -> str:
+    rows = [("base", *p) for p in PHRASES] + [("notice", *n) for n in NOTICES]
+    return ", ".join(f"({i}, '{kind}', '{label}', '{text}')" for i, (kind, text, label) in enumerate(rows))
+
+
+ORACLE["op9_license_diagonals"] = rf"""
+WITH t AS (SELECT *, string_split(text, ' ') AS tw FROM (VALUES {_templates_sql()}) x(template, kind, label, text)),
+tg AS (SELECT template, kind, label, len(tw) - 1 AS n_grams, q - 1 AS q, tw[q] || ' ' || tw[q + 1] AS gram FROM t, unnest(range(1, len(tw))) r(q)),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT k, p - 1 AS p, w[p] || ' ' || w[p + 1] AS gram FROM d, unnest(range(1, len(w))) r(p)),
+h AS (SELECT DISTINCT k, template, kind, label, n_grams, p - q AS diagonal, q FROM g JOIN tg USING (gram)),
+v AS (SELECT k, template, kind, label, n_grams, diagonal, list(q) AS qs FROM h GROUP BY ALL),
+i AS (
+  SELECT *, sum(CASE WHEN diagonal - before <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY k, template ORDER BY diagonal) AS island
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY k, template ORDER BY diagonal) AS before FROM v)),
+s AS (
+  SELECT k, template, kind, label, n_grams, island, len(list_distinct(flatten(list(qs)))) / n_grams AS share,
+    list(diagonal) FILTER (len(qs) = n_grams) AS exact FROM i GROUP BY k, template, kind, label, n_grams, island),
+f AS (
+  SELECT k, flatten(list(exact) FILTER (kind = 'base' AND exact IS NOT NULL)) AS places, max(share) AS score,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 'base' AND exact IS NOT NULL) AS own,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact IS NOT NULL OR kind = 'notice' AND share >= 0.75) AS every FROM s GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_base,
+  CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+  coalesce(own, '') AS base_labels, coalesce(every, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN f USING (k)
+"""
