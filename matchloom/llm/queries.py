@@ -14,6 +14,7 @@ from matchloom.llm.mixing import mix_sources
 from matchloom.llm.neardup import near_duplicates
 from matchloom.llm.packing import harmonic_pack
 from matchloom.llm.topk import exact_topk
+from matchloom.llm.urlfilter import host_of, judge_urls
 
 #: The public vocabulary that the packing query counts tokens with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -137,3 +138,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0)
   coalesce(own, '') AS base_labels, coalesce(every, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN f USING (k)
 """
+
+
+#: (host, path, verdict) of the url query, and the host labels whose pages make up its list of blocked URLs.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+SPAM_LABELS = "adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm"
+
+
+@query
+def op4_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rules, then the list of all URLs that known spam hosts serve."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    spam = pages.select("url").where(host_of(F.col("url")).rlike(rf"(^|\.)({SPAM_LABELS})\."))
+    return judge_urls(pages, rules, spam).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+ORACLE["op4_blocked_bloom_urls"] = rf"""
+WITH u AS (
+  SELECT row_number() OVER () AS k, page_id, url,
+    translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*[^?#]*\?([^#]*)', 1) AS query FROM pages),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '')
+    || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_sort(kept), '&') END AS canonical_url
+  FROM (SELECT *, list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=&]*|gclid|fbclid|ref)(=|$)')) AS kept FROM u)),
+listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, '(^|\.)({SPAM_LABELS})\.') AND canonical_url <> ''),
+r AS (SELECT * FROM (VALUES {", ".join(str(r) for r in URL_RULES)}) x(h, p, v)),
+fit AS (
+  SELECT k, h || p AS rule, v, row_number() OVER (PARTITION BY k ORDER BY len(h || p) DESC, len(h) DESC) AS n
+  FROM c JOIN r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN l.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  l.canonical_url IS NOT NULL AS listed
+FROM c LEFT JOIN (SELECT * FROM fit WHERE n = 1) USING (k) LEFT JOIN listed l ON l.canonical_url = c.canonical_url AND c.host <> ''
+"""
