@@ -14,6 +14,7 @@ from matchloom.llm.mixing import mix_sources
 from matchloom.llm.neardup import near_duplicates
 from matchloom.llm.packing import harmonic_pack
 from matchloom.llm.topk import exact_topk
+from matchloom.llm.toxicity import score_toxicity, train_toxicity
 from matchloom.llm.urlfilter import host_of, judge_urls
 from matchloom.llm.warc import audit, manifest, warc_record
 
@@ -213,3 +214,11 @@ SELECT key AS page_id, file_no,
   length AS record_length, hash AS record_sha256, status, (SELECT hash FROM tops WHERE n = 1 ORDER BY level LIMIT 1) AS root_sha256
 FROM m
 """
+
+
+@query
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on a bounded sample of ``labels``, score all documents; ``toxic`` marks grade 1 and above."""
+    documents = table(spark, sf_dir, "documents")
+    model = train_toxicity(documents, table(spark, sf_dir, "labels"))
+    return score_toxicity(documents, model).withColumn("toxic", (F.col("grade") >= 1).cast("int"))
