@@ -13,6 +13,7 @@ from matchloom.llm.license_scan import NOTICES, PHRASES, scan_licenses
 from matchloom.llm.mixing import mix_sources
 from matchloom.llm.neardup import near_duplicates
 from matchloom.llm.packing import harmonic_pack
+from matchloom.llm.pii import find_pii, train_pii
 from matchloom.llm.topk import exact_topk
 from matchloom.llm.toxicity import score_toxicity, train_toxicity
 from matchloom.llm.urlfilter import host_of, judge_urls
@@ -222,3 +223,10 @@ def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = train_toxicity(documents, table(spark, sf_dir, "labels"))
     return score_toxicity(documents, model).withColumn("toxic", (F.col("grade") >= 1).cast("int"))
+
+
+@query
+def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train the field on a bounded sample, run it over all documents."""
+    documents = table(spark, sf_dir, "documents")
+    return find_pii(documents, train_pii(documents))
