@@ -51,34 +51,22 @@ def water_filled_targets(sources: DataFrame, budget_share: float, cap: float, we
         "source", "source_size", F.least(F.coalesce(F.col("final") * F.col("weight"), F.col("source_size") * F.lit(float(cap))), F.col("source_size") * F.lit(float(cap))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, budget_share: float = 1.5, cap: float = 2.0, weights: list[int] | None = None, id_col: str = "doc_id",
-                text_col: str = "text", source_col: str = "source", extra: list[str] | None = None) -> DataFrame:
-    """How many words of every document the mix takes.
+def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, DIGITS)
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), digits.alias("digits")]
 
-    Returns ``doc_id, size, source, source_size, target, taken`` and the columns named in ``extra``: ``taken`` is a whole
-    multiple of ``size``, but for the one document of a source (or those with its hash) at which the budget ends.
-    No document is taken more than ``ceil(cap)`` times, and each source's taken words are its target, rounded down.
 
-    * null source: a source of its own, last in order; null text and text without words: size 0, taken 0;
-    * null id: hashed as such; repeated rows share their hash, and so are taken alike, in proportion at the threshold;
-    * empty table: no rows. Reruns and other partitionings give the same: the hash is md5 of the id.
-    """
-    extra = extra or []
-    digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, DIGITS)
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), digits.alias("digits"), *extra), "sized")
-    sources = materialize(water_filled_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), budget_share, cap, weights or [5, 2, 1])
+def mix_thresholds(sized: DataFrame, budget_share: float, cap: float, weights: list[int]) -> tuple[DataFrame, bool]:
+    """``of, source_size, target, full, threshold, left, tokens``, a row a source, from ``source, size, digits``; and whether to broadcast it."""
+    sources = materialize(water_filled_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), budget_share, cap, weights)
                           .withColumn("budget", F.floor("target")).withColumn("full", F.coalesce(F.try_divide("budget", "source_size").cast("long"), F.lit(0)))
                           .withColumn("rest", F.col("budget") - F.col("full") * F.col("source_size")), "sources")
     small = sources.count() <= BROADCAST_SOURCES
-
-    def per_source(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
-
     # Thresholds: the digits fixed so far, and what is left of the budget for the documents that begin with them.
     marks = sources.select("source", F.lit("").alias("prefix"), F.col("rest").alias("left"))
     for at in range(1, DIGITS + 1, LEVEL):
         named = marks.select(F.col("source").alias("s"), "prefix", "left")
-        inside = sized.join(per_source(named), F.col("source").eqNullSafe(F.col("s")) & F.col("digits").startswith(F.col("prefix")))
+        inside = sized.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("s")) & F.col("digits").startswith(F.col("prefix")))
         tokens = inside.groupBy("source", "prefix", "left", F.substring("digits", at, LEVEL).alias("bucket")).agg(F.sum("size").alias("tokens"))
         upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
         running = tokens.withColumn("upto", upto).where("upto > left")
@@ -86,7 +74,42 @@ def mix_sources(docs: DataFrame, budget_share: float = 1.5, cap: float = 2.0, we
         marks = materialize(first.select("source", F.concat("prefix", "b.bucket").alias("prefix"), F.col("b.left").alias("left"), F.col("b.tokens").alias("tokens")), "marks")
     limits = sources.join(marks.select(F.col("source").alias("s"), F.col("prefix").alias("threshold"), "left", "tokens"), F.col("source").eqNullSafe(F.col("s")), "left") \
         .select(F.col("source").alias("of"), "source_size", "target", "full", "threshold", "left", "tokens")
+    return limits, small
+
+
+def _with_taken(sized: DataFrame, limits: DataFrame, small: bool) -> DataFrame:
     taken = F.when(F.col("threshold").isNull() | (F.col("digits") > F.col("threshold")), 0).when(F.col("digits") < F.col("threshold"), F.col("size")) \
         .otherwise(F.floor(F.col("size").cast("decimal(20,0)") * F.col("left") / F.col("tokens")).cast("long"))
-    return sized.join(per_source(limits), F.col("source").eqNullSafe(F.col("of")), "left").select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("full") * F.col("size") + taken).alias("taken"), *extra)
+    return sized.join(F.broadcast(limits) if small else limits, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("taken", F.col("full") * F.col("size") + taken)
+
+
+def mix_sources(docs: DataFrame, budget_share: float = 1.5, cap: float = 2.0, weights: list[int] | None = None, id_col: str = "doc_id",
+                text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How many words of every document the mix takes.
+
+    Returns ``doc_id, size, source, source_size, target, taken``: ``taken`` is a whole multiple of ``size``, but for
+    the one document of a source (or those with its hash) at which the budget ends. No document is taken more
+    than ``ceil(cap)`` times, and each source's taken words are its target, rounded down.
+
+    * null source: a source of its own, last in order; null text and text without words: size 0, taken 0;
+    * null id: hashed as such; repeated rows share their hash, and so are taken alike, in proportion at the threshold;
+    * empty table: no rows; other columns are not read. Reruns and other partitionings give the same: the hash is md5 of the id.
+    """
+    sized = materialize(docs.select(*_named(docs, id_col, text_col, source_col)), "sized")
+    limits, small = mix_thresholds(sized, budget_share, cap, weights or [5, 2, 1])
+    return _with_taken(sized, limits, small).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def draw_mix(docs: DataFrame, budget_share: float = 1.5, cap: float = 2.0, weights: list[int] | None = None, id_col: str = "doc_id",
+             text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as the mix takes it, with all of its columns.
+
+    Rows are whole: the document at which a source's budget ends is taken once more if that is nearer to the
+    target. Texts are scanned twice and never shuffled while there are few sources. Documents that the mix
+    doesn't take, those without words among them, are left out.
+    """
+    sized = materialize(docs.select(*_named(docs, id_col, text_col, source_col)).drop("doc_id"), "sized")
+    limits, small = mix_thresholds(sized, budget_share, cap, weights or [5, 2, 1])
+    rows = docs.select(F.struct("*").alias("_row"), *_named(docs, id_col, text_col, source_col)[1:])
+    times = F.round(F.try_divide("taken", "size")).cast("int")
+    return _with_taken(rows, limits, small).where(times >= 1).select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("_row.*")

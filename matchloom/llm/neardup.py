@@ -243,3 +243,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest id; all columns stay.
+
+    Of rows with the same id one stays, that with the smallest text. Rows with null ids all stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_matchloom_id")).distinct()
+    key = F.col(id_col).cast("long")
+    left = docs.join(gone, key == F.col("_matchloom_id"), "left_anti")
+    repeated = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(key.alias("_matchloom_id")).agg(F.count("*").alias("_matchloom_n")).where("_matchloom_n > 1").select("_matchloom_id"), "repeated")
+    single = left.join(repeated, key == F.col("_matchloom_id"), "left_anti")
+    several = left.join(repeated, key == F.col("_matchloom_id"), "left_semi").select(key.alias("_matchloom_id"), F.struct(F.col(text_col).alias("_t"), F.struct("*").alias("_row")).alias("_r"))
+    one = several.groupBy("_matchloom_id").agg(F.min_by("_r", F.coalesce("_r._t", F.lit(""))).alias("_r")).select("_r._row.*")
+    return single.unionByName(one)

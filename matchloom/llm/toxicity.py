@@ -188,3 +188,15 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     ddl = f"doc_id {types['doc_id']}, " + (f"_kept {types['_kept']}, " if keep else "") + "n_words long, p_toxic double, severity double, grade int"
     out = source.mapInArrow(run, ddl)
     return out.select("doc_id", *(F.col("_kept")[k].alias(k) for k in keep), "n_words", "p_toxic", "severity", "grade")
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", grade: int = 1) -> DataFrame:
+    """``docs`` without the rows whose text reaches ``grade`` with a probability of one half; all columns stay."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [sum(x >= 0.5 for x in model.score(t)[1]) < grade for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
