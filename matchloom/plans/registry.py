@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.plans import base, text_queries  # noqa: F401
+from matchloom.plans import base, ingest_queries, text_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict:
