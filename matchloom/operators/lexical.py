@@ -27,17 +27,28 @@ def words(text: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
 
 
-def unigrams_and_bigrams(text: Column) -> Column:
-    """Words that aren't stop words, and each two that follow each other without them."""
-    w = words(text)
-    return F.concat(w, F.transform(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))
+def with_terms(docs: DataFrame, text: str = "text", out: str = "_t") -> DataFrame:
+    """``docs`` with all unigrams and bigrams of a text: words that aren't stop words, and each two that follow each other without them.
 
+    The lambda names no column: an expression from outside would be worked out once for each element wherever the optimizer
+    puts it in place of its name.
+    """
+    w = F.col("_w")
+    bigrams = F.array_compact(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return docs.withColumn("_w", words(F.col(text))).withColumn(out, F.concat(w, bigrams)).drop("_w")
+
+
+def with_tokens(docs: DataFrame, text: str = "text", out: str = "_t") -> DataFrame:
+    return docs.withColumn(out, tokenize(F.col(text)))
 
-def term_counts(docs: DataFrame, keys: list[str], terms: Column, hashed: bool = True) -> DataFrame:
-    """``keys, term, tf`` of each document."""
-    own = docs.select(*keys, terms.alias("_t")).repartition(*keys)
+
+def term_counts(docs: DataFrame, keys: list[str], hashed: bool = True) -> DataFrame:
+    """``keys, term, tf`` of each document, from its terms in ``_t``."""
+    own = docs.select(*keys, "_t").repartition(*keys)
     term = F.xxhash64("term") if hashed else F.col("term")
-    return own.select(*keys, F.explode("_t").alias("term")).select(*keys, term.alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    # Of a plain column Spark would first filter by its size, and work the terms out twice.
+    terms = F.coalesce("_t", F.array().cast("array<string>"))
+    return own.select(*keys, F.explode(terms).alias("term")).select(*keys, term.alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def idf_weights(counts: DataFrame, keys: list[str], n_docs: Column | int) -> DataFrame:
@@ -52,18 +63,17 @@ def vocabulary(counts: DataFrame, k: int) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("tf").alias("tf")).orderBy(F.desc("tf"), "term").limit(k)
 
 
-def tfidf_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, terms: Column | None = None, cap: int | None = None) -> DataFrame:
+def tfidf_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, cap: int | None = None) -> DataFrame:
     """TF-IDF cosine of the texts of each pair; the corpus is all of ``left`` and ``right``.
 
     ``left`` is ``l, text``, ``right`` is ``r, text`` and ``pairs`` is ``l, r`` with one ``r`` for each ``l``. Returns ``l, r, tfidf``: 0 for a pair
     without a common term. Each posting of a left text meets its right text's postings once, and norm and
     product are summed in the same aggregation. ``cap`` keeps the commonest terms only.
     """
-    text = unigrams_and_bigrams(F.col("text")) if terms is None else terms
     corpus = left.join(pairs, "l", "left").select(F.lit(0).alias("side"), F.col("l").alias("id"), F.col("r").alias("mate"), "text") \
         .unionByName(right.select(F.lit(1).alias("side"), F.col("r").alias("id"), F.col("r").alias("mate"), "text"))
     n = left.count() + right.count()
-    counts = term_counts(corpus, ["side", "id", "mate"], text, hashed=cap is None)
+    counts = term_counts(with_terms(corpus), ["side", "id", "mate"], hashed=cap is None)
     if cap is not None:
         counts = counts.join(vocabulary(counts, cap).select("term"), "term", "left_semi")
     weights = idf_weights(counts, ["side", "id", "mate"], n)
@@ -75,16 +85,16 @@ def tfidf_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, terms: Colu
     return pairs.select("l", "r").join(found, ["l", "r"], "left").select("l", "r", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
 
 
-def bm25_index(docs: DataFrame, scope: list[str], doc: str, tokens: Column, idf_mode: str = "plus_one") -> tuple[DataFrame, DataFrame]:
-    """Postings ``scope, doc, term, tf, weight`` and lengths, for a corpus in each ``scope``.
+def bm25_index(docs: DataFrame, scope: list[str], doc: str, idf_mode: str = "plus_one") -> tuple[DataFrame, DataFrame]:
+    """Postings ``scope, doc, term, tf, weight`` and lengths, for a corpus (column ``text``) in each ``scope``.
 
     ``plus_one``: idf = ln(1 + (N - df + 0.5) / (df + 0.5)). ``okapi_floor``: idf = ln(N - df + 0.5) - ln(df + 0.5), and a negative one
     becomes a quarter of the mean idf of the scope's terms.
     """
-    held = docs.select(*scope, doc, tokens.alias("_t"))
+    held = with_tokens(docs)
     lengths = held.select(*scope, doc, F.size("_t").alias("len"))
     stats = lengths.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    counts = term_counts(docs, [*scope, doc], tokens)
+    counts = term_counts(held, [*scope, doc])
     df = counts.groupBy(*scope, "term").agg(F.count("*").cast("double").alias("df"))
     df = df.join(stats, scope) if scope else df.crossJoin(F.broadcast(stats))  # without a scope, one row
     if idf_mode == "plus_one":
@@ -102,18 +112,16 @@ def bm25_index(docs: DataFrame, scope: list[str], doc: str, tokens: Column, idf_
     return postings.select(*scope, doc, "term", "tf", "weight"), lengths
 
 
-def bm25_scores(queries: DataFrame, query: str, tokens: Column, postings: DataFrame, scope: list[str], doc: str, pairs: DataFrame | None = None) -> DataFrame:
+def bm25_scores(queries: DataFrame, query: str, postings: DataFrame, scope: list[str], doc: str, paired: bool = False) -> DataFrame:
     """``query, scope, doc, bm25`` of pairs that share a term; repeated query tokens count repeatedly.
 
-    With ``pairs`` (``query, doc``) only those are scored: their key joins along with the term.
+    ``paired`` queries name the one document that they are scored against in their column ``doc``. Every token meets its
+    postings at once, so what is summed, and shuffled, is hits only.
     """
-    asked = term_counts(queries, [*scope, query], tokens).withColumnRenamed("tf", "qtf")
-    if pairs is not None:
-        asked = asked.join(pairs, [*scope, query])
-        joined = asked.join(postings, [*scope, doc, "term"])
-    else:
-        joined = asked.join(postings, [*scope, "term"])
-    return joined.groupBy(*scope, query, doc).agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25"))
+    keys = [*scope, query] + [doc] * paired
+    asked = queries.select(*keys, F.explode(tokenize(F.col("text"))).alias("term")).select(*keys, F.xxhash64("term").alias("term"))
+    joined = asked.join(postings.select(*scope, doc, "term", "weight"), [*scope, "term"] + [doc] * paired)
+    return joined.groupBy(*scope, query, doc).agg(F.sum("weight").alias("bm25"))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:

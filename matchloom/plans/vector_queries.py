@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as V
-from matchloom.operators.embedding import cosine_topk as nearest
+from matchloom.operators.embedding import nearest
 from matchloom.plans.base import query, rounded, table
 
 EPSILONS = [0.5, 1.0, 2.0, 4.0, 8.0]
@@ -111,4 +111,5 @@ s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.u, b.u)
 SELECT id, CAST(rank AS INTEGER) AS rank, other, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS rank FROM s) WHERE rank <= 5""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest others of every vector."""
-    return nearest(embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "v"), 5).withColumn("cosine", rounded(F.col("cosine")))
+    e = embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "v")
+    return nearest(e, e, 5).withColumn("cosine", rounded(F.col("cosine")))
