@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.operators.metrics import minmax, roc_auc
+from matchloom.operators.metrics import minmax, minmax_all, roc_auc
 
 #: The published fusion weights.
 PAIR_WEIGHTS = {"dp": 0.45, "kg": 0.45, "bm25": 0.10}
@@ -13,25 +13,28 @@ RETRIEVAL_DP_WEIGHTS = {"dp": 0.55, "kg": 0.45}
 RAG_WEIGHTS = {"tfidf": 0.35, "bm25": 0.25, "embedding": 0.20, "kg": 0.20}
 
 
-def fuse(df: DataFrame, weights: dict[str, float], out: str, scope: list[str] | None = None, scale: bool = True) -> DataFrame:
-    """``out``: weighted sum of scores, each scaled to [0, 1] within ``scope`` first unless ``scale`` is off."""
-    scope = scope or []
-    names = {}
-    for name in weights:
-        names[name] = f"_{name}_scaled" if scale else name
-        if scale:
-            df = minmax(df, scope, name, names[name])
+def weighted_sum(weights: dict[str, float], suffix: str = "") -> Column:
     total = F.lit(0.0)
     for name, w in weights.items():
-        total = total + F.lit(w) * F.col(names[name])
-    return df.withColumn(out, total).drop(*(n for n in names.values() if scale))
+        total = total + F.lit(w) * F.col(name + suffix)
+    return total
+
+
+def scaled_all(df: DataFrame, names: list[str], scope: list[str] | None = None) -> DataFrame:
+    """``<name>_scaled`` of each score, within ``scope``: what several fusions of the same scores share."""
+    return minmax_all(df, scope or [], {n: f"{n}_scaled" for n in names})
+
+
+def fuse(df: DataFrame, weights: dict[str, float], out: str, scope: list[str] | None = None, scale: bool = True) -> DataFrame:
+    """``out``: weighted sum of scores, each scaled to [0, 1] within ``scope`` first unless ``scale`` is off."""
+    if not scale:
+        return df.withColumn(out, weighted_sum(weights))
+    return scaled_all(df, list(weights), scope).withColumn(out, weighted_sum(weights, "_scaled")).drop(*(f"{n}_scaled" for n in weights))
 
 
 def largest(df: DataFrame, names: list[str], out: str, scope: list[str] | None = None) -> DataFrame:
     """``out``: the largest of some scaled scores, instead of a weighted sum."""
-    for n in names:
-        df = minmax(df, scope or [], n, f"_{n}_scaled")
-    return df.withColumn(out, F.greatest(*(F.col(f"_{n}_scaled") for n in names))).drop(*(f"_{n}_scaled" for n in names))
+    return scaled_all(df, names, scope).withColumn(out, F.greatest(*(F.col(f"{n}_scaled") for n in names))).drop(*(f"{n}_scaled" for n in names))
 
 
 def to_long(df: DataFrame, ids: list[str], methods: list[str], name: str = "method", value: str = "score") -> DataFrame:

@@ -12,12 +12,24 @@ from matchloom.functions.text import ratio
 from matchloom.operators.running import running_sums
 
 
-def minmax(df: DataFrame, keys: list[str], score: str, out: str) -> DataFrame:
-    """``score`` scaled to [0, 1] within ``keys``; a part whose ends are equal but for rounding gets 0."""
-    span = df.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+def minmax_all(df: DataFrame, keys: list[str], scores: dict[str, str]) -> DataFrame:
+    """Each of ``scores`` (name: new name) scaled to [0, 1] within ``keys``; where the ends are equal but for rounding it is 0.
+
+    One aggregation and one join for all of them: scaling columns one after the other would read ``df`` twice for each.
+    """
+    names = list(scores)
+    span = df.groupBy(*keys).agg(*(f(n).alias(f"_{e}{i}") for i, n in enumerate(names) for f, e in ((F.min, "lo"), (F.max, "hi"))))
     joined = df.join(span, keys) if keys else df.crossJoin(F.broadcast(span))  # without keys, one row
-    flat = F.abs(F.col("_hi") - F.col("_lo")) <= 1e-8 + 1e-5 * F.abs("_hi")
-    return joined.withColumn(out, F.when(flat, 0.0).otherwise(F.try_divide(F.col(score) - F.col("_lo"), F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")
+    out = {}
+    for i, n in enumerate(names):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        flat = F.abs(hi - lo) <= 1e-8 + 1e-5 * F.abs(hi)
+        out[scores[n]] = F.when(flat, 0.0).otherwise(F.try_divide(F.col(n) - lo, hi - lo))
+    return joined.withColumns(out).drop(*(f"_{e}{i}" for i in range(len(names)) for e in ("lo", "hi")))
+
+
+def minmax(df: DataFrame, keys: list[str], score: str, out: str) -> DataFrame:
+    return minmax_all(df, keys, {score: out})
 
 
 def _by_score(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:

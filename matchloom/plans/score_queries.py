@@ -222,9 +222,8 @@ def max_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FEATURES}, f AS (SELECT doc_id, 0.35 * {_mm('jaccard')} + 0.25 * {_mm('bm25')} + 0.2 * {_mm('embedding')} + 0.2 * {_mm('kg')} AS rag, 0.55 * {_mm('dp')} + 0.45 * {_mm('kg')} AS retrieval_dp FROM sc) SELECT doc_id, round(rag, 6) AS rag, round(retrieval_dp, 6) AS retrieval_dp FROM f")
 def retrieval_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two fusions of full retrieval; token overlap stands in for TF-IDF."""
-    f = light_features(spark, sf_dir).withColumn("tfidf", F.col("jaccard"))
-    f = fusion.fuse(fusion.fuse(f, fusion.RAG_WEIGHTS, "rag"), fusion.RETRIEVAL_DP_WEIGHTS, "retrieval_dp")
-    return f.select("doc_id", rounded(F.col("rag")).alias("rag"), rounded(F.col("retrieval_dp")).alias("retrieval_dp"))
+    f = fusion.scaled_all(light_features(spark, sf_dir).withColumn("tfidf", F.col("jaccard")), ["tfidf", "bm25", "embedding", "kg", "dp"])
+    return f.select("doc_id", rounded(fusion.weighted_sum(fusion.RAG_WEIGHTS, "_scaled")).alias("rag"), rounded(fusion.weighted_sum(fusion.RETRIEVAL_DP_WEIGHTS, "_scaled")).alias("retrieval_dp"))
 
 
 @query(f"WITH {_FEATURES}, {_LONG}, l AS (SELECT *, toxic AS label FROM long), a AS ({_AUC.format(keys='method', rows='l')}) SELECT method, round(auc, 6) AS auc, round(1 - auc, 6) AS auc_negated, CASE WHEN auc < 0.5 THEN -1 ELSE 1 END AS direction FROM a")
@@ -288,10 +287,9 @@ aa2 AS ({_AUC.format(keys='setting', rows='al')})"""
 @query(f"WITH {_FEATURES}, {_ABLATION} SELECT setting, round(auc, 6) AS auc FROM aa2")
 def ablation_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fusion with each of its parts left out or replaced."""
-    f = light_features(spark, sf_dir)
-    f = fusion.fuse(f, fusion.PAIR_WEIGHTS, "full")
-    f = fusion.fuse(f, {"embedding": 0.45, "kg": 0.45, "bm25": 0.10}, "without_dp")
-    f = fusion.largest(metrics.minmax(f, [], "dp", "without_knowledge"), ["dp", "kg", "bm25"], "without_ranking_fusion").withColumn("retrieval_only", F.col("bm25"))
+    f = fusion.scaled_all(light_features(spark, sf_dir), ["dp", "kg", "bm25", "embedding"])
+    f = f.select("doc_id", "toxic", fusion.weighted_sum(fusion.PAIR_WEIGHTS, "_scaled").alias("full"), fusion.weighted_sum({"embedding": 0.45, "kg": 0.45, "bm25": 0.10}, "_scaled").alias("without_dp"),
+                 F.col("dp_scaled").alias("without_knowledge"), F.greatest("dp_scaled", "kg_scaled", "bm25_scaled").alias("without_ranking_fusion"), F.col("bm25").alias("retrieval_only"))
     names = ["full", "without_dp", "without_knowledge", "without_ranking_fusion", "retrieval_only"]
     long = fusion.to_long(f, ["doc_id", "toxic"], names, "setting").withColumn("score", F.round("score", 9))
     return _rounded_all(metrics.roc_auc(long, ["setting"], "score", "toxic").select("setting", "auc"))
