@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.plans import base, ingest_queries, ranking_queries, score_queries, text_queries, vector_queries  # noqa: F401
+from matchloom.plans import base, ingest_queries, learned_queries, ranking_queries, score_queries, text_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict:
