@@ -29,6 +29,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Lower the session's rows per Arrow batch to ``rows``, if it is higher: documents are long, and workers hold a batch several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 # --- shingle hashing -------------------------------------------------------------------------
 
 MASK = (1 << 64) - 1
@@ -84,7 +91,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
-def shingle_sets(texts: list[bytes], width: int, block: int = 1 << 21) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int, block: int = 1 << 20) -> list[np.ndarray]:
     """The sorted distinct hashes of the ``width``-word shingles of each text.
 
     A text with fewer words has one shingle, its whole word sequence; one without words has none.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import shingle_sets
+from matchloom.llm.common import shingle_sets, small_batches
 
 K = 128
 _FULL = float(1 << 64)
@@ -198,5 +198,6 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         yield compared(held)
                     held = held[-1:]
 
+    small_batches(docs.sparkSession)
     dealt = in_order_with_next(docs, id_col, text_col, rows_per_range)
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double, contained_in_edited double")

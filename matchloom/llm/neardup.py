@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import _COEF, materialize, mix64, shingle_sets, text_bytes
+from matchloom.llm.common import _COEF, materialize, mix64, shingle_sets, small_batches, text_bytes
 
 BANDS, ROWS = 48, 6
 BLOCK_SHINGLES = 1_000_000
@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two sets of similarity s share a band with probability 1 - (1 - s**rows)**bands: at s = 0.8 the
     defaults miss 5 of 10 million links; each found link is confirmed on the full sets.
     """
+    small_batches(docs.sparkSession)
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(rows_in.mapInArrow(_sign(width, bands, rows), "doc_id long, n_shingles long, set_hash binary, bands array<long>"), "signed")
     classes = materialize(

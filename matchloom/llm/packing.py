@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import small_batches
+
 CAPACITY = 2048
 #: Words of plain Latin text meet the tokenizer's own rules without its normaliser: no composition, one-to-one case.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
@@ -45,7 +47,7 @@ class CachedEncoder:
     #: Fixed values of the tokenizer file: the split pattern that ``_PIECES`` equals on plain Latin text.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, tokenizer_path: str, limit: int = 600_000):
+    def __init__(self, tokenizer_path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.limit = Tokenizer.from_file(tokenizer_path), {}, limit
@@ -170,6 +172,7 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     ``class_docs`` is how many pieces a bin of the piece's class holds. ``ids_crc32`` covers the ids as
     little-endian unsigned 32-bit integers. A worker holds its open bins only: under ``capacity`` tokens a class.
     """
+    small_batches(docs.sparkSession)
     tail = CachedEncoder.pack([end_id])
     fields = [pa.field(*x) for x in (("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("class_docs", pa.int32()))]
     schema = pa.schema(fields + [pa.field("ids", pa.list_(pa.int64()))] * with_ids)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import small_batches
+
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
 #: Bound of the training sample: about so many documents.
@@ -304,6 +306,7 @@ def find_pii(docs: DataFrame, model: SkipChainCRF | None, id_col: str = "doc_id"
     spans. Repeated rows and null ids: a row each. Empty table: no rows. Without a model only base spans are
     found. One pass, no shuffle; a batch's memory follows its longest text.
     """
+    small_batches(docs.sparkSession)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
 
@@ -327,6 +330,7 @@ def redact_pii(docs: DataFrame, model: SkipChainCRF | None, text_col: str = "tex
 
     Overlapping spans are replaced together, under the kind of the first. Null text stays null.
     """
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

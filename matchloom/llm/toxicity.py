@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize
+from matchloom.llm.common import materialize, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 _OPENINGS = range(3, 9)
@@ -54,7 +54,7 @@ class OrdinalModel:
     def _known(self, word: str) -> tuple[str, ...]:
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) >= 500_000:
+            if len(self.cache) >= 150_000:
                 self.cache.clear()
             found = self.cache[word] = tuple(f for f in word_features(word) if f in self.weights)
         return found
@@ -173,6 +173,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     probability of one half at least. Null and empty texts have no features and get what the thresholds alone say;
     repeated rows and null ids: a row each; empty table: no rows. One pass, no shuffle.
     """
+    small_batches(docs.sparkSession)
     keep = keep or []
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_scored"), *([F.struct(*keep).alias("_kept")] if keep else []))
     fields = [pa.field("n_words", pa.int64()), pa.field("p_toxic", pa.float64()), pa.field("severity", pa.float64()), pa.field("grade", pa.int32())]
@@ -192,6 +193,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", grade: int = 1) -> DataFrame:
     """``docs`` without the rows whose text reaches ``grade`` with a probability of one half; all columns stay."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
