@@ -80,8 +80,8 @@ def pearson_of(x: Column, y: Column) -> Column:
 
 def with_average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``out``: the rank of ``value`` within ``keys``, ties sharing their mean rank."""
-    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    ranks = running_sums(tied, keys, value, ["c"]).select(*keys, value, (F.col("c_before") + (F.col("c") + 1) / 2).alias(out))
+    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ranks = running_sums(tied, keys, value, ["_c"]).select(*keys, value, (F.col("_c_before") + (F.col("_c") + 1) / 2).alias(out))
     return df.join(ranks, [*keys, value], "left")
 
 

@@ -16,6 +16,7 @@ from matchloom.functions import text as T
 from matchloom.functions import vectors as V
 from matchloom.operators import fusion, learn, lexical, metrics, pools, splits
 from matchloom.operators.embedding import build_backend, nearest
+from matchloom.operators.storage import stored
 from matchloom.sources import records as R
 from matchloom.sources import sinks
 
@@ -64,7 +65,7 @@ def feature_table(records: DataFrame, threshold: float = 7.0, seeds: list[int] |
     tfidf = lexical.tfidf_pairs(left, right, own, cap=max_features).select(F.col("l").alias("idx"), F.col("tfidf").alias("tfidf_cosine"))
     postings, _ = lexical.bm25_index(right.withColumnRenamed("r", "job"), [], "job")
     bm25 = lexical.bm25_scores(left.select(F.col("l").alias("query"), F.col("l").alias("job"), "text"), "query", postings, [], "job", paired=True).select(F.col("query").alias("idx"), F.col("bm25").alias("bm25_score"))
-    vectors = vectors_of(records, backend, **svd).persist()
+    vectors = stored(vectors_of(records, backend, **svd), "vectors")
     emb = vectors.select("idx", V.cosine(F.col("rv"), F.col("jv")).alias("embedding_cosine"))
     wide = private_scores(vectors, seeds, epsilons).groupBy("idx").agg(*(
         F.max(F.when((F.col("epsilon") == e) & (F.col("seed") == s), F.col("dp"))).alias(f"dp_embedding_cosine_epsilon_{str(float(e)).replace('.', '_')}_seed_{s}") for e, s in product(epsilons, seeds)))
@@ -74,7 +75,8 @@ def feature_table(records: DataFrame, threshold: float = 7.0, seeds: list[int] |
     kg = sets.select("idx", *(c.alias(n) for n, c in T.pair_features(F.col("r"), F.col("c"), F.col("q")).items()), "resume_length", "jd_length")
     base = records.drop("resume_text", "job_text", "requirement_text").withColumn("binary_label", fusion.label_of(F.col("raw_score"), threshold))
     out = base.join(tfidf, "idx").join(bm25, "idx", "left").join(emb, "idx").join(kg, "idx").join(wide, "idx")
-    return out.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0))).withColumn("dp_embedding_cosine", F.col(default)), vectors
+    out = out.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0))).withColumn("dp_embedding_cosine", F.col(default))
+    return stored(out, "features"), vectors
 
 
 def heuristic_scores(df: DataFrame, scope: list[str], scaled: bool = True) -> DataFrame:
@@ -98,14 +100,15 @@ def oriented_heuristics(folded: DataFrame, keys: list[str], label: str = "binary
     wide = heuristic_scores(folded, [*keys, "is_test"])
     long = fusion.to_long(wide, [*keys, "is_test", "idx", label], methods).withColumn("label", F.col(label)).withColumn("score", F.round("score", 9))
     turned = fusion.directions(long.where(~F.col("is_test")), [*keys, "method"])
-    return fusion.oriented(long.where("is_test"), turned, [*keys, "method"]).select(*keys, "method", "label", "score")
+    return stored(fusion.oriented(long.where("is_test"), turned, [*keys, "method"]).select(*keys, "method", "label", "score"), "oriented")
 
 
 def fold_rows(table: DataFrame, mode: str, label: str = "binary_label") -> DataFrame:
     """Each row once for each seed and fold, with ``is_test``."""
     folds = splits.fold_count(splits.smallest_class(table, label), MODES[mode]["folds"])
     held = splits.stratified_folds(table, "idx", label, folds, MODES[mode]["seeds"]).withColumnRenamed("fold", "own")
-    return held.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("is_test", F.col("fold") == F.col("own")).drop("own")
+    spread = held.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("is_test", F.col("fold") == F.col("own")).drop("own")
+    return stored(spread, "folds")
 
 
 def _splits(held: DataFrame) -> list[tuple[int, int]]:
@@ -118,26 +121,27 @@ def learned_rows(held: DataFrame, features: list[str], method: str, label: str =
     for seed, fold in _splits(held):
         rows = held.where((F.col("seed") == seed) & (F.col("fold") == fold))
         name, model = learn.train_classifier(rows.where(~F.col("is_test")), features, label, seed, "idx", models, small)
-        parts.append(learn.with_probability(model, rows.where("is_test"), "score").select("seed", "fold", F.lit(method).alias("method"), F.col(label).alias("label"), "score"))
+        scored = learn.with_probability(model, rows.where("is_test"), "score").select("seed", "fold", F.lit(method).alias("method"), F.col(label).alias("label"), "score")
+        parts.append(stored(scored, "learned"))
         importances += [{"model": name, "feature": f, "importance": v} for f, v in learn.feature_importance(model).items()]
     return reduce(DataFrame.unionByName, parts), importances
 
 
-def core_prediction(table: DataFrame, mode: str = "fast", small: bool = False) -> dict[str, DataFrame]:
+def core_prediction(table: DataFrame, mode: str = "fast", small: bool = False, models: tuple[str, ...] = learn.CLASSIFIERS, regressors: tuple[str, ...] = learn.REGRESSORS) -> dict[str, DataFrame]:
     """Classification, score prediction, ablation, importances and correlations."""
     spark = table.sparkSession
-    held = fold_rows(table, mode).persist()
+    held = fold_rows(table, mode)
     keys = ["seed", "fold", "method"]
-    learned, importances = learned_rows(held, learn.FEATURES, "DP-KER-v2", small=small)
+    learned, importances = learned_rows(held, learn.FEATURES, "DP-KER-v2", models=models, small=small)
     scores = oriented_heuristics(held, ["seed", "fold"]).unionByName(learned)
     binary = metrics.mean_std(classification_rows(scores, keys), ["method"], METRICS)
 
-    wide = heuristic_scores(held.where("is_test"), ["seed", "fold"])
+    wide = stored(heuristic_scores(held.where("is_test"), ["seed", "fold"]), "heuristics")
     raw = fusion.to_long(wide, ["seed", "fold", "idx", "raw_score"], [*HEURISTICS, "DP-KER-v1"])
     for seed, fold in _splits(held):
         rows = held.where((F.col("seed") == seed) & (F.col("fold") == fold))
-        _, model = learn.train_regressor(rows.where(~F.col("is_test")), learn.FEATURES, "raw_score", seed, "idx", small=small)
-        raw = raw.unionByName(learn.with_prediction(model, rows.where("is_test"), "score").select("seed", "fold", "idx", "raw_score", F.lit("DP-KER-v2").alias("method"), "score"))
+        _, model = learn.train_regressor(rows.where(~F.col("is_test")), learn.FEATURES, "raw_score", seed, "idx", regressors, small)
+        raw = raw.unionByName(stored(learn.with_prediction(model, rows.where("is_test"), "score").select("seed", "fold", "idx", "raw_score", F.lit("DP-KER-v2").alias("method"), "score"), "regressed"))
     regression = metrics.errors(raw, keys, "score", "raw_score").join(metrics.correlations(raw.withColumn("score", F.round("score", 9)), keys, "score", "raw_score"), keys)
 
     logistic = ("LogisticRegression",)
@@ -191,7 +195,7 @@ def sampled_ranking(records: DataFrame, table: DataFrame, vectors: DataFrame, se
         negative = vectors.join(labelled.where("binary_label <> 1"), "idx").select(F.col("idx").alias("id"), F.col("jv").alias("v"))
         near = nearest(positive, negative, pools.NEGATIVES).select(F.col("id").alias("query"), F.col("other").alias("cand"), F.col("cosine").alias("similarity"))
         pool = pools.hard_pools(positive.select(F.col("id").alias("query")), near)
-    pool = pool.persist()
+    pool = stored(pool, "pool")
     scored = pool.join(_item_scores(records, vectors, pool.select("query", "cand").distinct()), ["query", "cand"])
     fused = fusion.fuse(scored.withColumns({"dp": F.col("embedding_cosine"), "kg": F.col("kg_skill_coverage"), "bm25": F.col("bm25_score")}), fusion.PAIR_WEIGHTS, "fused", ["query"], scale=scaled)
     long = fusion.to_long(fused, ["query", "pos"], ["embedding_cosine", "bm25_score", "kg_skill_coverage", "fused"]).withColumn("score", F.round("score", 9))
@@ -203,11 +207,11 @@ def threshold_experiment(table: DataFrame, mode: str = "fast", thresholds: list[
     parts = []
     for t in thresholds:
         held = fold_rows(table.withColumn("binary_label", fusion.label_of(F.col("raw_score"), t)), mode)
-        parts.append(classification_rows(oriented_heuristics(held, ["seed", "fold"]), ["seed", "fold", "method"]).withColumn("threshold", F.lit(t)))
+        parts.append(stored(classification_rows(oriented_heuristics(held, ["seed", "fold"]), ["seed", "fold", "method"]).withColumn("threshold", F.lit(t)), "threshold"))
     return metrics.mean_std(reduce(DataFrame.unionByName, parts), ["threshold", "method"], METRICS)
 
 
-def robust_validation(table: DataFrame, mode: str = "fast", small: bool = False) -> DataFrame:
+def robust_validation(table: DataFrame, mode: str = "fast", small: bool = False, models: tuple[str, ...] = learn.CLASSIFIERS) -> DataFrame:
     """Row-level folds, repeated hold-outs and, where groups allow, grouped folds, of heuristics and the learned fusion."""
     keys = ["seed", "fold"]
     protocols = {"row_cv": fold_rows(table, mode).where("seed = 3407")}
@@ -220,8 +224,8 @@ def robust_validation(table: DataFrame, mode: str = "fast", small: bool = False)
             protocols[f"group_{column}"] = spread.withColumn("is_test", F.col("fold") == F.col("own")).drop("own")
     parts = []
     for name, held in protocols.items():
-        scores = oriented_heuristics(held, keys).unionByName(learned_rows(held, learn.FEATURES, "DP-KER-v2", small=small)[0])
-        parts.append(classification_rows(scores, [*keys, "method"]).withColumn("protocol", F.lit(name)))
+        scores = oriented_heuristics(held, keys).unionByName(learned_rows(held, learn.FEATURES, "DP-KER-v2", models=models, small=small)[0])
+        parts.append(stored(classification_rows(scores, [*keys, "method"]).withColumn("protocol", F.lit(name)), "protocol"))
     return metrics.mean_std(reduce(DataFrame.unionByName, parts), ["protocol", "method"], METRICS)
 
 
@@ -257,7 +261,7 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, mode: str = "fast") ->
     raw = R.read_raw(spark, raw_dir)
     for name, df in R.convert(raw).items():
         sinks.write_jsonl(df, f"{out_dir}/{name}")
-    records = records_of(R.v2_records(raw)).persist()
+    records = stored(records_of(R.v2_records(raw)), "records")
     table, vectors = feature_table(records, seeds=MODES[mode]["seeds"])
     base = sinks.write_table(table, f"{out_dir}/pair_features")
     table = spark.read.parquet(base)
