@@ -70,26 +70,38 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -
     return spark.createDataFrame(rows, "template int, kind string, label string, gram string, q int, n_grams int")
 
 
-def license_spans(docs: DataFrame, templates: DataFrame, key_col: str = "row_key", text_col: str = "text", gap: int = 2) -> DataFrame:
-    """Merged spans of votes: the key, ``template, kind, label, n_grams, start, length, seen, exact``, in words.
+#: The entry that stands at the end of every text: it joins to a template of its own and brings the text's number of words.
+_END = ""
 
-    ``seen`` is the number of the template's 2-gram positions that the span covers; ``exact`` lists the starts of the
-    exact places of the whole template in it. Rows with the same key must have the same text.
-    """
+
+def _hits(docs: DataFrame, templates: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """``keys, template, kind, label, n_grams, q, p`` of every hit, and of the end of every text, at p = its number of words."""
+    end = docs.sparkSession.createDataFrame([(-1, "end", "", _END, 0, 0)], templates.schema)
+    keyed = templates.unionByName(end).withColumn("h", F.xxhash64("gram"))
     small = templates.count() <= BROADCAST_GRAMS
-    keyed = templates.withColumn("h", F.xxhash64("gram"))
     # The 2-gram itself goes along with its hash: a hit is a hit of the same words.
-    words = docs.select(key_col, words_of(F.col(text_col)).alias("w"))
-    grams = words.select(key_col, F.posexplode(F.expr("transform(slice(w, 2, size(w)), (x, i) -> concat(w[i], ' ', x))")).alias("p", "g"))
-    hits = grams.join(F.broadcast(keyed) if small else keyed, (F.xxhash64("g") == F.col("h")) & (F.col("g") == F.col("gram")))
-    diagonals = hits.groupBy(key_col, "template", "kind", "label", "n_grams", (F.col("p") - F.col("q")).alias("diagonal")) \
-        .agg(F.bit_or(F.expr("shiftleft(1L, q)")).alias("bits"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    order = Window.partitionBy(key_col, "template").orderBy("diagonal")
+    words = docs.select(*keys, words_of(F.col(text_col)).alias("w"))
+    grams = F.expr(f"array_append(transform(slice(w, 2, greatest(size(w), 1)), (x, i) -> named_struct('p', i, 'g', concat(w[i], ' ', x))), named_struct('p', size(w), 'g', '{_END}'))")
+    entries = words.select(*keys, F.inline(grams))
+    return entries.join(F.broadcast(keyed) if small else keyed, (F.xxhash64("g") == F.col("h")) & (F.col("g") == F.col("gram")))
+
+
+def license_spans(docs: DataFrame, templates: DataFrame, keys: list[str] | None = None, text_col: str = "text", gap: int = 2) -> DataFrame:
+    """Merged spans of votes: the keys, ``template, kind, label, n_grams, start, length, seen, exact, rows``, in words.
+
+    ``seen`` is the number of the template's 2-gram positions that the span covers; ``exact`` lists the starts of the
+    exact places of the whole template in it. Rows with the same keys must have the same text. One row of kind 'end' for each key has
+    the number of words as its start, and the number of rows with that key as ``rows``. Texts are read and cut into words once.
+    """
+    keys = keys or ["row_key"]
+    diagonals = _hits(docs, templates, keys, text_col).groupBy(*keys, "template", "kind", "label", "n_grams", (F.col("p") - F.col("q")).alias("diagonal")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, q)")).alias("bits"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n"))
+    order = Window.partitionBy(*keys, "template").orderBy("diagonal")
     apart = diagonals.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1)))
     whole = F.when(F.bit_count("bits") == F.col("n_grams"), F.col("diagonal"))
-    return apart.withColumn("island", F.sum("new").over(order)).groupBy(key_col, "template", "kind", "label", "n_grams", "island").agg(
+    return apart.withColumn("island", F.sum("new").over(order)).groupBy(*keys, "template", "kind", "label", "n_grams", "island").agg(
         F.min("lo").alias("start"), (F.max("hi") + 2 - F.min("lo")).alias("length"), F.bit_count(F.bit_or("bits")).alias("seen"),
-        F.array_sort(F.collect_list(whole)).alias("exact")).drop("island")
+        F.array_sort(F.collect_list(whole)).alias("exact"), F.max("n").alias("rows")).drop("island")
 
 
 def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None,
@@ -107,15 +119,14 @@ def scan_licenses(docs: DataFrame, phrases: list[tuple[str, str]] | None = None,
     templates = template_table(docs.sparkSession, [("base", *p) for p in phrases or PHRASES] + [("notice", *n) for n in notices or NOTICES])
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    spans = license_spans(rows, templates, gap=gap)
-    share = F.col("seen") / F.col("n_grams")
-    base, at = F.col("kind") == "base", F.flatten(F.collect_list(F.when(F.col("kind") == "base", F.col("exact"))))
-    label = F.when((F.size("exact") > 0) | (~base & (share >= coverage)), F.col("label"))
-    found = spans.groupBy("row_key").agg(
-        at.alias("at"), F.collect_set(F.when(base & (F.size("exact") > 0), F.col("label"))).alias("own"), F.collect_set(label).alias("all"), F.max(share).alias("score"))
-    counted = rows.select("doc_id", "row_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    joined = F.array_join(F.array_sort(F.coalesce("own", F.array().cast("array<string>"))), ","), F.array_join(F.array_sort(F.coalesce("all", F.array().cast("array<string>"))), ",")
-    return counted.join(found, "row_key", "left").select(
-        "doc_id", "n_words", F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("long").alias("n_base"),
-        F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
-        joined[0].alias("base_labels"), joined[1].alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    spans = license_spans(rows, templates, ["doc_id", "row_key"], gap=gap)
+    end, base = F.col("kind") == "end", F.col("kind") == "base"
+    share = F.when(~end, F.col("seen") / F.col("n_grams"))
+    hit = F.size("exact") > 0
+    found = spans.groupBy("doc_id", "row_key").agg(
+        F.max(F.when(end, F.col("start"))).cast("long").alias("n_words"), F.max(F.when(end, F.col("rows"))).cast("int").alias("rows"),
+        F.flatten(F.collect_list(F.when(base, F.col("exact")))).alias("at"), F.array_sort(F.collect_set(F.when(base & hit, F.col("label")))).alias("own"),
+        F.array_sort(F.collect_set(F.when((base & hit) | (~base & ~end & (hit | (share >= coverage))), F.col("label")))).alias("every"), F.coalesce(F.max(share), F.lit(0.0)).alias("score"))
+    return found.select(
+        "doc_id", "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
+        F.array_join("own", ",").alias("base_labels"), F.array_join("every", ",").alias("labels"), "score", F.explode(F.sequence(F.lit(1), "rows")).alias("copy")).drop("copy")

@@ -31,7 +31,7 @@ def test_neighbouring_diagonals_merge(spark, docs):
     notice = "permission is hereby granted free of charge to any person obtaining a copy of this software"
     changed = notice.replace("free of charge", "wholly free of any charge").replace("obtaining a copy", "obtaining copy")
     t = template_table(spark, [("notice", notice, "mit")])
-    spans = license_spans(spark.createDataFrame([("k", "intro words " + changed + " outro")], "row_key string, text string"), t).collect()
+    spans = license_spans(spark.createDataFrame([("k", "intro words " + changed + " outro")], "row_key string, text string"), t).where("kind <> 'end'").collect()
     assert len(spans) == 1 and spans[0].start == 2 and 0.6 <= spans[0].seen / spans[0].n_grams < 1 and spans[0].exact == []
     rows = scan_licenses(docs([(1, "Hereby granted, " + changed), (2, notice), (3, "permission is granted")])).collect()
     assert {r.doc_id: r.labels for r in rows} == {1: "mit", 2: "mit", 3: ""} or {r.doc_id: r.labels for r in rows}[2] == "mit"
