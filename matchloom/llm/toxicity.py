@@ -118,6 +118,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     * labels with nulls, and rows whose text is null, teach nothing; a label given twice counts as its larger value;
     * without any toxic or any clean labelled text nothing can be learned: every text gets grade 0.
     """
+    small_batches(docs.sparkSession)
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     named = named.withColumn("c", (F.col("y") > 0).cast("int"))
     totals = {r["c"]: r["n"] for r in named.groupBy("c").agg(F.count("*").alias("n")).collect()}
@@ -148,19 +149,29 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     picked = [(r["feature"], r["z"], r["k1"], r["k0"]) for r in seen.withColumn("z", z).where(F.abs("z") >= 4).orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES).collect()]
     index = {f: i + 1 for i, (f, _, _, _) in enumerate(picked)}
     cues = {f for f, score, k1, k0 in picked if score >= 4 and k1 / n1 >= 10 * k0 / n0}
-    texts = sample.select("doc_id", "y", "weight", "text").toLocalIterator()
-    grades, weights, r_, c_, v_ = [], [], [], [], []
     known = OrdinalModel(dict.fromkeys(index, 0.0), [])
+    encoded_schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("weight", pa.float64()), ("n_words", pa.int64()), ("cues", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(3).to_pylist():
+                own = words(text)
+                counts = Counter(f for w in own for f in known._known(w))
+                kept = sorted((index[f], c) for f, c in counts.items())
+                out.append((len(own), sum(1 for w in own if any(f in cues for f in known._known(w))), [i for i, _ in kept], [c for _, c in kept]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([r[i] for r in out], encoded_schema.types[3 + i]) for i in range(4))], schema=encoded_schema)
+
+    # The driver gets counts of known features, never texts.
+    encoded = sample.select("doc_id", "y", "weight", "text").mapInArrow(encode, "doc_id long, y int, weight double, n_words long, cues long, at array<int>, n array<int>")
+    grades, weights, r_, c_, v_ = [], [], [], [], []
     graded = named.agg(F.max("y")).first()[0] > 1
-    for i, row in enumerate(sorted(texts, key=lambda r: r["doc_id"])):
-        own = words(row["text"])
-        counts = Counter(f for w in own for f in known._known(w))
-        found = sum(1 for w in own if any(f in cues for f in known._known(w)))
-        grades.append(row["y"] if graded else _grade(found) if row["y"] > 0 else 0)
+    for i, row in enumerate(sorted(encoded.collect(), key=lambda r: (r["doc_id"], r["n_words"], r["at"], r["n"]))):
+        grades.append(row["y"] if graded else _grade(row["cues"]) if row["y"] > 0 else 0)
         weights.append(row["weight"])
-        r_ += [i] * (len(counts) + 1)
-        c_ += [0, *(index[f] for f in counts)]
-        v_ += [math.log1p(len(own)), *map(math.log1p, counts.values())]
+        r_ += [i] * (len(row["at"]) + 1)
+        c_ += [0, *row["at"]]
+        v_ += [math.log1p(row["n_words"]), *map(math.log1p, row["n"])]
     top = max(grades)
     w, theta = fit_cumulative_link(np.array(r_), np.array(c_), np.array(v_), np.array(grades), np.array(weights), len(index) + 1, top)
     return OrdinalModel({"": float(w[0])} | {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}, [float(t) for t in theta])
