@@ -127,7 +127,7 @@ def graph(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tup
         token = text[start:end]
         digits = "".join(_DIGITS.findall(token))
         key = digits[-7:] if len(digits) >= 7 and "@" not in token else token.strip(".,;:!?()[]{}<>\"'*#&%$").lower()
-        if key in last and last[key] + 1 < i:
+        if key in last and (last[key] + 1 < i or start - spans[i - 1][1] > 2):
             skip.append((last[key], i))
         last[key] = i
     return feats, chain, skip

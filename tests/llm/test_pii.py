@@ -72,6 +72,23 @@ def test_exact_marginals_on_a_tree_and_consistency_over_skip_edges():
     assert graph(text, candidates(text))[2] == [(2, 3)] or graph(text, candidates(text))[2] == []
 
 
+def test_skip_edge_between_distant_mentions_without_candidates_between():
+    text = "call 555-6503 at any time of the day or the night, or else later on 555-6503"
+    assert graph(text, candidates(text))[1:] == ([], [(0, 1)])
+    for text, chain, skip in (("555-6503 555-6503", [(0, 1)], []), ("555-6503   555-6503", [], [(0, 1)]), ("555-6503 12 555-6503", [(0, 1), (1, 2)], [(0, 2)])):
+        assert graph(text, candidates(text))[1:] == (chain, skip)
+    # What is known of one mention reaches the other.
+    unary = np.zeros((1 << 13, len(LABELS)))
+    text = "+1 (499) 555-6503 is what they gave us, and much later 555-6503"
+    spans = candidates(text)
+    feats, chain, skip = graph(text, spans)
+    assert skip == [(2, 3)]
+    unary[list(set(feats[2].tolist()) - set(feats[3].tolist())), LABELS.index("phone")] = 1.0
+    model = SkipChainCRF(unary, np.zeros((len(LABELS),) * 2), np.eye(len(LABELS)) * 3)
+    p = model.marginals(feats, np.array(chain).reshape(-1, 2), np.array(skip).reshape(-1, 2))
+    assert LABELS[p[3].argmax()] == "phone" and p[3].max() > 0.5  # 0.2 without an edge
+
+
 def test_whole_operator(docs):
     rows = corpus()
     model = train_pii(docs(rows), train_docs=200)
