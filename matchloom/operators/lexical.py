@@ -85,6 +85,21 @@ def tfidf_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, cap: int |
     return pairs.select("l", "r").join(found, ["l", "r"], "left").select("l", "r", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
 
 
+def tfidf_scores(left: DataFrame, right: DataFrame, pairs: DataFrame, cap: int | None = None) -> DataFrame:
+    """As ``tfidf_pairs``, for any distinct pairs: an ``l`` may meet many ``r``. The weights are the same."""
+    corpus = left.select(F.lit(0).alias("side"), F.col("l").alias("id"), "text").unionByName(right.select(F.lit(1).alias("side"), F.col("r").alias("id"), "text"))
+    n = left.count() + right.count()
+    counts = term_counts(with_terms(corpus), ["side", "id"], hashed=cap is None)
+    if cap is not None:
+        counts = counts.join(vocabulary(counts, cap).select("term"), "term", "left_semi")
+    weights = idf_weights(counts, ["side", "id"], n)
+    side = lambda i, key: weights.where(F.col("side") == i).select(F.col("id").alias(key), "term", F.col("w").alias(f"w{key}"))
+    length = lambda i, key: side(i, key).groupBy(key).agg(F.sqrt(F.sum(F.col(f"w{key}") * F.col(f"w{key}"))).alias(f"n{key}"))
+    dots = pairs.select("l", "r").join(side(0, "l"), "l").join(side(1, "r"), ["r", "term"]).groupBy("l", "r").agg(F.sum(F.col("wl") * F.col("wr")).alias("dot"))
+    found = dots.join(length(0, "l"), "l").join(length(1, "r"), "r").select("l", "r", F.coalesce(F.try_divide(F.col("dot"), F.col("nl") * F.col("nr")), F.lit(0.0)).alias("tfidf"))
+    return pairs.select("l", "r").join(found, ["l", "r"], "left").select("l", "r", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
+
+
 def bm25_index(docs: DataFrame, scope: list[str], doc: str, idf_mode: str = "plus_one") -> tuple[DataFrame, DataFrame]:
     """Postings ``scope, doc, term, tf, weight`` and lengths, for a corpus (column ``text``) in each ``scope``.
 

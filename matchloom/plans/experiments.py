@@ -24,6 +24,8 @@ EPSILONS = [0.5, 1.0, 2.0, 4.0, 8.0]
 THRESHOLDS = [6.5, 7.0, 7.5]
 MODES = {"fast": {"folds": 3, "seeds": [3407]}, "final": {"folds": 5, "seeds": splits.SEEDS}}
 METRICS = ["auc", "average_precision", "accuracy", "balanced_accuracy", "f1", "precision", "recall"]
+RANKED = ["tfidf_cosine", "bm25_score", "embedding_cosine", "dp_embedding_cosine", "kg_skill_coverage", "fused", "DP-KER-v2"]
+RANK_METRICS = ["recall_at_5", "ndcg_at_5", "mrr", "hit_at_1"]
 HEURISTICS = {"TF-IDF": "tfidf_cosine", "BM25": "bm25_score", "Embedding": "embedding_cosine", "DP-Embedding": "dp_embedding_cosine", "KG-only": "kg_skill_coverage"}
 
 
@@ -43,17 +45,22 @@ def vectors_of(records: DataFrame, backend: object | None = None, **svd: int) ->
     return side("r", "rv").join(side("j", "jv"), "idx")
 
 
-def private_scores(vectors: DataFrame, seeds: list[int], epsilons: list[float] = EPSILONS, clip: float = 1.0, sensitivity: float | None = None) -> DataFrame:
-    """``idx, seed, epsilon, dp`` from keyed noise: it hangs on the record's id and the seed, not on its place in a table."""
+def private_scores(vectors: DataFrame, seeds: list[int] | None = None, epsilons: list[float] = EPSILONS, clip: float = 1.0, sensitivity: float | None = None, resume: str = "idx", job: str = "idx") -> DataFrame:
+    """``idx, seed, epsilon, dp`` from keyed noise: it hangs on the record's id and the seed, not on its place in a table.
+
+    ``resume`` and ``job`` name the ids of the two vectors where those are of different records. Without ``seeds`` each row has its own, in ``seed``.
+    """
     d = lambda a, b: V.dot(F.col(a), F.col(b))
     clipped = lambda c: V.scaled(F.col(c), V.clip_scale(V.norm(F.col(c)), clip))
-    z = vectors.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).select(
-        "idx", "seed", clipped("rv").alias("a"), clipped("jv").alias("b"), V.keyed_noise(F.size("rv"), F.col("seed"), F.lit("resume"), F.col("idx")).alias("za"), V.keyed_noise(F.size("jv"), F.col("seed") + 1, F.lit("job"), F.col("idx")).alias("zb"))
-    p = z.select("idx", "seed", d("a", "b").alias("cc"), (d("a", "zb") + d("za", "b")).alias("cz"), d("za", "zb").alias("zz"), d("a", "a").alias("aa"), (2 * d("a", "za")).alias("az"), d("za", "za").alias("azz"), d("b", "b").alias("bb"), (2 * d("b", "zb")).alias("bz"), d("zb", "zb").alias("bzz"))
+    keys = list(dict.fromkeys([resume, job]))
+    seeded = vectors if seeds is None else vectors.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    z = seeded.select(
+        *keys, "seed", clipped("rv").alias("a"), clipped("jv").alias("b"), V.keyed_noise(F.size("rv"), F.col("seed"), F.lit("resume"), F.col(resume)).alias("za"), V.keyed_noise(F.size("jv"), F.col("seed") + 1, F.lit("job"), F.col(job)).alias("zb"))
+    p = z.select(*keys, "seed", d("a", "b").alias("cc"), (d("a", "zb") + d("za", "b")).alias("cz"), d("za", "zb").alias("zz"), d("a", "a").alias("aa"), (2 * d("a", "za")).alias("az"), d("za", "za").alias("azz"), d("b", "b").alias("bb"), (2 * d("b", "zb")).alias("bz"), d("zb", "zb").alias("bzz"))
     s, c = F.col("sigma"), F.col
     cosine = V.cosine_of(c("cc") + s * c("cz") + s * s * c("zz"), F.sqrt(c("aa") + s * c("az") + s * s * c("azz")), F.sqrt(c("bb") + s * c("bz") + s * s * c("bzz")))
     swept = p.withColumn("epsilon", F.explode(F.array(*map(F.lit, epsilons)))).withColumn("sigma", V.sigma_column(F.col("epsilon"), sensitivity=sensitivity or clip))
-    return swept.select("idx", "seed", "epsilon", cosine.alias("dp"))
+    return swept.select(*keys, "seed", "epsilon", cosine.alias("dp"))
 
 
 def feature_table(records: DataFrame, threshold: float = 7.0, seeds: list[int] | None = None, epsilons: list[float] = EPSILONS, backend: object | None = None, max_features: int = 12_000, **svd: int) -> tuple[DataFrame, DataFrame]:
@@ -115,12 +122,17 @@ def _splits(held: DataFrame) -> list[tuple[int, int]]:
     return sorted((r["seed"], r["fold"]) for r in held.select("seed", "fold").distinct().collect())
 
 
-def learned_rows(held: DataFrame, features: list[str], method: str, label: str = "binary_label", models: tuple[str, ...] = learn.CLASSIFIERS, small: bool = False) -> tuple[DataFrame, list[dict]]:
+def fitted_models(held: DataFrame, features: list[str], label: str = "binary_label", models: tuple[str, ...] = learn.CLASSIFIERS, small: bool = False) -> dict:
+    """(name, model) of each (seed, fold), from its training rows."""
+    rows = lambda seed, fold: held.where((F.col("seed") == seed) & (F.col("fold") == fold) & ~F.col("is_test"))
+    return {(seed, fold): learn.train_classifier(rows(seed, fold), features, label, seed, "idx", models, small) for seed, fold in _splits(held)}
+
+
+def learned_rows(held: DataFrame, features: list[str], method: str, label: str = "binary_label", models: tuple[str, ...] = learn.CLASSIFIERS, small: bool = False, fitted: dict | None = None) -> tuple[DataFrame, list[dict]]:
     """``seed, fold, method, label, score`` of test rows under the learned fusion, and the importances of every fitted model."""
     parts, importances = [], []
-    for seed, fold in _splits(held):
+    for (seed, fold), (name, model) in (fitted or fitted_models(held, features, label, models, small)).items():
         rows = held.where((F.col("seed") == seed) & (F.col("fold") == fold))
-        name, model = learn.train_classifier(rows.where(~F.col("is_test")), features, label, seed, "idx", models, small)
         scored = learn.with_probability(model, rows.where("is_test"), "score").select("seed", "fold", F.lit(method).alias("method"), F.col(label).alias("label"), "score")
         parts.append(stored(scored, "learned"))
         importances += [{"model": name, "feature": f, "importance": v} for f, v in learn.feature_importance(model).items()]
@@ -172,34 +184,72 @@ def privacy_sweep(table: DataFrame, mode: str = "fast", epsilons: list[float] =
     return metrics.mean_std(rows, ["epsilon", "method"], METRICS).withColumn("sigma", V.sigma_column(F.col("epsilon")))
 
 
-def _item_scores(records: DataFrame, vectors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Features of arbitrary pairs ``query, cand``: the query's resume against the candidate's job."""
-    texts = records.select(F.col("idx").alias("query"), T.token_set(F.col("resume_text")).alias("r"))
-    jobs = records.select(F.col("idx").alias("cand"), T.token_set(F.col("job_text")).alias("c"), T.token_set(F.col("requirement_text")).alias("q"))
+def _own_dp(held: DataFrame, epsilon: float, mode: str) -> DataFrame:
+    """``held`` with each seed's own private column as ``dp_embedding_cosine``."""
+    return held.withColumn("dp_embedding_cosine", F.coalesce(*(F.when(F.col("seed") == s, F.col(fusion.score_column(held, epsilon, s))) for s in MODES[mode]["seeds"])))
+
+
+def _item_scores(records: DataFrame, vectors: DataFrame, pairs: DataFrame, max_features: int = 12_000) -> DataFrame:
+    """Features of arbitrary pairs ``query, cand``, all but the private one: the query's resume against the candidate's job."""
+    texts = records.select(F.col("idx").alias("query"), T.token_set(F.col("resume_text")).alias("r"), F.size(T.tokenize(F.col("resume_text"))).cast("long").alias("resume_length"))
+    jobs = records.select(F.col("idx").alias("cand"), T.token_set(F.col("job_text")).alias("c"), T.token_set(F.col("requirement_text")).alias("q"), F.size(T.tokenize(F.col("job_text"))).cast("long").alias("jd_length"))
     a, b = vectors.select(F.col("idx").alias("query"), "rv"), vectors.select(F.col("idx").alias("cand"), "jv")
     p = pairs.join(texts, "query").join(jobs, "cand").join(a, "query").join(b, "cand")
-    p = p.select("query", "cand", V.cosine(F.col("rv"), F.col("jv")).alias("embedding_cosine"), *(x.alias(n) for n, x in T.pair_features(F.col("r"), F.col("c"), F.col("q")).items()))
+    p = p.select("query", "cand", V.cosine(F.col("rv"), F.col("jv")).alias("embedding_cosine"), *(x.alias(n) for n, x in T.pair_features(F.col("r"), F.col("c"), F.col("q")).items()), "resume_length", "jd_length")
+    left, right = (records.select(F.col("idx").alias(k), F.col(t).alias("text")) for k, t in (("l", "resume_text"), ("r", "job_text")))
+    tfidf = lexical.tfidf_scores(left, right, pairs.select(F.col("query").alias("l"), F.col("cand").alias("r")), cap=max_features).select(F.col("l").alias("query"), F.col("r").alias("cand"), F.col("tfidf").alias("tfidf_cosine"))
     postings, _ = lexical.bm25_index(records.select(F.col("idx").alias("cand"), F.col("job_text").alias("text")), [], "cand")
     asked = pairs.join(records.select(F.col("idx").alias("query"), F.col("resume_text").alias("text")), "query")
     bm25 = lexical.bm25_scores(asked, "query", postings, [], "cand", paired=True)
-    return p.join(bm25.select("query", "cand", F.col("bm25").alias("bm25_score")), ["query", "cand"], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
-
-
-def sampled_ranking(records: DataFrame, table: DataFrame, vectors: DataFrame, seed: int = 3407, negative_type: str = "hard", scaled: bool = True) -> DataFrame:
-    """Rank metrics of each method over pools of one own job and 19 others, nearest by vector or drawn at random."""
-    labelled = table.select("idx", "binary_label")
-    if negative_type == "random":
-        pool = pools.random_pools(labelled, "idx", "binary_label", seed)
-    else:
-        positive = vectors.join(labelled.where("binary_label = 1"), "idx").select(F.col("idx").alias("id"), F.col("rv").alias("v"))
-        negative = vectors.join(labelled.where("binary_label <> 1"), "idx").select(F.col("idx").alias("id"), F.col("jv").alias("v"))
-        near = nearest(positive, negative, pools.NEGATIVES).select(F.col("id").alias("query"), F.col("other").alias("cand"), F.col("cosine").alias("similarity"))
-        pool = pools.hard_pools(positive.select(F.col("id").alias("query")), near)
-    pool = stored(pool, "pool")
-    scored = pool.join(_item_scores(records, vectors, pool.select("query", "cand").distinct()), ["query", "cand"])
-    fused = fusion.fuse(scored.withColumns({"dp": F.col("embedding_cosine"), "kg": F.col("kg_skill_coverage"), "bm25": F.col("bm25_score")}), fusion.PAIR_WEIGHTS, "fused", ["query"], scale=scaled)
-    long = fusion.to_long(fused, ["query", "pos"], ["embedding_cosine", "bm25_score", "kg_skill_coverage", "fused"]).withColumn("score", F.round("score", 9))
-    return pools.mean_rank_metrics(pools.rank_of_own(long, ["method", "query"]), ["method"]).withColumn("negative_type", F.lit(negative_type))
+    return p.join(tfidf, ["query", "cand"]).join(bm25.select("query", "cand", F.col("bm25").alias("bm25_score")), ["query", "cand"], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
+
+
+def split_pools(held: DataFrame, vectors: DataFrame, negative_type: str) -> DataFrame:
+    """``seed, fold, query, pos, cand``: pools of each split's test rows; hard ones by vector, of all other test rows where negatives are too few."""
+    parts = []
+    for seed, fold in _splits(held):
+        rows = held.where((F.col("seed") == seed) & (F.col("fold") == fold) & F.col("is_test")).select("idx", "binary_label")
+        if negative_type == "random":
+            pool = pools.random_pools(rows, "idx", "binary_label", seed)
+        else:
+            others = rows.where("binary_label <> 1")
+            positive = vectors.join(rows.where("binary_label = 1"), "idx").select(F.col("idx").alias("id"), F.col("rv").alias("v"))
+            source = vectors.join(others if others.count() >= pools.NEGATIVES else rows, "idx").select(F.col("idx").alias("id"), F.col("jv").alias("v"))
+            near = nearest(positive, source, pools.NEGATIVES).select(F.col("id").alias("query"), F.col("other").alias("cand"), F.col("cosine").alias("similarity"))
+            pool = pools.hard_pools(positive.select(F.col("id").alias("query")), near)
+        parts.append(stored(pool.select(F.lit(seed).alias("seed"), F.lit(fold).alias("fold"), "query", "pos", "cand"), "pool"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def pool_scores(records: DataFrame, vectors: DataFrame, pool: DataFrame, fitted: dict, epsilon: float = 2.0, scaled: bool = True, max_features: int = 12_000) -> DataFrame:
+    """``pool`` with every feature, the seed's private score among them, and ``fused`` and ``DP-KER-v2``, the hand-set and the learned fusion."""
+    items = _item_scores(records, vectors, pool.select("query", "cand").distinct(), max_features)
+    asked = pool.select("seed", "query", "cand").distinct().join(vectors.select(F.col("idx").alias("query"), "rv"), "query").join(vectors.select(F.col("idx").alias("cand"), "jv"), "cand")
+    private = private_scores(asked, epsilons=[epsilon], resume="query", job="cand").select("seed", "query", "cand", F.col("dp").alias("dp_embedding_cosine"))
+    scored = pool.join(items, ["query", "cand"]).join(private, ["seed", "query", "cand"])
+    named = scored.withColumns({"dp": F.col("dp_embedding_cosine"), "kg": F.col("kg_skill_coverage"), "bm25": F.col("bm25_score")})
+    fused = stored(fusion.fuse(named, fusion.PAIR_WEIGHTS, "fused", ["seed", "fold", "query"], scale=scaled), "pool_scores")
+    return reduce(DataFrame.unionByName, (learn.with_probability(model, fused.where((F.col("seed") == seed) & (F.col("fold") == fold)), "DP-KER-v2") for (seed, fold), (_, model) in fitted.items()))
+
+
+def rank_rows(scores: DataFrame, methods: list[str]) -> DataFrame:
+    """Mean rank metrics of each split and method, over pools with a column for each method."""
+    long = fusion.to_long(scores.withColumns({m: F.col(m).cast("double") for m in methods}), ["seed", "fold", "query", "pos"], methods).withColumn("score", F.round("score", 9))
+    return pools.mean_rank_metrics(pools.rank_of_own(long, ["seed", "fold", "method", "query"]), ["seed", "fold", "method"])
+
+
+def sampled_ranking(records: DataFrame, table: DataFrame, vectors: DataFrame, mode: str = "fast", negative_type: str = "hard", scaled: bool = True, epsilon: float = 2.0, models: tuple[str, ...] = learn.CLASSIFIERS, small: bool = False,
+                    fitted: dict | None = None, max_features: int = 12_000) -> DataFrame:
+    """Rank metrics of each method over pools of one own job and 19 others, nearest by vector or drawn at random, of each split's test rows.
+
+    Mean and deviation over seeds and folds; ``queries`` is their sum. Models are trained on each split's training rows, unless ``fitted`` has them.
+    """
+    held = _own_dp(fold_rows(table, mode), epsilon, mode)
+    fitted = fitted or fitted_models(held, learn.FEATURES, models=models, small=small)
+    scores = pool_scores(records, vectors, split_pools(held, vectors, negative_type), fitted, epsilon, scaled, max_features)
+    rows = stored(rank_rows(scores, RANKED), "ranks")
+    queries = rows.groupBy("method").agg(F.sum("queries").alias("queries"))
+    return metrics.mean_std(rows, ["method"], RANK_METRICS).join(queries, "method").withColumn("negative_type", F.lit(negative_type)).orderBy("method")
 
 
 def threshold_experiment(table: DataFrame, mode: str = "fast", thresholds: list[float] = THRESHOLDS) -> DataFrame:
@@ -267,7 +317,8 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, mode: str = "fast") ->
     table = spark.read.parquet(base)
     results = core_prediction(table, mode)
     results |= {"privacy": privacy_sweep(table, mode), "threshold": threshold_experiment(table, mode), "robust": robust_validation(table, mode)}
-    results |= {f"ranking_{t}": sampled_ranking(records, table, vectors, negative_type=t) for t in ("random", "hard")}
+    fitted = fitted_models(_own_dp(fold_rows(table, mode), 2.0, mode), learn.FEATURES)
+    results |= {f"ranking_{t}": sampled_ranking(records, table, vectors, mode, t, fitted=fitted) for t in ("random", "hard")}
     for name, df in results.items():
         sinks.write_csv(f"{out_dir}/{name}", df)
     sinks.write_metadata(f"{out_dir}/metadata.json", {"mode": mode, "rows": table.count(), "epsilons": EPSILONS, "seeds": MODES[mode]["seeds"]})

@@ -123,3 +123,31 @@ def test_experiments(spark, raw_dir):
     assert all(r["auc_mean"] >= 0.5 for r in in_sample.collect()) and report.count() == 6
     assert X.full_retrieval(records, vectors).first()["queries"] == 24
     assert X.robust_validation(table, models=("LogisticRegression",)).where("protocol = 'holdout'").count() == 7
+
+
+@pytest.fixture(scope="module")
+def pairs(spark, raw_dir):
+    records = stored(X.records_of(R.v2_records(R.read_raw(spark, raw_dir))), "records")
+    seeds = X.MODES["final"]["seeds"]
+    return records, *X.feature_table(records, seeds=seeds, epsilons=[2.0], max_features=200, components=8)
+
+
+def test_ranking_has_all_methods_on_test_rows_of_each_split(spark, pairs):
+    records, table, vectors = pairs
+    held = X._own_dp(X.fold_rows(table, "fast"), 2.0, "fast")
+    fitted = X.fitted_models(held, X.learn.FEATURES, models=("LogisticRegression",))
+    tested = {(r["seed"], r["fold"], r["idx"]) for r in held.where("is_test").collect()}
+    assert len(fitted) == 3
+    for kind in ("random", "hard"):
+        pool = X.split_pools(held, vectors, kind)
+        rows = pool.collect()
+        # 8 negatives a fold are under 19, so all 15 other test rows serve.
+        assert len(rows) == 24 * 16 and all({(r["seed"], r["fold"], r["query"]), (r["seed"], r["fold"], r["cand"])} <= tested for r in rows)
+        # An own pair's features are those of the feature table.
+        scores = X.pool_scores(records, vectors, pool, fitted, max_features=200)
+        own = {r["query"]: r for r in scores.where("pos = 0").collect()}
+        want = {r["idx"]: r for r in held.where("is_test").collect()}
+        assert len(own) == 24 and all(abs(own[q][f] - want[q][f]) < 1e-9 for q in own for f in X.learn.FEATURES)
+        found = {r["method"]: r for r in X.sampled_ranking(records, table, vectors, negative_type=kind, fitted=fitted, max_features=200).collect()}
+        assert sorted(found) == sorted(X.RANKED) and len(found) == 7 and all(r["runs"] == 3 and r["queries"] == 24 for r in found.values())
+    assert {(r["seed"], r["dp_embedding_cosine"] == r[f"dp_embedding_cosine_epsilon_2_0_seed_{r['seed']}"]) for r in X._own_dp(X.fold_rows(table, "final"), 2.0, "final").collect()} == {(s, True) for s in X.MODES["final"]["seeds"]}
