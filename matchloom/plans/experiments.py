@@ -253,7 +253,7 @@ def sampled_ranking(records: DataFrame, table: DataFrame, vectors: DataFrame, mo
 
 
 def threshold_experiment(table: DataFrame, mode: str = "fast", thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """Oriented heuristics under each threshold of the raw score."""
+    """Oriented heuristics under each threshold of the raw score; ``threshold_tasks`` has the learned fusion."""
     parts = []
     for t in thresholds:
         held = fold_rows(table.withColumn("binary_label", fusion.label_of(F.col("raw_score"), t)), mode)
@@ -261,6 +261,21 @@ def threshold_experiment(table: DataFrame, mode: str = "fast", thresholds: list[
     return metrics.mean_std(reduce(DataFrame.unionByName, parts), ["threshold", "method"], METRICS)
 
 
+def threshold_tasks(records: DataFrame, table: DataFrame, vectors: DataFrame, mode: str = "fast", thresholds: list[float] = THRESHOLDS, epsilon: float = 2.0, models: tuple[str, ...] = learn.CLASSIFIERS, small: bool = False, max_features: int = 12_000) -> tuple[DataFrame, DataFrame]:
+    """The learned fusion, trained anew at each threshold and split with the seed's own private column: as a binary task, and on hard pools."""
+    binary, ranking = [], []
+    for t in thresholds:
+        held = _own_dp(fold_rows(table.withColumn("binary_label", fusion.label_of(F.col("raw_score"), t)), mode), epsilon, mode)
+        fitted = fitted_models(held, learn.FEATURES, models=models, small=small)
+        rows, _ = learned_rows(held, learn.FEATURES, "DP-KER-v2", fitted=fitted)
+        binary.append(stored(classification_rows(rows, ["seed", "fold", "method"]).withColumn("threshold", F.lit(t)), "threshold"))
+        scores = pool_scores(records, vectors, split_pools(held, vectors, "hard"), fitted, epsilon, max_features=max_features)
+        ranking.append(stored(rank_rows(scores, ["DP-KER-v2"]).withColumn("threshold", F.lit(t)), "threshold"))
+    keys = ["threshold", "method"]
+    ranks = metrics.mean_std(reduce(DataFrame.unionByName, ranking), keys, RANK_METRICS).withColumn("negative_type", F.lit("hard"))
+    return metrics.mean_std(reduce(DataFrame.unionByName, binary), keys, METRICS), ranks
+
+
 def robust_validation(table: DataFrame, mode: str = "fast", small: bool = False, models: tuple[str, ...] = learn.CLASSIFIERS) -> DataFrame:
     """Row-level folds, repeated hold-outs and, where groups allow, grouped folds, of heuristics and the learned fusion."""
     keys = ["seed", "fold"]
@@ -317,6 +332,7 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, mode: str = "fast") ->
     table = spark.read.parquet(base)
     results = core_prediction(table, mode)
     results |= {"privacy": privacy_sweep(table, mode), "threshold": threshold_experiment(table, mode), "robust": robust_validation(table, mode)}
+    results["threshold_learned"], results["threshold_ranking"] = threshold_tasks(records, table, vectors, mode)
     fitted = fitted_models(_own_dp(fold_rows(table, mode), 2.0, mode), learn.FEATURES)
     results |= {f"ranking_{t}": sampled_ranking(records, table, vectors, mode, t, fitted=fitted) for t in ("random", "hard")}
     for name, df in results.items():

@@ -151,3 +151,13 @@ def test_ranking_has_all_methods_on_test_rows_of_each_split(spark, pairs):
         found = {r["method"]: r for r in X.sampled_ranking(records, table, vectors, negative_type=kind, fitted=fitted, max_features=200).collect()}
         assert sorted(found) == sorted(X.RANKED) and len(found) == 7 and all(r["runs"] == 3 and r["queries"] == 24 for r in found.values())
     assert {(r["seed"], r["dp_embedding_cosine"] == r[f"dp_embedding_cosine_epsilon_2_0_seed_{r['seed']}"]) for r in X._own_dp(X.fold_rows(table, "final"), 2.0, "final").collect()} == {(s, True) for s in X.MODES["final"]["seeds"]}
+
+
+def test_thresholds_train_and_rank_the_learned_fusion(spark, pairs):
+    records, table, vectors = pairs
+    table = table.withColumn("raw_score", F.when((F.col("raw_score") > 7) & (F.col("idx") % 2 == 0), 9.5).otherwise(F.col("raw_score")))
+    binary, ranking = X.threshold_tasks(records, table, vectors, thresholds=[7.0, 9.0], models=("LogisticRegression",), max_features=200)
+    auc, ranked = ({r["threshold"]: r for r in df.collect()} for df in (binary, ranking))
+    assert set(auc) == set(ranked) == {7.0, 9.0} and {(r["method"], r["runs"]) for r in [*auc.values(), *ranked.values()]} == {("DP-KER-v2", 3)}
+    # The parity of an id can't be learned: the model of each threshold has its own labels.
+    assert auc[7.0]["auc_mean"] > 0.9 > auc[9.0]["auc_mean"] and 0 < ranked[9.0]["mrr_mean"] <= 1 and ranked[7.0]["mrr_mean"] > 0
