@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as T
 from matchloom.functions import vectors as V
 from matchloom.operators import fusion, learn, lexical, metrics, pools, splits
-from matchloom.operators.embedding import build_backend, nearest
+from matchloom.operators.embedding import build_backend, count_before, nearest
 from matchloom.operators.storage import stored
 from matchloom.sources import records as R
 from matchloom.sources import sinks
@@ -306,14 +306,12 @@ def pairwise_in_sample(table: DataFrame, seeds: list[int] | None = None, epsilon
     return metrics.mean_std(classification_rows(turned, ["seed", "method"]), ["method"], METRICS), report
 
 
-def full_retrieval(records: DataFrame, vectors: DataFrame, top: int = 20) -> DataFrame:
-    """Each positive resume against all jobs by vector: the own job's rank up to ``top``, beyond that it counts as not found."""
+def full_retrieval(records: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Each positive resume against all jobs by vector: the own job's rank among all of them, ties to the smaller id."""
     jobs = vectors.select(F.col("idx").alias("id"), F.col("jv").alias("v"))
     queries = vectors.join(records.where("raw_score >= 7").select("idx"), "idx")
-    own = queries.select(F.col("idx"), F.round(V.cosine(F.col("rv"), F.col("jv")), 9).alias("own"))
-    others = nearest(queries.select(F.col("idx").alias("id"), F.col("rv").alias("v")), jobs, top).select(F.col("id").alias("idx"), "other", "cosine")
-    ranked = own.join(others, "idx", "left").groupBy("idx", "own").agg((1 + F.count_if((F.col("cosine") > F.col("own")) | ((F.col("cosine") == F.col("own")) & (F.col("other") < F.col("idx"))))).cast("int").alias("rank"))
-    return pools.mean_rank_metrics(ranked, [])
+    own = queries.select(F.col("idx").alias("id"), F.col("rv").alias("v"), F.round(V.cosine(F.col("rv"), F.col("jv")), 9).alias("own"))
+    return pools.mean_rank_metrics(count_before(own, jobs).select((F.col("before") + 1).cast("int").alias("rank")), [])
 
 
 def summarize(results: dict[str, DataFrame]) -> str:

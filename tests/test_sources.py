@@ -1,4 +1,5 @@
 import json
+import math
 import os
 
 import pytest
@@ -161,3 +162,16 @@ def test_thresholds_train_and_rank_the_learned_fusion(spark, pairs):
     assert set(auc) == set(ranked) == {7.0, 9.0} and {(r["method"], r["runs"]) for r in [*auc.values(), *ranked.values()]} == {("DP-KER-v2", 3)}
     # The parity of an id can't be learned: the model of each threshold has its own labels.
     assert auc[7.0]["auc_mean"] > 0.9 > auc[9.0]["auc_mean"] and 0 < ranked[9.0]["mrr_mean"] <= 1 and ranked[7.0]["mrr_mean"] > 0
+
+
+def test_full_retrieval_ranks_among_all_jobs(spark):
+    # Record 0's own job is the furthest of 40 jobs, so its rank is 40; record 1's ties with the job of 39 and comes first by id.
+    angle = {i: 0.01 * i for i in range(40)} | {0: 1.5, 39: 0.01}
+    rows = [(i, [1.0, 0.0], [math.cos(a), math.sin(a)]) for i, a in angle.items()]
+    vectors = spark.createDataFrame(rows, "idx long, rv array<double>, jv array<double>")
+    records = spark.createDataFrame([(i, 8.0 if i < 2 else 1.0) for i in range(40)], "idx long, raw_score double")
+    got = X.full_retrieval(records, vectors).first()
+    assert got["queries"] == 2 and got["mrr"] == pytest.approx((1 / 40 + 1) / 2) and got["hit_at_1"] == 0.5
+    own = vectors.where("idx < 2").selectExpr("idx id", "rv v", "round(jv[0], 9) own")
+    jobs = vectors.selectExpr("idx id", "jv v")
+    assert {r["id"]: r["before"] for r in X.count_before(own, jobs, block=7).collect()} == {0: 39, 1: 0}
