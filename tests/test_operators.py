@@ -2,11 +2,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import fusion, lexical, metrics, pools, splits
-from matchloom.operators.embedding import TfidfSvd, build_backend, nearest
+from matchloom.operators.embedding import TfidfSvd, build_backend, nearest, right_vectors
 from matchloom.operators.running import running_sums, shuffled_index
 
 
@@ -188,3 +189,16 @@ def test_embedding(spark):
     for i in range(40):
         want = sorted((-round(math.cos(i - j), 9), j) for j in range(40) if j != i)[:3]
         assert [got[(i, r + 1)] for r in range(3)] == [j for _, j in want]
+
+
+def test_svd_has_the_sizes_of_the_final_run_and_the_true_vectors(spark):
+    assert (build_backend().max_features, build_backend().components) == (12_000, 96)
+    rng = np.random.default_rng(1)
+    scale = 0.7 ** np.arange(20)
+    dense = rng.normal(size=(90, 20)) * scale
+    rows = spark.createDataFrame([(list(range(20)), r.tolist()) for r in dense], "at array<int>, w array<double>").repartition(3)
+    got, want = right_vectors(rows, 20, 4), np.linalg.svd(dense)[2][:4].T
+    assert got.shape == (20, 4) and np.allclose(np.abs((got * want).sum(axis=0)), 1, atol=1e-6)
+    texts = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j * j) % 400}" for j in range(40))) for i in range(150)], "id long, text string")
+    fitted = build_backend().fit(texts)
+    assert len(fitted.vocabulary) > 2000 and fitted.projection.shape == (len(fitted.vocabulary), 96) and np.allclose(fitted.projection.T @ fitted.projection, np.eye(96))
