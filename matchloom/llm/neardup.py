@@ -247,15 +247,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; all columns stay.
+    """``docs`` with one document of each group, the one with the smallest id and then text; all columns stay.
 
-    Of rows with the same id one stays, that with the smallest text. Rows with null ids all stay.
+    Rows with the same id are judged by their own texts: only near copies go, and of blank rows of an id one stays. Rows with null ids all stay.
     """
-    gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_matchloom_id")).distinct()
     key = F.col(id_col).cast("long")
-    left = docs.join(gone, key == F.col("_matchloom_id"), "left_anti")
     repeated = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(key.alias("_matchloom_id")).agg(F.count("*").alias("_matchloom_n")).where("_matchloom_n > 1").select("_matchloom_id"), "repeated")
-    single = left.join(repeated, key == F.col("_matchloom_id"), "left_anti")
-    several = left.join(repeated, key == F.col("_matchloom_id"), "left_semi").select(key.alias("_matchloom_id"), F.struct(F.col(text_col).alias("_t"), F.struct("*").alias("_row")).alias("_r"))
-    one = several.groupBy("_matchloom_id").agg(F.min_by("_r", F.coalesce("_r._t", F.lit(""))).alias("_r")).select("_r._row.*")
-    return single.unionByName(one)
+    if repeated.isEmpty():
+        gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_matchloom_id")).distinct()
+        return docs.join(gone, key == F.col("_matchloom_id"), "left_anti")
+    keyed = materialize(docs.withColumn("_matchloom_row", F.monotonically_increasing_id()), "keyed")  # rows are the nodes
+    rows = keyed.where(F.col(id_col).isNotNull())
+    found = near_duplicates(rows, "_matchloom_row", text_col, **how).select(F.col("doc_id").alias("_matchloom_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
+    ranked = rows.select("_matchloom_row", key.alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(found, "_matchloom_row")
+    first = ranked.groupBy("_group", F.when(F.col("_group").isNull(), F.col("_id"))).agg(F.min_by("_matchloom_row", F.struct("_id", "_t", "_matchloom_row")).alias("_matchloom_row")).select("_matchloom_row")
+    return keyed.join(first, "_matchloom_row", "left_semi").select(*docs.columns).unionByName(keyed.where(F.col(id_col).isNull()).select(*docs.columns))

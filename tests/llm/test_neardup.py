@@ -97,6 +97,15 @@ def test_dropping_keeps_one_of_each_group_and_all_columns(docs):
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z"), (8, "")]
 
 
+def test_dropping_keeps_unlike_texts_of_one_id(docs):
+    clean = "a long clean text of many words that is no copy"
+    rows = [(7, ""), (7, clean), (7, clean), (7, ""), (9, "p q r s t u"), (9, "k l m n o"), (3, "k l m n o"), (None, ""), (None, "")]
+    for partitions in (1, 4):
+        kept = drop_near_duplicates(docs(rows, partitions=partitions))
+        assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, ""), (-1, ""), (3, "k l m n o"), (7, ""), (7, clean), (9, "p q r s t u")]
+        assert kept.columns == docs(rows).columns
+
+
 def test_components_of_long_chains(spark):
     n = 300
     order = list(range(n))
