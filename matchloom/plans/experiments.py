@@ -24,7 +24,7 @@ EPSILONS = [0.5, 1.0, 2.0, 4.0, 8.0]
 THRESHOLDS = [6.5, 7.0, 7.5]
 MODES = {"fast": {"folds": 3, "seeds": [3407]}, "final": {"folds": 5, "seeds": splits.SEEDS}}
 METRICS = ["auc", "average_precision", "accuracy", "balanced_accuracy", "f1", "precision", "recall"]
-RANKED = ["tfidf_cosine", "bm25_score", "embedding_cosine", "dp_embedding_cosine", "kg_skill_coverage", "fused", "DP-KER-v2"]
+RANKED = ["tfidf_cosine", "bm25_score", "embedding_cosine", "dp_embedding_cosine", "kg_skill_coverage", "fused", "learned_fusion"]
 RANK_METRICS = ["recall_at_5", "ndcg_at_5", "mrr", "hit_at_1"]
 HEURISTICS = {"TF-IDF": "tfidf_cosine", "BM25": "bm25_score", "Embedding": "embedding_cosine", "DP-Embedding": "dp_embedding_cosine", "KG-only": "kg_skill_coverage"}
 
@@ -87,10 +87,10 @@ def feature_table(records: DataFrame, threshold: float = 7.0, seeds: list[int] |
 
 
 def heuristic_scores(df: DataFrame, scope: list[str], scaled: bool = True) -> DataFrame:
-    """Adds ``DP-KER-v1``, the hand-set fusion, to the single scores, as columns named by method."""
+    """Adds ``hand_fusion``, the hand-set fusion, to the single scores, as columns named by method."""
     named = df.withColumns({m: F.col(c) for m, c in HEURISTICS.items()})
     parts = {"DP-Embedding": 0.45, "KG-only": 0.45, "BM25": 0.10}
-    return fusion.fuse(named, parts, "DP-KER-v1", scope, scale=scaled)
+    return fusion.fuse(named, parts, "hand_fusion", scope, scale=scaled)
 
 
 def classification_rows(scores: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
@@ -103,7 +103,7 @@ def classification_rows(scores: DataFrame, keys: list[str], label: str = "label"
 
 def oriented_heuristics(folded: DataFrame, keys: list[str], label: str = "binary_label") -> DataFrame:
     """``keys, method, label, score`` of test rows, turned by each split's training part. ``folded`` has ``keys`` and ``is_test``."""
-    methods = [*HEURISTICS, "DP-KER-v1"]
+    methods = [*HEURISTICS, "hand_fusion"]
     wide = heuristic_scores(folded, [*keys, "is_test"])
     long = fusion.to_long(wide, [*keys, "is_test", "idx", label], methods).withColumn("label", F.col(label)).withColumn("score", F.round("score", 9))
     turned = fusion.directions(long.where(~F.col("is_test")), [*keys, "method"])
@@ -144,22 +144,22 @@ def core_prediction(table: DataFrame, mode: str = "fast", small: bool = False, m
     spark = table.sparkSession
     held = fold_rows(table, mode)
     keys = ["seed", "fold", "method"]
-    learned, importances = learned_rows(held, learn.FEATURES, "DP-KER-v2", models=models, small=small)
+    learned, importances = learned_rows(held, learn.FEATURES, "learned_fusion", models=models, small=small)
     scores = oriented_heuristics(held, ["seed", "fold"]).unionByName(learned)
     binary = metrics.mean_std(classification_rows(scores, keys), ["method"], METRICS)
 
     wide = stored(heuristic_scores(held.where("is_test"), ["seed", "fold"]), "heuristics")
-    raw = fusion.to_long(wide, ["seed", "fold", "idx", "raw_score"], [*HEURISTICS, "DP-KER-v1"])
+    raw = fusion.to_long(wide, ["seed", "fold", "idx", "raw_score"], [*HEURISTICS, "hand_fusion"])
     for seed, fold in _splits(held):
         rows = held.where((F.col("seed") == seed) & (F.col("fold") == fold))
         _, model = learn.train_regressor(rows.where(~F.col("is_test")), learn.FEATURES, "raw_score", seed, "idx", regressors, small)
-        raw = raw.unionByName(stored(learn.with_prediction(model, rows.where("is_test"), "score").select("seed", "fold", "idx", "raw_score", F.lit("DP-KER-v2").alias("method"), "score"), "regressed"))
+        raw = raw.unionByName(stored(learn.with_prediction(model, rows.where("is_test"), "score").select("seed", "fold", "idx", "raw_score", F.lit("learned_fusion").alias("method"), "score"), "regressed"))
     regression = metrics.errors(raw, keys, "score", "raw_score").join(metrics.correlations(raw.withColumn("score", F.round("score", 9)), keys, "score", "raw_score"), keys)
 
     logistic = ("LogisticRegression",)
     settings = {"full": learn.FEATURES, "without_dp": learn.NON_DP_FEATURES, "without_knowledge": learn.NO_KG_FEATURES, "embedding_only": ["embedding_cosine"], "knowledge_only": learn.KG_FEATURES}
     ablated = reduce(DataFrame.unionByName, (learned_rows(held, f, name, models=logistic)[0] for name, f in settings.items()))
-    hand = fusion.to_long(wide, ["seed", "fold", "binary_label"], ["DP-KER-v1"]).select("seed", "fold", F.lit("without_learned_fusion").alias("method"), F.col("binary_label").alias("label"), "score")
+    hand = fusion.to_long(wide, ["seed", "fold", "binary_label"], ["hand_fusion"]).select("seed", "fold", F.lit("without_learned_fusion").alias("method"), F.col("binary_label").alias("label"), "score")
     ablation = metrics.mean_std(classification_rows(ablated.unionByName(hand), keys).withColumnRenamed("method", "setting"), ["setting"], METRICS)
 
     top = spark.createDataFrame(importances).groupBy("model", "feature").agg(F.avg("importance").alias("importance_mean"), F.stddev_pop("importance").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
@@ -179,7 +179,7 @@ def privacy_sweep(table: DataFrame, mode: str = "fast", epsilons: list[float] =
     for e in epsilons:
         for seed in MODES[mode]["seeds"]:
             held = fold_rows(_with_dp(table, e, seed), mode).where(F.col("seed") == seed)
-            parts.append(learned_rows(held, learn.FEATURES, "DP-KER-v2", small=small)[0].withColumn("epsilon", F.lit(e)))
+            parts.append(learned_rows(held, learn.FEATURES, "learned_fusion", small=small)[0].withColumn("epsilon", F.lit(e)))
     rows = classification_rows(reduce(DataFrame.unionByName, parts), ["epsilon", "seed", "fold", "method"])
     return metrics.mean_std(rows, ["epsilon", "method"], METRICS).withColumn("sigma", V.sigma_column(F.col("epsilon")))
 
@@ -222,14 +222,14 @@ def split_pools(held: DataFrame, vectors: DataFrame, negative_type: str) -> Data
 
 
 def pool_scores(records: DataFrame, vectors: DataFrame, pool: DataFrame, fitted: dict, epsilon: float = 2.0, scaled: bool = True, max_features: int = 12_000) -> DataFrame:
-    """``pool`` with every feature, the seed's private score among them, and ``fused`` and ``DP-KER-v2``, the hand-set and the learned fusion."""
+    """``pool`` with every feature, the seed's private score among them, and ``fused`` and ``learned_fusion``, the hand-set and the learned fusion."""
     items = _item_scores(records, vectors, pool.select("query", "cand").distinct(), max_features)
     asked = pool.select("seed", "query", "cand").distinct().join(vectors.select(F.col("idx").alias("query"), "rv"), "query").join(vectors.select(F.col("idx").alias("cand"), "jv"), "cand")
     private = private_scores(asked, epsilons=[epsilon], resume="query", job="cand").select("seed", "query", "cand", F.col("dp").alias("dp_embedding_cosine"))
     scored = pool.join(items, ["query", "cand"]).join(private, ["seed", "query", "cand"])
     named = scored.withColumns({"dp": F.col("dp_embedding_cosine"), "kg": F.col("kg_skill_coverage"), "bm25": F.col("bm25_score")})
     fused = stored(fusion.fuse(named, fusion.PAIR_WEIGHTS, "fused", ["seed", "fold", "query"], scale=scaled), "pool_scores")
-    return reduce(DataFrame.unionByName, (learn.with_probability(model, fused.where((F.col("seed") == seed) & (F.col("fold") == fold)), "DP-KER-v2") for (seed, fold), (_, model) in fitted.items()))
+    return reduce(DataFrame.unionByName, (learn.with_probability(model, fused.where((F.col("seed") == seed) & (F.col("fold") == fold)), "learned_fusion") for (seed, fold), (_, model) in fitted.items()))
 
 
 def rank_rows(scores: DataFrame, methods: list[str]) -> DataFrame:
@@ -267,10 +267,10 @@ def threshold_tasks(records: DataFrame, table: DataFrame, vectors: DataFrame, mo
     for t in thresholds:
         held = _own_dp(fold_rows(table.withColumn("binary_label", fusion.label_of(F.col("raw_score"), t)), mode), epsilon, mode)
         fitted = fitted_models(held, learn.FEATURES, models=models, small=small)
-        rows, _ = learned_rows(held, learn.FEATURES, "DP-KER-v2", fitted=fitted)
+        rows, _ = learned_rows(held, learn.FEATURES, "learned_fusion", fitted=fitted)
         binary.append(stored(classification_rows(rows, ["seed", "fold", "method"]).withColumn("threshold", F.lit(t)), "threshold"))
         scores = pool_scores(records, vectors, split_pools(held, vectors, "hard"), fitted, epsilon, max_features=max_features)
-        ranking.append(stored(rank_rows(scores, ["DP-KER-v2"]).withColumn("threshold", F.lit(t)), "threshold"))
+        ranking.append(stored(rank_rows(scores, ["learned_fusion"]).withColumn("threshold", F.lit(t)), "threshold"))
     keys = ["threshold", "method"]
     ranks = metrics.mean_std(reduce(DataFrame.unionByName, ranking), keys, RANK_METRICS).withColumn("negative_type", F.lit("hard"))
     return metrics.mean_std(reduce(DataFrame.unionByName, binary), keys, METRICS), ranks
@@ -289,7 +289,7 @@ def robust_validation(table: DataFrame, mode: str = "fast", small: bool = False,
             protocols[f"group_{column}"] = spread.withColumn("is_test", F.col("fold") == F.col("own")).drop("own")
     parts = []
     for name, held in protocols.items():
-        scores = oriented_heuristics(held, keys).unionByName(learned_rows(held, learn.FEATURES, "DP-KER-v2", models=models, small=small)[0])
+        scores = oriented_heuristics(held, keys).unionByName(learned_rows(held, learn.FEATURES, "learned_fusion", models=models, small=small)[0])
         parts.append(stored(classification_rows(scores, [*keys, "method"]).withColumn("protocol", F.lit(name)), "protocol"))
     return metrics.mean_std(reduce(DataFrame.unionByName, parts), ["protocol", "method"], METRICS)
 
@@ -299,7 +299,7 @@ def pairwise_in_sample(table: DataFrame, seeds: list[int] | None = None, epsilon
     parts = []
     for s in seeds or splits.SEEDS:
         wide = heuristic_scores(_with_dp(table, epsilon, s), [])
-        parts.append(fusion.to_long(wide, ["idx", "binary_label"], [*HEURISTICS, "DP-KER-v1"]).withColumns({"seed": F.lit(s), "label": F.col("binary_label"), "score": F.round("score", 9)}))
+        parts.append(fusion.to_long(wide, ["idx", "binary_label"], [*HEURISTICS, "hand_fusion"]).withColumns({"seed": F.lit(s), "label": F.col("binary_label"), "score": F.round("score", 9)}))
     long = reduce(DataFrame.unionByName, parts)
     report = fusion.directions(long, ["seed", "method"])
     turned = fusion.oriented(long, report, ["seed", "method"])

@@ -114,7 +114,7 @@ def test_experiments(spark, raw_dir):
     assert table.count() == 48 and table.where("dp_embedding_cosine = dp_embedding_cosine_epsilon_2_0_seed_3407").count() == 48
     found = X.core_prediction(table, models=("LogisticRegression",), regressors=("Ridge",))
     auc = {r["method"]: r["auc_mean"] for r in found["binary"].collect()}
-    assert auc["DP-KER-v2"] > 0.9 and auc["KG-only"] > 0.9 and all(r["runs"] == 3 for r in found["binary"].collect())
+    assert auc["learned_fusion"] > 0.9 and auc["KG-only"] > 0.9 and all(r["runs"] == 3 for r in found["binary"].collect())
     assert {r["setting"] for r in found["ablation"].collect()} == {"full", "without_dp", "without_knowledge", "embedding_only", "knowledge_only", "without_learned_fusion"}
     assert found["score"].count() == 7 and found["correlation"].count() == 10 and "## binary" in X.summarize({"binary": found["binary"]})
     ranked = {r["method"]: r for t in ("random", "hard") for r in X.sampled_ranking(records, table, vectors, negative_type=t).collect()}
@@ -159,7 +159,7 @@ def test_thresholds_train_and_rank_the_learned_fusion(spark, pairs):
     table = table.withColumn("raw_score", F.when((F.col("raw_score") > 7) & (F.col("idx") % 2 == 0), 9.5).otherwise(F.col("raw_score")))
     binary, ranking = X.threshold_tasks(records, table, vectors, thresholds=[7.0, 9.0], models=("LogisticRegression",), max_features=200)
     auc, ranked = ({r["threshold"]: r for r in df.collect()} for df in (binary, ranking))
-    assert set(auc) == set(ranked) == {7.0, 9.0} and {(r["method"], r["runs"]) for r in [*auc.values(), *ranked.values()]} == {("DP-KER-v2", 3)}
+    assert set(auc) == set(ranked) == {7.0, 9.0} and {(r["method"], r["runs"]) for r in [*auc.values(), *ranked.values()]} == {("learned_fusion", 3)}
     # The parity of an id can't be learned: the model of each threshold has its own labels.
     assert auc[7.0]["auc_mean"] > 0.9 > auc[9.0]["auc_mean"] and 0 < ranked[9.0]["mrr_mean"] <= 1 and ranked[7.0]["mrr_mean"] > 0
 
