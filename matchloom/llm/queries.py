@@ -16,8 +16,8 @@ from matchloom.llm.packing import harmonic_pack
 from matchloom.llm.pii import find_pii, train_pii
 from matchloom.llm.topk import exact_topk
 from matchloom.llm.toxicity import score_toxicity, train_toxicity
-from matchloom.llm.urlfilter import host_of, judge_urls
-from matchloom.llm.warc import audit, manifest, warc_record
+from matchloom.llm.urlfilter import judge_urls
+from matchloom.llm.warc import audit, manifest, places, warc_record
 
 #: The public vocabulary that the packing query counts tokens with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -143,18 +143,22 @@ FROM d LEFT JOIN f USING (k)
 """
 
 
-#: (host, path, verdict) of the url query, and the host labels whose pages make up its list of blocked URLs.
+#: (host, path, verdict) of the url query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-SPAM_LABELS = "adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm"
 
 
 @query
 def op4_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five rules, then the list of all URLs that known spam hosts serve."""
+    """Five rules, then a list of reported URLs.
+
+    No list comes with the tables. Reported is every URL whose md5 begins with a zero, about one in sixteen, in a spelling that no page
+    has: another scheme, without its fragment, with a tracking parameter more. So only canonical forms meet, and a host says nothing.
+    """
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    spam = pages.select("url").where(host_of(F.col("url")).rlike(rf"(^|\.)({SPAM_LABELS})\."))
-    return judge_urls(pages, rules, spam).select("page_id", "host", "path", "rule", "verdict", "listed")
+    bare = F.regexp_replace(F.regexp_replace("url", r"(?s)#.*$", ""), r"(?s)^.*?://", "reported://")
+    reported = pages.where(F.md5(F.col("url").cast("binary")).startswith("0")).select(F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("utm_campaign=report")).alias("url"))
+    return judge_urls(pages, rules, reported).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 ORACLE["op4_blocked_bloom_urls"] = rf"""
@@ -167,7 +171,7 @@ c AS (
   SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '')
     || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_sort(kept), '&') END AS canonical_url
   FROM (SELECT *, list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=&]*|gclid|fbclid|ref)(=|$)')) AS kept FROM u)),
-listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, '(^|\.)({SPAM_LABELS})\.') AND canonical_url <> ''),
+listed AS (SELECT DISTINCT canonical_url FROM c WHERE starts_with(md5(url), '0') AND contains(url, '://') AND canonical_url <> ''),
 r AS (SELECT * FROM (VALUES {", ".join(str(r) for r in URL_RULES)}) x(h, p, v)),
 fit AS (
   SELECT k, h || p AS rule, v, row_number() OVER (PARTITION BY k ORDER BY len(h || p) DESC, len(h) DESC) AS n
@@ -192,8 +196,9 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     replica = pages.where(lot != "2d").withColumn("html", hurt)
     primary = manifest(pages, "page_id", record)
     found, roots = audit(primary, manifest(replica, "page_id", record))
+    lost = found.where("lost > 0").select(F.col("key").alias("k"), F.col("hash").alias("h"), "status")
     root = roots.where("side = 'primary'").first()  # one row
-    return primary.join(found, "key", "left").select(
+    return places(primary).join(lost, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left").select(
         F.col("key").alias("page_id"), "file_no", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), F.col("hash").alias("record_sha256"),
         F.coalesce("status", F.lit("intact")).alias("status"), F.lit(root["hash"] if root else None).cast("string").alias("root_sha256"))
 
@@ -201,19 +206,24 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MERKLE_LEVELS = 10
 ORACLE["op3_merkle_fixity"] = r"""
 WITH p AS (
-  SELECT coalesce(page_id, -1) AS key, html, substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS lot,
+  SELECT page_id AS key, html, substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS lot,
     'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(CAST(page_id AS VARCHAR), '')
       || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
       || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS record FROM pages),
-m AS (SELECT key, CAST(floor(key / 4096) AS BIGINT) AS file_no, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS hash,
+h AS (SELECT key, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS hash,
     CASE lot WHEN '0f' THEN CASE WHEN len(html) > 0 THEN 'changed' ELSE 'intact' END WHEN '1e' THEN 'changed' WHEN '2d' THEN 'missing' ELSE 'intact' END AS status FROM p),
-l0 AS (SELECT key - (SELECT min(key) FROM m) AS node, hash, CAST(length AS BIGINT) AS length FROM m),
-""" + ",\n".join(f"""l{i + 1} AS (SELECT CAST(floor(node / 16) AS BIGINT) AS node, sha256(string_agg(node || ':' || length || ':' || hash, ',' ORDER BY node, hash, length)) AS hash, CAST(sum(length) AS BIGINT) AS length FROM l{i} GROUP BY 1)""" for i in range(_MERKLE_LEVELS)) + """,
+m AS (SELECT *, row_number() OVER (ORDER BY key NULLS FIRST, hash) - 1 AS place FROM h),
+f AS (SELECT *, place // 4096 AS file_no FROM m),
+e AS (SELECT key, length, hash, count(*) AS n, min(place) AS place FROM m GROUP BY key, length, hash),
+l1 AS (
+  SELECT place // 16 AS node, sha256(sha256(string_agg(coalesce(CAST(key AS VARCHAR), '') || ':' || length || ':' || hash || ':' || n, ',' ORDER BY key NULLS FIRST, hash))) AS hash,
+    CAST(sum(length * n) AS BIGINT) AS length FROM e GROUP BY 1),
+""" + ",\n".join(f"""l{i + 1} AS (SELECT node // 16 AS node, sha256(string_agg(node || ':' || length || ':' || hash, ',' ORDER BY node)) AS hash, CAST(sum(length) AS BIGINT) AS length FROM l{i} GROUP BY 1)""" for i in range(1, _MERKLE_LEVELS)) + """,
 tops AS (""" + " UNION ALL ".join(f"SELECT {i} AS level, count(*) AS n, min(hash) AS hash FROM l{i}" for i in range(1, _MERKLE_LEVELS + 1)) + """)
-SELECT key AS page_id, file_no,
-  CAST(coalesce(sum(length + 4) OVER (PARTITION BY file_no ORDER BY key, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
+SELECT key AS page_id, CAST(file_no AS BIGINT) AS file_no,
+  CAST(coalesce(sum(length + 4) OVER (PARTITION BY file_no ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
   length AS record_length, hash AS record_sha256, status, (SELECT hash FROM tops WHERE n = 1 ORDER BY level LIMIT 1) AS root_sha256
-FROM m
+FROM f
 """
 
 

@@ -5,7 +5,9 @@ list it: each suffix of its host at a dot, with each prefix of its path whose le
 block of the filter is one row of eight 32-bit words, and a key sets one bit in each word of one block, so a probe is one
 lookup. Keys that pass go to an exact join on the key itself, which removes the false positives.
 
-The filter is a table, not an object: while it is small it is broadcast, beyond that Spark joins it by block.
+The filter is a table of bounded size, and is always broadcast: probes never move for it. A list too long for its full bits a
+key gets fewer, and passes more false positives on to the exact join. That join has a limit of its own: a short list
+is broadcast, a long one meets the probes that passed by a shuffle on the key.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from matchloom.llm.common import materialize
 
 #: Bits of the filter for each key, which give about 1 false positive in 200 with blocks of 256 bits.
 BITS_PER_KEY = 12
-#: A list of up to so many keys is broadcast (with its filter at most a few MB).
+#: The filter has at most so many blocks of 40 bytes: at 12 bits a key enough for 22 million keys.
+FILTER_BLOCKS = 1 << 20
+#: A list of up to so many keys is broadcast.
 BROADCAST_KEYS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that only track where a visit comes from.
@@ -53,30 +57,32 @@ def _bits(key: Column, blocks: int) -> tuple[Column, Column]:
     return block, masks
 
 
-def blocked_bloom(keys: DataFrame, count: int, bits_per_key: int = BITS_PER_KEY) -> tuple[DataFrame, int]:
+def blocked_bloom(keys: DataFrame, count: int, bits_per_key: int = BITS_PER_KEY, most: int = FILTER_BLOCKS) -> tuple[DataFrame, int]:
     """``block, w0..w3`` of the filter of ``keys.key``, and its number of blocks; built by one combining aggregation."""
-    blocks = max(1, -(-count * bits_per_key // 256))
+    blocks = min(most, max(1, -(-count * bits_per_key // 256)))
     block, masks = _bits(F.col("key"), blocks)
     parts = keys.select(block.alias("block"), masks.alias("m"))
     return parts.groupBy("block").agg(*(F.bit_or(F.col("m")[i]).alias(f"w{i}") for i in range(4))), blocks
 
 
+def passing(probes: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
+    """Rows of ``probes`` whose ``key`` the filter may hold: all that it holds, and few others."""
+    block, masks = _bits(F.col("key"), blocks)
+    asked = probes.withColumn("_block", block).withColumn("_masks", masks).join(F.broadcast(bloom), F.col("_block") == F.col("block"))
+    passed = F.lit(True)
+    for i in range(4):
+        passed = passed & (F.col("_masks")[i].bitwiseAND(F.col(f"w{i}")) == F.col("_masks")[i])
+    return asked.where(passed).select(*probes.columns)
+
+
 def match_listed(probes: DataFrame, listed: DataFrame) -> DataFrame:
     """Rows of ``probes`` (any columns and ``key``) that ``listed`` (``key`` and any columns, unique keys) holds.
 
     Blocked Bloom filter first, exact join after. The keys of both are non-null.
     """
     count = listed.count()
-    bloom, blocks = blocked_bloom(listed.select("key"), count)
-    small = count <= BROADCAST_KEYS
-    block, masks = _bits(F.col("key"), blocks)
-    held = F.broadcast(bloom) if small else bloom
-    asked = probes.withColumn("block", block).withColumn("masks", masks).join(held, "block")
-    passed = F.lit(True)
-    for i in range(4):
-        passed = passed & (F.col("masks")[i].bitwiseAND(F.col(f"w{i}")) == F.col("masks")[i])
-    hits = asked.where(passed).drop("block", "masks", "w0", "w1", "w2", "w3")
-    return hits.join(F.broadcast(listed) if small else listed, "key")
+    hits = passing(probes, *blocked_bloom(listed.select("key"), count))
+    return hits.join(F.broadcast(listed) if count <= BROADCAST_KEYS else listed, "key")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, blocked_urls: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -99,19 +105,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, blocked_urls: DataFrame, id_c
     parsed = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.when(host_of(F.col("url")) != "", canonical(F.col("url"))).alias("canonical_url"))
     own = rules.select(F.translate("host", _UPPER, _LOWER).alias("h"), F.col("path").alias("p"), F.col("verdict").alias("v")).dropna()
     lengths = [r["n"] for r in own.select(F.length("p").alias("n")).distinct().collect()]  # at most one for each length of a path
-    entries = own.groupBy(F.concat(F.lit("r "), "h", F.lit(" "), "p").alias("key"), F.concat("h", "p").alias("rule"), F.length("h").alias("host_length")).agg(F.max("v").alias("verdict"))
-    urls = blocked_urls.select(canonical(F.col("url")).alias("u")).where("u is not null and u <> ''").distinct()
-    listed = materialize(entries.unionByName(urls.select(F.concat(F.lit("u "), "u").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("int").alias("host_length"), F.lit("block").alias("verdict"))), "listed")
+    entries = materialize(own.groupBy(F.concat("h", F.lit(" "), "p").alias("key"), F.concat("h", "p").alias("rule"), F.length("h").alias("host_length")).agg(F.max("v").alias("verdict")), "rules")
+    urls = materialize(blocked_urls.select(canonical(F.col("url")).alias("key")).where("key is not null and key <> ''").distinct(), "listed")
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.lit(lengths).cast("array<int>") if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
-    rule_keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(F.lit("r "), h, F.lit(" "), p))))
+    rule_keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit(" "), p))))
     asked = parsed.where("host <> ''").select("host", "path", "canonical_url").distinct()
-    probes = asked.select("host", "path", "canonical_url", F.explode(F.array_union(rule_keys, F.array(F.concat(F.lit("u "), "canonical_url")))).alias("key"))
-    found = match_listed(probes, listed)
-    best = found.groupBy("host", "path", "canonical_url").agg(
-        F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "host_length", "rule", "verdict"))).alias("best"), F.max(F.col("rule").isNull()).alias("listed"))
+    # Rules and URLs have a filter each: a rule that a third of all URLs asks for stays in a broadcast, away from the long list.
+    by_rule = match_listed(asked.select("host", "path", "canonical_url", F.explode(F.array_distinct(rule_keys)).alias("key")), entries)
+    by_url = match_listed(asked.withColumn("key", F.col("canonical_url")), urls)
+    found = by_rule.select("host", "path", "canonical_url", F.struct(F.length("rule").alias("n"), "host_length", "rule", "verdict").alias("fit"), F.lit(False).alias("listed")) \
+        .unionByName(by_url.select("host", "path", "canonical_url", F.lit(True).alias("listed")), allowMissingColumns=True)
+    best = found.groupBy("host", "path", "canonical_url").agg(F.max("fit").alias("best"), F.max("listed").alias("listed"))
     judged = best.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("canonical_url").alias("c"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"), "listed")
     return parsed.join(judged, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")) & (F.col("canonical_url") == F.col("c")), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("listed"), "block"), F.lit(default)).alias("verdict"), F.coalesce("listed", F.lit(False)).alias("listed"), "canonical_url")

@@ -1,7 +1,8 @@
 import random
 import re
 
-from matchloom.llm.urlfilter import blocked_bloom, judge_urls, match_listed
+import matchloom.llm.urlfilter as urlfilter
+from matchloom.llm.urlfilter import blocked_bloom, judge_urls, match_listed, passing
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -47,3 +48,20 @@ def test_filter_has_no_false_negatives_and_the_join_no_false_positives(spark):
     assert sorted(r.probe for r in found.collect()) == list(range(0, 3000, 3)) and all(r.probe == r.n for r in found.collect())
     bloom, blocks = blocked_bloom(listed.select("key"), 3000)
     assert blocks == 141 and bloom.count() <= blocks
+
+
+def test_the_filter_cuts_nearly_all_other_probes(spark):
+    listed = spark.range(3000).selectExpr("concat('k', id) AS key")
+    others = spark.range(3000, 43000).selectExpr("concat('k', id) AS key")
+    assert passing(others, *blocked_bloom(listed, 3000)).count() <= 0.02 * 40_000
+    bloom, blocks = blocked_bloom(listed, 3000, most=50)  # a filter at its bound: about 4 bits a key
+    assert blocks == 50 and passing(listed, bloom, blocks).count() == 3000 and passing(others, bloom, blocks).count() <= 0.5 * 40_000
+
+
+def test_long_lists_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "BROADCAST_KEYS", 10)
+    listed = spark.range(0, 3000, 3).selectExpr("concat('http://a.net/', id, '?utm_source=z') AS url")
+    urls = [f"http://www.a.net/{i % 2000}/" for i in range(2500)] + ["http://a.net/0"] * 1200
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    got = judge_urls(pages(spark, urls), none, listed).collect()
+    assert len(got) == len(urls) and all((r.verdict == "block") == (int(urls[r.page_id].rstrip("/").rsplit("/", 1)[1]) % 3 == 0) for r in got)
