@@ -36,11 +36,26 @@ def test_awkward_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [2.0, 1.0]), (5, [2.0, 1.0]), (None, [9.0, 9.0]), (6, []), (7, [1.0, 1.0, 1.0]), (20, [])]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>").selectExpr("*", "1 AS rank", "2 AS score", "3 AS shard")
     got = exact_topk(df, df.where("vec_id % 20 = 0"), 5).collect()
-    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(0, 5, 4), (20, 6, 0)]
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(0, 5, 4), (0, 5, 4), (20, 6, 0)]
     assert exact_topk(df.where("false"), df, 5).count() == 0 and exact_topk(df, df.where("false"), 5).count() == 0
 
 
 def test_scores_beyond_double_precision():
     v = np.array([[2.0**40 + 1, 1.0], [2.0**40, 3.0]])
-    found = dict(search_shard(np.array([1, 2]), v, np.array([9]), np.array([[2.0**20, 1.0]]), np.array([-np.inf]), 2))
+    found = dict(search_shard(np.array([1, 2]), v, np.array([9]), np.array([[2.0**20, 1.0]]), [-np.inf], 2))
     assert found[0] == [(2**60 + 2**20 + 1, 1), (2**60 + 3, 2)]
+
+
+def test_a_floor_beyond_double_precision_cuts_no_hit():
+    v = np.array([[2.0**40 + 1, 1.0], [2.0**40 - 5, 3.0]])
+    floor = 2**60 + 2**20 + 1  # as a double it lies elsewhere
+    for f in (floor, floor - 3):
+        found = dict(search_shard(np.array([1, 2]), v, np.array([9]), np.array([[2.0**20, 1.0]]), [f], 2))
+        assert found[0] == [(floor, 1)]
+
+
+def test_repeated_ids(spark):
+    rows = [(1, [2.0, 0.0]), (1, [5.0, 0.0]), (1, [5.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 9.0]), (3, [4.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = exact_topk(df, df.where("vec_id % 50 = 0"), 5, shard_rows=2).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(50, 1, 3, 9), (50, 2, 1, 0), (50, 3, 1, 0), (50, 4, 1, 0)]
