@@ -20,7 +20,7 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -68,13 +68,14 @@ class CachedEncoder:
 
     def _learn(self, words: list[str]) -> None:
         ids = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
-        own: list[int] = []
-        at = iter(words)
+        found: list[list[int]] = [[]]
         for i in ids:
-            own.append(i)
+            found[-1].append(i)
             if i in self.ends:
-                self.cache[next(at)] = self.pack(own)
-                own = []
+                found.append([])
+        if found.pop() or len(found) != len(words):  # an end that ends no word, or none where a word ends
+            found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        self.cache.update(zip(words, map(self.pack, found), strict=True))
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or "<|" in text or not _PLAIN.fullmatch(text):
@@ -114,7 +115,10 @@ def piece_lengths(rest: int, capacity: int, slack: float) -> list[int]:
 
 
 class HarmonicPacker:
-    """Pieces in, (sequence, offset) out, for one worker. A piece is (row, start, length)."""
+    """Pieces in, (sequence, offset) out, for one worker. A piece is (held, start, length).
+
+    ``held`` is what ``cut(start, length)`` gives when the piece is made: a piece that waits keeps its own ids, not its document's.
+    """
 
     def __init__(self, capacity: int = CAPACITY, slack: float = 0.01):
         self.capacity, self.slack, self.open, self.next = capacity, slack, {}, 0
@@ -126,20 +130,21 @@ class HarmonicPacker:
             at += piece[2]
         self.next += 1
 
-    def add(self, row: tuple, tokens: int) -> Iterator[tuple]:
+    def add(self, cut: Callable[[int, int], object], tokens: int) -> Iterator[tuple]:
         start = 0
         while tokens - start >= self.capacity:
-            yield from self._bin([(row, start, self.capacity)])
+            yield from self._bin([(cut(start, self.capacity), start, self.capacity)])
             start += self.capacity
         for length in piece_lengths(tokens - start, self.capacity, self.slack):
             k = self.capacity // length
             pending = self.open.setdefault(k, [])
-            pending.append((row, start, length))
+            pending.append((cut(start, length), start, length))
             start += length
             if len(pending) == k:
                 yield from self._bin(self.open.pop(k))
 
     def finish(self) -> Iterator[tuple]:
+        """What waits, cut further: a piece's start moves within what it holds."""
         left = [p for k in sorted(self.open) for p in self.open[k]]
         self.open = {}
         total = sum(p[2] for p in left)
@@ -149,9 +154,9 @@ class HarmonicPacker:
         for size in sizes:
             pieces, room = [], size
             while room:
-                row, start, length = left[i]
+                held, start, length = left[i]
                 take = min(room, length - used)
-                pieces.append((row, start + used, take))
+                pieces.append((held, start + used, take))
                 room, used = room - take, used + take
                 if used == length:
                     i, used = i + 1, 0
@@ -182,8 +187,8 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         rows: list[tuple] = []
 
         def placed(pieces: Iterator[tuple]) -> None:
-            for ((doc, tokens, ids), start, length), sequence, offset in pieces:
-                cut = ids[4 * start : 4 * (start + length)]
+            for ((doc, tokens, first, ids), start, length), sequence, offset in pieces:
+                cut = ids[4 * (start - first) : 4 * (start - first + length)]
                 row = (doc, start, length, zlib.crc32(cut), tokens, base + sequence, offset, capacity // length)
                 rows.append(row + (memoryview(cut).cast("I").tolist(),) if with_ids else row)
 
@@ -196,7 +201,7 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             for doc, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
                 ids = own.encode(text or "") + tail
                 tokens = len(ids) // 4
-                placed(packer.add((doc, tokens, ids), tokens))
+                placed(packer.add(lambda start, length: (doc, tokens, start, ids[4 * start : 4 * (start + length)]), tokens))  # noqa: B023
                 if len(rows) >= 4096:
                     yield batch()
         placed(packer.finish())

@@ -74,7 +74,7 @@ def test_every_id_lies_in_one_piece(spark, docs, awkward):
 
 def test_full_bins_hold_a_fixed_number_of_pieces():
     packer = HarmonicPacker()
-    out = [x for i in range(1000) for x in packer.add((i,), 300 + i % 40)]
+    out = [x for i in range(1000) for x in packer.add(lambda start, length, i=i: (i, start, length), 300 + i % 40)]
     bins = defaultdict(list)
     for (_, _, length), sequence, _ in out:
         bins[sequence].append(length)
@@ -85,3 +85,18 @@ def test_full_bins_hold_a_fixed_number_of_pieces():
 def test_ids_can_come_along(docs):
     row = harmonic_pack(docs([(1, "hello world")]), PATH, with_ids=True).collect()
     assert sum((list(r.ids) for r in sorted(row, key=lambda r: r.start)), []) == [*TOKENIZER.encode("hello world", add_special_tokens=False).ids, 1]
+
+
+def test_waiting_pieces_hold_their_own_ids_only():
+    packer = HarmonicPacker()
+    for i in range(200):
+        ids = bytes(4 * (2048 * 50 + 3 + i % 5))
+        list(packer.add(lambda start, length, ids=ids: ids[4 * start : 4 * (start + length)], len(ids) // 4))
+    waiting = [(len(held), length) for own in packer.open.values() for held, _, length in own]
+    assert waiting and all(size == 4 * length for size, length in waiting) and sum(size for size, _ in waiting) < 4 * 2048 * len(packer.open)
+
+
+def test_words_are_learned_one_by_one_if_ends_mislead():
+    own = CachedEncoder(PATH)
+    own.ends = set()
+    assert own.encode("several words here") == array("I", TOKENIZER.encode("several words here", add_special_tokens=False).ids).tobytes()
