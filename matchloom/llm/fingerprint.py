@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,50 +120,71 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string, n_distinct double")
 
 
-CELLS = 1 << 16
+#: At most so many ranges, and sampled ids for each of them.
+RANGES, SAMPLED = 1 << 16, 20
 
 
-def in_order_with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 2000) -> DataFrame:
+def _bucket_of(bounds: list[int]):
+    """A UDF of (key, hash of the text): how many of the sorted ``bounds`` are at most the key.
+
+    A key that is several bounds at once is hot, and its rows are dealt to as many ranges by the hash.
+    """
+    held = np.array(bounds, dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(key: pd.Series, h: pd.Series) -> pd.Series:
+        keys = key.to_numpy()
+        first, last = np.searchsorted(held, keys, side="left"), np.searchsorted(held, keys, side="right")
+        share = (h.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        within = np.minimum((share * (last - first)).astype(np.int64), np.maximum(last - first - 1, 0))
+        return pd.Series(np.where(last - first > 1, first + 1 + within, last).astype(np.int32))
+
+    return bucket
+
+
+def in_order_with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 500) -> DataFrame:
     """Deal ``docs`` out by ranges of ids, each sorted, with the row that follows each range at its end.
 
-    Returns ``bucket, own, doc_id, text``. Two scans of the ids alone find the ranges: the span of ids is cut
-    into ``CELLS`` cells, whose counts and smallest ids (the driver gets no more than these) are joined to ranges of about
-    ``rows_per_range`` rows, and the texts move once. ``own`` is false for a row that only serves as the
-    successor of a range's last row; after the last range follows the first row of all. Null ids come first;
-    equal ids are ordered by text. The ranges are sorted on disk if need be, and then stream by.
+    Returns ``bucket, own, doc_id, text``. A bounded sample of ids (the driver gets no more than that, and a row a range) gives the
+    bounds of ranges of about ``rows_per_range`` rows; another pass over the ids finds where each range begins. The texts of
+    the rows that begin a range are read apart and follow the range before as its end, with ``own`` false; after the
+    last range follows the first row of all. All other texts move once. Null ids count as the smallest id of all, equal ids
+    are ordered by a hash of their text, and an id that fills several ranges is dealt to them in that order.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    span = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, hi = float(span["lo"] or 0), float(span["hi"] or 0)
-    step = max(1.0, (hi - lo) / (CELLS - 1))
-    # Doubles keep the order of ids, which is all that a cell needs.
-    cell = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.floor((F.col("doc_id").cast("double") - lo) / step)).cast("int")
-    counts = {r["c"]: (r["n"], r["h"]) for r in rows.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("doc_id").alias("h")).collect()}
-    ranges, heads, size = [0] * (CELLS + 2), [], rows_per_range
-    for c in sorted(counts):
-        if size >= rows_per_range:
-            heads.append(counts[c][1])
-            size = 0
-        size += counts[c][0]
-        ranges[c] = len(heads) - 1
-    n = max(1, len(heads))
-    closes = [(h, (i - 1) % n) for i, h in enumerate(heads)] or [(0, 0)]
-    lookup = F.from_json(F.lit(json.dumps(ranges[: max(counts, default=0) + 1])), "array<int>")
-    pairs = docs.sparkSession.createDataFrame(closes, "head long, closes int")  # a row a range
-    found = rows.withColumn("bucket", lookup[cell]).join(F.broadcast(pairs), F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    own = F.struct(F.col("bucket").alias("b"), F.lit(True).alias("o"))
-    copies = F.when(F.col("closes").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("closes").alias("b"), F.lit(False).alias("o"))))
-    dealt = found.select("doc_id", "text", F.explode(copies).alias("c")).select(F.col("c.b").alias("bucket"), F.col("c.o").alias("own"), "doc_id", "text")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("own"), "doc_id", "text")
-
-
-def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, k: int = K, rows_per_range: int = 2000) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
+        .withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    count = docs.count()
+    n = max(1, min(RANGES, -(-count // rows_per_range)))
+    sampled = sorted(r["key"] for r in rows.select("key").sample(min(1.0, SAMPLED * n / max(1, count)), seed=7).collect())
+    bounds = [sampled[len(sampled) * i // n] for i in range(1, n)] if sampled else []
+    hot = len(set(bounds)) < len(bounds)
+    order = F.xxhash64("text")
+    bucket = _bucket_of(bounds)
+    # Texts are read in this pass only if an id fills a range alone.
+    keyed = rows.withColumn("h", order if hot else F.lit(0).cast("long")).select("key", "h", bucket("key", "h").alias("bucket"))
+    begins = keyed.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("b")).select("bucket", "b.*").collect() if hot else keyed.groupBy("bucket").agg(F.min("key").alias("key")).collect()
+    begins = sorted(begins, key=lambda r: r["bucket"])
+    before = [(r["bucket"], r["key"], r["h"] if hot else None, begins[i - 1]["bucket"]) for i, r in enumerate(begins)]
+    heads = docs.sparkSession.createDataFrame(before, "own_bucket int, head long, head_hash long, after int")  # a row a range
+    dealt = rows.withColumn("h", order).withColumn("bucket", bucket("key", "h"))
+    at_head = (F.col("key") == F.col("head")) & (F.col("head_hash").isNull() | (F.col("h") == F.col("head_hash")))
+    if hot:
+        at_head = at_head & (F.col("bucket") == F.col("own_bucket"))
+    source = dealt if hot else rows.withColumn("h", order)
+    closing = source.join(F.broadcast(heads), at_head).groupBy("after").agg(F.min(F.struct("h", "text", "key", "doc_id")).alias("c"))
+    ends = closing.select(F.col("after").alias("bucket"), F.lit(False).alias("own"), F.col("c.key").alias("key"), F.col("c.h").alias("h"), F.col("c.doc_id").alias("doc_id"), F.col("c.text").alias("text"))
+    every = dealt.select("bucket", F.lit(True).alias("own"), "key", "h", "doc_id", "text").unionByName(ends)
+    # Four ranges a partition even out that some get more of them than others.
+    return every.repartition(max(1, -(-n // 4)), "bucket").sortWithinPartitions("bucket", F.desc("own"), "key", "h", "text").select("bucket", "own", "doc_id", "text")
+
+
+def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, k: int = K, rows_per_range: int = 500) -> DataFrame:
     """Fingerprint each text, an edited text and the next text, and estimate their likeness.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many (or all) from
     the start of the next document, in ascending order of id; after the last document comes the first.
 
-    Null text: empty. Null ids come first in the order. Equal ids follow each other by text. A single
+    Null text: empty. Null ids come first in the order. Equal ids follow each other by a hash of the text. A single
     document follows itself. Empty table: no rows. Two empty texts have likeness 1.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
@@ -184,16 +205,13 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, str]] = []
-        bucket, closed = None, False
+        bucket = None
         for batch in batches:
             for b, own, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != bucket:
-                    held, bucket, closed = [], b, False
-                if closed:  # a further row with the id of the next range's head
-                    continue
-                closed = not own
+                    held, bucket = [], b
                 held.append((doc, text))
-                if closed or len(held) > 256:
+                if not own or len(held) > 256:
                     if len(held) > 1:
                         yield compared(held)
                     held = held[-1:]

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 
 from matchloom.llm.common import shingle_sets
-from matchloom.llm.fingerprint import Sketch, compare_edited, fingerprints, merge_fingerprints
+from matchloom.llm.fingerprint import Sketch, compare_edited, fingerprints, in_order_with_next, merge_fingerprints
 
 
 def text(seed, n):
@@ -37,6 +37,10 @@ def test_edited_texts_and_order(docs):
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         r = got[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.fingerprint == prints[i]
+        full = shingle_sets([t.encode(), edited.encode()], 5)
+        both, union = len(np.intersect1d(*full)), len(np.union1d(*full))
+        exact = both / union if union else 1.0
+        assert abs(r.near_edited - exact) <= (0 if union <= 128 else 0.2)  # at most 128 hashes are no estimate
         assert r.edited_fingerprint == str(Sketch.of([edited.encode()], 5)[0]) and r.near_next == Sketch.parse(prints[i]).resemblance(Sketch.parse(prints[j]))
 
 
@@ -56,3 +60,36 @@ def test_merging_over_rows(spark, docs):
     for r in merged:
         want = np.unique(np.concatenate([s for (i, _), s in zip(rows, shingle_sets([t.encode() for _, t in rows], 5), strict=True) if i % 2 == int(r.k)]))
         assert r.fingerprint == str(Sketch(want))
+
+
+def test_likeness_of_long_texts_against_full_sets(docs):
+    rows = [(i, text(i, 1500 + 100 * i)) for i in range(20)]
+    got = {r.doc_id: r for r in compare_edited(docs(rows)).collect()}
+    off = []
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        a, b = shingle_sets([t.encode(), (t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()], 5)
+        off.append(got[i].near_edited - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+    assert abs(np.mean(off)) < 0.03 and np.max(np.abs(off)) < 0.15
+
+
+def test_hot_and_far_ids_are_dealt_to_many_ranges(docs):
+    rows = [(None, f"null {i} text") for i in range(200)] + [(7, f"seven {i % 90} text") for i in range(200)] + [(i, f"id {i} text") for i in range(100, 300)] + [(2**62, "far away text")]
+    dealt = in_order_with_next(docs(rows), "doc_id", "text", rows_per_range=20).collect()
+    sizes = {}
+    for r in dealt:
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + r.own
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) <= 90
+    got = compare_edited(docs(rows), rows_per_range=20).collect()
+    assert len(got) == len(rows)
+    # Every row is the successor of just one.
+    follows = {}
+    for t in (t for _, t in rows):
+        follows[t] = follows.get(t, 0) + 1
+    half = lambda t, after: hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None and 100 <= r.doc_id < 300}
+    assert all(by_id[i].edited_sha256 == half(f"id {i} text", f"id {i + 1} text") for i in range(100, 299))
+    assert by_id[299].edited_sha256 == half("id 299 text", "far away text")
+    last = next(r for r in got if r.doc_id == 2**62)
+    assert last.edited_sha256 in {half("far away text", t) for i, t in rows if i is None}
+    ends = [r.text for r in dealt if not r.own]
+    assert len(ends) == len(sizes)
