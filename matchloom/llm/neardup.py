@@ -6,9 +6,11 @@ Plan, in stages that each survive a lost executor (tables between them lie in th
 2. equal sets collapse to one class (map-side combined, so a hot group of copies costs one row a task);
 3. every class meets the smallest class of each of its bands: a star of links a bucket, never its pairs.
    The components of these links are the candidate groups, which hold any two classes that share a band;
-4. each group is verified on full sets, once for all bands. A group above ``block_shingles`` is dealt out
-   in blocks, a task for each two blocks, so a task's memory is bounded. A breadth-first search over an
-   inverted index of the task's shingles finds the links and returns a spanning forest only;
+4. each group is verified on full sets, once for all bands. A breadth-first search over an inverted index of a task's
+   shingles finds the links and returns a spanning forest only. A group above ``block_shingles`` is dealt out in blocks, and each
+   block is verified with a few anchors that all blocks of the group share. That links nearly all of a large group of near copies.
+   What is outside its largest component then meets every block: the work grows with the group times what is left over, and
+   with the square of the group only where most of it isn't linked at all;
 5. the components of the verified links give ``component_id``.
 """
 
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import _COEF, materialize, mix64, shingle_sets, small_batches, text_bytes
 
 BANDS, ROWS = 48, 6
-BLOCK_SHINGLES = 1_000_000
+#: Shingles that a task verifies at a time, and members of a larger group that all its tasks share.
+BLOCK_SHINGLES, ANCHORS = 50_000, 8
 
 
 def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
@@ -221,18 +224,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = entries.join(buckets, "band").where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
     groups = connected_components(stars)
 
-    weighed = groups.join(classes.select(F.col("rep").alias("node"), "n", "set_hash"), "node")
-    totals = weighed.groupBy("component").agg(F.sum("n").alias("total"))
-    # A group's blocks: a member goes to the tasks (i, j) of its block i with every other block j.
-    spread = weighed.join(totals, "component").withColumn("k", F.ceil(F.col("total") / block_shingles).cast("int")) \
-        .withColumn("i", F.expr("cast(pmod(xxhash64(node), k) as int)"))
-    spread = spread.select("component", F.col("node").alias("doc_id"), "set_hash", F.explode(F.expr(
-        "case when k < 2 then array(named_struct('a', 0, 'b', 0)) else transform(filter(sequence(0, k - 1), x -> x <> i), x -> named_struct('a', least(i, x), 'b', greatest(i, x))) end")).alias("p"))
-    members = materialize(spread.select("component", F.col("p.a").alias("a"), F.col("p.b").alias("b"), "doc_id"), "members")
-    # One text a node; of a repeated id all rows are nodes of that id, and the search links them by their own sets.
-    texts = rows_in.join(members, "doc_id")
-    found = texts.select("component", "a", "b", "doc_id", "text").repartition("component", "a", "b") \
-        .sortWithinPartitions("component", "a", "b", "doc_id").mapInArrow(_verify(width, num, den), "u long, v long")
+    weighed = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    per_group = weighed.groupBy("component").agg(F.sum("n").alias("total"), F.min("node").alias("least"), *(F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"a{j}") for j in range(1, ANCHORS)))
+    sized = materialize(weighed.join(per_group.withColumn("k", F.ceil(F.col("total") / block_shingles).cast("int")), "component")
+                        .withColumn("block", F.expr("cast(pmod(xxhash64(node, 3), k) as int)")).withColumn("anchors", F.array_distinct(F.array("least", *(f"a{j}" for j in range(1, ANCHORS)))))
+                        .select("component", "node", "n", "k", "block", F.array_contains("anchors", F.col("node")).alias("anchor")), "sized")
+
+    def verified(tasks: DataFrame) -> DataFrame:
+        """Links among the members of each task: ``component, a, b`` name it, ``doc_id`` is the member."""
+        # Of a repeated id all rows come along, as nodes of that id, and the search links them by their own sets.
+        texts = rows_in.join(tasks, "doc_id").select("component", "a", "b", "doc_id", "text")
+        return texts.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "doc_id").mapInArrow(_verify(width, num, den), "u long, v long")
+
+    blocks = F.when(F.col("anchor"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("block"))
+    found = materialize(verified(sized.select("component", F.explode(blocks).alias("a"), F.lit(0).alias("b"), F.col("node").alias("doc_id"))), "found")
+    large = sized.where("k > 1")
+    if not large.isEmpty():
+        labels = connected_components(found).withColumnRenamed("component", "label")
+        held = materialize(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
+        by_label = held.groupBy("component", "label").agg(F.sum("n").alias("m"))
+        main = by_label.groupBy("component").agg(F.max(F.struct("m", "label"))["label"].alias("main"), (F.sum("m") - F.max("m")).alias("rest"))
+        left = held.join(main.where("rest > 0"), "component").withColumn("kb", F.ceil(F.col("rest") / block_shingles).cast("int")).withColumn("other", F.col("label") != F.col("main"))
+        rest = materialize(left.withColumn("spare", F.expr("cast(pmod(xxhash64(node, 5), kb) as int)")).select("component", "node", "k", "kb", "block", "spare", "other"), "rest")
+        every = rest.select("component", F.col("block").alias("a"), F.explode(F.expr("sequence(0, kb - 1)")).alias("b"), F.col("node").alias("doc_id"))
+        others = rest.where("other").select("component", F.explode(F.expr("sequence(0, k - 1)")).alias("a"), F.col("spare").alias("b"), F.col("node").alias("doc_id"))
+        found = found.unionByName(materialize(verified(every.unionByName(others).distinct()), "found"))
     # A repeated id with different sets joins their classes.
     named_rows = signed.where("doc_id is not null and set_hash is not null").select("doc_id", "set_hash")
     repeated = named_rows.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).where("a <> b").select("doc_id")
@@ -247,18 +263,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id and then text; all columns stay.
+    """``docs`` with one document of each group, the one with the smallest id and then text; all columns stay, whatever their names.
 
-    Rows with the same id are judged by their own texts: only near copies go, and of blank rows of an id one stays. Rows with null ids all stay.
+    Rows with the same id are judged by their own texts: only near copies go, and of blank rows of an id one stays. Of rows that tie in
+    id and text the one stays whose other columns hash smallest. Rows with null ids all stay. Empty table: no rows.
     """
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    held, n, row, group, own = (mark + c for c in ("id", "n", "row", "group", "own"))
     key = F.col(id_col).cast("long")
-    repeated = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(key.alias("_matchloom_id")).agg(F.count("*").alias("_matchloom_n")).where("_matchloom_n > 1").select("_matchloom_id"), "repeated")
+    repeated = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(key.alias(held)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(held), "repeated")
     if repeated.isEmpty():
-        gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_matchloom_id")).distinct()
-        return docs.join(gone, key == F.col("_matchloom_id"), "left_anti")
-    keyed = materialize(docs.withColumn("_matchloom_row", F.monotonically_increasing_id()), "keyed")  # rows are the nodes
+        gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias(held)).distinct()
+        return docs.join(gone, key == F.col(held), "left_anti")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")  # rows are the nodes
     rows = keyed.where(F.col(id_col).isNotNull())
-    found = near_duplicates(rows, "_matchloom_row", text_col, **how).select(F.col("doc_id").alias("_matchloom_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
-    ranked = rows.select("_matchloom_row", key.alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(found, "_matchloom_row")
-    first = ranked.groupBy("_group", F.when(F.col("_group").isNull(), F.col("_id"))).agg(F.min_by("_matchloom_row", F.struct("_id", "_t", "_matchloom_row")).alias("_matchloom_row")).select("_matchloom_row")
-    return keyed.join(first, "_matchloom_row", "left_semi").select(*docs.columns).unionByName(keyed.where(F.col(id_col).isNull()).select(*docs.columns))
+    found = near_duplicates(rows, row, text_col, **how).select(F.col("doc_id").alias(row), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias(group))
+    order = F.struct(key.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.to_json(F.struct(*docs.columns))).alias("rest"), F.col(row).alias("row"))
+    ranked = rows.select(row, order.alias(own)).join(found, row)
+    first = ranked.groupBy(group, F.when(F.col(group).isNull(), F.col(own)["id"])).agg(F.min(own).alias(own)).select(F.col(own)["row"].alias(row))
+    return keyed.join(first, row, "left_semi").select(*docs.columns).unionByName(keyed.where(F.col(id_col).isNull()).select(*docs.columns))
