@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchloom.llm.urlfilter import blocked_bloom, passing
+
 #: Fixed values of the base scan: phrases, and the label of each.
 PHRASES = [
     ("gnu general public license", "gpl"),
@@ -44,16 +46,13 @@ NOTICES = [
 
 #: A template set of up to so many 2-grams is broadcast; a larger one is joined by shuffle.
 BROADCAST_GRAMS = 1_000_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words: runs of a-z, 0-9 and of characters beyond ASCII; null counts as empty.
-
-    All of Unicode is lower-cased, not A-Z alone. That changes no word's bounds, and of the letters that
-    templates are made of only k is the lower case of another character (the Kelvin sign).
-    """
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words: runs of letters, digits and characters beyond ASCII, A-Z lower-cased; null counts as empty."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -> DataFrame:
@@ -75,15 +74,26 @@ _END = ""
 
 
 def _hits(docs: DataFrame, templates: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys, template, kind, label, n_grams, q, p`` of every hit, and of the end of every text, at p = its number of words."""
-    end = docs.sparkSession.createDataFrame([(-1, "end", "", _END, 0, 0)], templates.schema)
-    keyed = templates.unionByName(end).withColumn("h", F.xxhash64("gram"))
-    small = templates.count() <= BROADCAST_GRAMS
-    # The 2-gram itself goes along with its hash: a hit is a hit of the same words.
+    """``keys, template, kind, label, n_grams, q, p`` of every hit, and of the end of every text, at p = its number of words.
+
+    Few templates are broadcast. Many meet by a shuffle only the 2-grams that a Bloom filter of bounded size lets pass, hot ones
+    split by the adaptive join; ends of texts never go along under one key, they keep to hashes of their rows.
+    """
     words = docs.select(*keys, words_of(F.col(text_col)).alias("w"))
+    # Of each text its 2-grams and its end, so that the words are cut once.
     grams = F.expr(f"array_append(transform(slice(w, 2, greatest(size(w), 1)), (x, i) -> named_struct('p', i, 'g', concat(w[i], ' ', x))), named_struct('p', size(w), 'g', '{_END}'))")
     entries = words.select(*keys, F.inline(grams))
-    return entries.join(F.broadcast(keyed) if small else keyed, (F.xxhash64("g") == F.col("h")) & (F.col("g") == F.col("gram")))
+    end = docs.sparkSession.createDataFrame([(-1, "end", "", _END, 0, 0)], templates.schema)
+    keyed = templates.unionByName(end).withColumn("h", F.xxhash64("gram"))
+    count = templates.count()
+    # The 2-gram itself goes along with its hash: a hit is a hit of the same words.
+    if count <= BROADCAST_GRAMS:
+        return entries.join(F.broadcast(keyed), (F.xxhash64("g") == F.col("h")) & (F.col("g") == F.col("gram")))
+    bloom, blocks = blocked_bloom(keyed.select(F.col("gram").alias("key")).distinct(), count + 1)
+    likely = passing(entries.withColumn("key", F.col("g")), bloom, blocks).drop("key")
+    spread = F.when(F.col("g") == _END, F.xxhash64(*keys)).otherwise(F.xxhash64("g"))
+    met = likely.withColumn("_h", spread).join(keyed.where("kind <> 'end'"), (F.col("_h") == F.col("h")) & (F.col("g") == F.col("gram")), "left").where((F.col("gram").isNotNull()) | (F.col("g") == _END)).drop("_h")
+    return met.fillna({"template": -1, "kind": "end", "label": "", "n_grams": 0, "q": 0})
 
 
 def license_spans(docs: DataFrame, templates: DataFrame, keys: list[str] | None = None, text_col: str = "text", gap: int = 2) -> DataFrame:

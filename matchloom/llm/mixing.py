@@ -64,9 +64,13 @@ def mix_thresholds(sized: DataFrame, budget_share: float, cap: float, weights: l
     small = sources.count() <= BROADCAST_SOURCES
     # Thresholds: the digits fixed so far, and what is left of the budget for the documents that begin with them.
     marks = sources.select("source", F.lit("").alias("prefix"), F.col("rest").alias("left"))
+    held = sized
     for at in range(1, DIGITS + 1, LEVEL):
         named = marks.select(F.col("source").alias("s"), "prefix", "left")
-        inside = sized.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("s")) & F.col("digits").startswith(F.col("prefix")))
+        inside = held.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("s")) & F.col("digits").startswith(F.col("prefix")))
+        if at == 1 + LEVEL:  # the boundary buckets' rows, which are all that further levels look at
+            inside = materialize(inside.select("source", "size", "digits", "prefix", "left"), "boundary")
+            held = inside.select("source", "size", "digits")
         tokens = inside.groupBy("source", "prefix", "left", F.substring("digits", at, LEVEL).alias("bucket")).agg(F.sum("size").alias("tokens"))
         upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
         running = tokens.withColumn("upto", upto).where("upto > left")

@@ -123,7 +123,7 @@ def _templates_sql() -> str:
 ORACLE["op9_license_diagonals"] = rf"""
 WITH t AS (SELECT *, string_split(text, ' ') AS tw FROM (VALUES {_templates_sql()}) x(template, kind, label, text)),
 tg AS (SELECT template, kind, label, len(tw) - 1 AS n_grams, q - 1 AS q, tw[q] || ' ' || tw[q + 1] AS gram FROM t, unnest(range(1, len(tw))) r(q)),
-d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT k, p - 1 AS p, w[p] || ' ' || w[p + 1] AS gram FROM d, unnest(range(1, len(w))) r(p)),
 h AS (SELECT DISTINCT k, template, kind, label, n_grams, p - q AS diagonal, q FROM g JOIN tg USING (gram)),
 v AS (SELECT k, template, kind, label, n_grams, diagonal, list(q) AS qs FROM h GROUP BY ALL),
