@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,25 +13,44 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a local folder is chosen, once a session.
+    Only where driver and executors are one process (tests, a laptop) and the setting is absent a local folder is chosen, once a
+    session; a cluster without the setting gets an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.matchloom.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="matchloom-")
         spark.conf.set("spark.matchloom.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of the tables written by this process, oldest first.
+written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/matchloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing will read again; a caller that has written its result may pass all of ``written``."""
+    for path in list(paths):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        written.remove(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Lower the session's rows per Arrow batch to ``rows``, if it is higher: documents are long, and workers hold a batch several times."""
+    """Lower the session's rows per Arrow batch to ``rows``, if it is higher: documents are long, and workers hold a batch several times.
+
+    Spark reads the setting when a query starts, so it stays lowered for the session; a caller's lower one is kept.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)

@@ -26,6 +26,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _OPENINGS = range(3, 9)
 #: Bound of the training sample: about so many labelled rows of each class, those with the smallest hashes.
 ROWS_PER_CLASS = 3_000
+#: Size of a model: the features that tell the classes apart best. On the sample above far fewer pass the test of significance.
 MAX_FEATURES = 20_000
 
 
@@ -108,18 +109,20 @@ def _grade(cues: int) -> int:
     return 1 if cues <= 2 else 2 if cues <= 5 else 3
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> OrdinalModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS,
+                   max_features: int = MAX_FEATURES) -> OrdinalModel:
     """Fit a model on a bounded sample of labelled rows, weighted back to all of them.
 
     ``label_col`` above 0 says toxic. Labels of only two values give no severity, so a toxic text's grade is
     the number of its words that carry a cue (a feature far commoner in toxic texts): up to 2, up to 5, more. Labels
     with values above 1 are grades themselves.
 
-    * labels with nulls, and rows whose text is null, teach nothing; a label given twice counts as its larger value;
+    * labels with nulls, and rows whose text is null, teach nothing; a label given twice counts as its larger value, one below 0 as 0;
+    * of repeated rows of an id the smallest text teaches, so the sample is bounded whatever repeats;
     * without any toxic or any clean labelled text nothing can be learned: every text gets grade 0.
     """
     small_batches(docs.sparkSession)
-    named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
+    named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.col(label_col).cast("int"), F.lit(0)).alias("y"), F.col(label_col).alias("given")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     named = named.withColumn("c", (F.col("y") > 0).cast("int"))
     totals = {r["c"]: r["n"] for r in named.groupBy("c").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
@@ -128,7 +131,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     share = F.when(F.col("c") == 1, min(1.0, rows_per_class / totals[1])).otherwise(min(1.0, rows_per_class / totals[0]))
     chosen = named.where(unit < share).withColumn("weight", 1 / share)  # about 2 * rows_per_class rows
     sample = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna().join(F.broadcast(chosen), "doc_id")
-                         .select("doc_id", "c", "y", "weight", "text"), "toxicity-sample")
+                         .groupBy("doc_id", "c", "y", "weight").agg(F.min("text").alias("text")), "toxicity-sample")
     schema = pa.schema([("doc_id", pa.int64()), ("c", pa.int32()), ("feature", pa.string()), ("n", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +149,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     odds = lambda k, n: F.log((F.col(k) + 0.5) / (float(n) + 0.5 - F.col(k)))
     seen = entries.groupBy("feature").agg(F.sum("c").cast("double").alias("k1"), F.sum(1 - F.col("c")).cast("double").alias("k0")).where("k1 + k0 >= 5")
     z = (odds("k1", n1) - odds("k0", n0)) / F.sqrt(1 / (F.col("k1") + 0.5) + 1 / (F.col("k0") + 0.5))
-    picked = [(r["feature"], r["z"], r["k1"], r["k0"]) for r in seen.withColumn("z", z).where(F.abs("z") >= 4).orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES).collect()]
+    picked = [(r["feature"], r["z"], r["k1"], r["k0"]) for r in seen.withColumn("z", z).where(F.abs("z") >= 4).orderBy(F.desc(F.abs("z")), "feature").limit(max_features).collect()]
     index = {f: i + 1 for i, (f, _, _, _) in enumerate(picked)}
     cues = {f for f, score, k1, k0 in picked if score >= 4 and k1 / n1 >= 10 * k0 / n0}
     known = OrdinalModel(dict.fromkeys(index, 0.0), [])
@@ -203,7 +206,11 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", grade: int = 1) -> DataFrame:
-    """``docs`` without the rows whose text reaches ``grade`` with a probability of one half; all columns stay."""
+    """``docs`` without the rows whose text reaches ``grade`` with a probability of one half; all columns stay, in order.
+
+    Null and empty texts have no features and go or stay as the thresholds alone say; repeated rows and null ids are judged row by row;
+    empty table: no rows. One pass, no shuffle; a batch's memory follows its longest text.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

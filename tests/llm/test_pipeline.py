@@ -1,7 +1,10 @@
+import os
 import random
 
+import pytest
+
 import corpus_pipeline
-from matchloom.llm import queries
+from matchloom.llm import common, queries
 
 
 def test_stages_and_queries_are_registered():
@@ -49,4 +52,22 @@ def test_each_stage_on_planted_rows(spark, tmp_path):
     row = next(r for r in seen["pii"].collect() if r.doc_id == 2)
     assert row.text.endswith("write <EMAIL> or <PHONE>") and row.n_chars == len(row.text)
     assert seen["mixing"].count() > 0 and ids["mixing"] <= ids["pii"] and ids["packing"] == ids["mixing"]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+    before = list(common.written)
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.count() == seen["packing"].count()
+    kept = [p for p in common.written if p not in before]
+    assert len(kept) == 1 and "stage-mixing" in kept[0]  # what the last stage reads
+    common.discard(spark, kept)
+    assert kept[0] not in common.written and not os.path.exists(kept[0])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Far:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://far:7077"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Far)

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 
@@ -42,6 +44,45 @@ def test_held_out_accuracy(spark, docs):
     assert severe > 1 > np.mean([got[i].severity for i, _, t in labels if not t])
 
 
+def test_scores_against_a_plain_scorer(spark, docs):
+    """P(grade >= k) = sigmoid(w . x - theta_k), from words found and counted one by one."""
+    rows, labels = corpus(300)
+    model = train_toxicity(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(model.thresholds) == 3 and model.thresholds == sorted(model.thresholds) and len(model.weights) > 3
+    texts = rows + [(900, "NASTY vile, rotten-stemmedthing " * 40), (901, "word1 ünïcödé 12 nasty3 x_y"), (902, "")]
+    for r in score_toxicity(docs(texts), model).collect():
+        found = [w for w in re.findall(r"[^\W\d_]+", dict(texts)[r.doc_id].lower())]
+        counts = {}
+        for w in found:
+            for f in {w} | {w[:n] + "-" for n in range(3, 9) if len(w) > n}:
+                counts[f] = counts.get(f, 0) + 1
+        z = sum(model.weights.get(f, 0.0) * math.log(1 + c) for f, c in counts.items()) + model.weights[""] * math.log(1 + len(found))
+        p = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert r.n_words == len(found) and abs(r.p_toxic - p[0]) < 1e-9 and abs(r.severity - sum(p)) < 1e-9 and r.grade == sum(x >= 0.5 for x in p)
+
+
+def test_severity_follows_the_number_of_planted_insults(spark, docs):
+    rows, labels = corpus()
+    model = train_toxicity(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where("doc_id < 400"))
+    got = {r.doc_id: r.severity for r in score_toxicity(docs(rows), model).collect()}
+    planted = {i: sum(w in ("nasty", "vile", "rotten", "stemmedthing", "stemmedother") for w in t.split()) for i, t in rows if i >= 400}
+    ranks = lambda v: np.argsort(np.argsort(v, kind="stable"))
+    toxic = [i for i in planted if planted[i]]
+    assert np.corrcoef(ranks([planted[i] for i in toxic]), ranks([got[i] for i in toxic]))[0, 1] > 0.6
+    means = [np.mean([got[i] for i in planted if lo <= planted[i] <= hi]) for lo, hi in ((0, 0), (1, 2), (3, 5), (6, 9))]
+    assert means == sorted(means) and means[0] < 0.2 and means[3] > 2
+
+
+def test_repeated_rows_and_negative_labels(spark, docs):
+    rows, labels = corpus(300)
+    schema = "doc_id long, quality int, toxic int"
+    once = train_toxicity(docs(rows), spark.createDataFrame(labels, schema))
+    many = train_toxicity(docs(rows + rows[:3] * 200), spark.createDataFrame([(i, q, t or -1) for i, q, t in labels], schema))
+    assert many.thresholds == once.thresholds and many.weights == once.weights
+    graded = [(i, q, t * 2 if t else -2) for i, q, t in labels]
+    assert len(train_toxicity(docs(rows), spark.createDataFrame(graded, schema)).thresholds) == 2
+
+
 def test_graded_labels_are_taken_as_they_are(spark, docs):
     rows, labels = corpus(300)
     graded = [(i, 1, t * (1 + i % 2)) for i, _, t in labels]
