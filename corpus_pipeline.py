@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize
+from matchloom.llm.common import discard, materialize, written
 from matchloom.llm.mixing import draw_mix
 from matchloom.llm.neardup import drop_near_duplicates
 from matchloom.llm.packing import harmonic_pack
@@ -57,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's own tables, and the one it read, are deleted as soon as its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
+        mark = len(written)
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, [*before, *written[mark:-1]])
+        before = written[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
