@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,13 +19,18 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once: inside a lambda over a vector it would be worked out for each component."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays."""
-    return F.transform(v, lambda x: x / F.when(norm(v) == 0, 1.0).otherwise(norm(v)))
+    return _once(F.nullif(norm(v), F.lit(0.0)), lambda n: F.transform(v, lambda x: x / F.coalesce(n, F.lit(1.0))))
 
 
 def scaled(v: Column, by: Column) -> Column:
-    return F.transform(v, lambda x: x * by)
+    return _once(by, lambda b: F.transform(v, lambda x: x * b))
 
 
 def clip_scale(length: Column, max_norm: float) -> Column:
@@ -66,7 +72,7 @@ def keyed_noise(size: Column, *key: Column) -> Column:
 
 
 def with_noise(v: Column, noise: Column, sigma: Column) -> Column:
-    return F.zip_with(v, noise, lambda x, z: x + sigma * z)
+    return _once(sigma, lambda s: F.zip_with(v, noise, lambda x, z: x + s * z))
 
 
 def random_noise(size: int) -> Column:

@@ -66,6 +66,11 @@ def raw_score(macro: Column, micro: Column) -> Column:
     return F.coalesce((macro + micro) / 2, macro, micro)
 
 
+def continuous(normalized: Column, raw: Column, label: Column) -> Column:
+    """The target of regressions: the normalized score, else a tenth of the raw one, else the label."""
+    return F.coalesce(normalized, raw / 10, label.cast("double"))
+
+
 def score_column(df: DataFrame, epsilon: float, seed: int, fallback: bool = False) -> str:
     """Name of the private score for a budget and seed; another one only if ``fallback`` is asked for."""
     name = f"dp_embedding_cosine_epsilon_{str(float(epsilon)).replace('.', '_')}_seed_{seed}"

@@ -1,7 +1,8 @@
 """TF-IDF and BM25 as posting tables: one row for each (document, term), terms as 64-bit hashes.
 
-Texts are dealt out by document once; counting terms of a document then needs no further exchange. Only pairs that share a
-term are ever joined.
+Texts are dealt out by document once; counting terms of a document then needs no further exchange. Counts are written, so texts are
+cut into terms once. Only pairs that share a term are ever joined, and the terms that many documents have meet
+their postings in a broadcast: no key gathers a share of all documents in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import tokenize
+from matchloom.operators.storage import stored
 
 #: Fixed value: what a word is, for TF-IDF.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -20,14 +22,17 @@ STOP_WORDS = ("about above after again all also am an and any are as at be becau
               "what when where which while who whom why will with would you your").split()
 
 K1, B = 1.5, 0.75
+#: A term is hot if more than one document in so many has it; there are at most so many times a document's terms of them.
+HOT = 64
 
 
-def words(text: Column) -> Column:
+def words(text: Column, stop_words: list[str] | None = None) -> Column:
+    """Words that aren't stop words; ``stop_words`` is another list than the one above (a library's, say)."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(found, lambda w: ~w.isin(STOP_WORDS if stop_words is None else stop_words))
 
 
-def with_terms(docs: DataFrame, text: str = "text", out: str = "_t") -> DataFrame:
+def with_terms(docs: DataFrame, text: str = "text", out: str = "_t", stop_words: list[str] | None = None) -> DataFrame:
     """``docs`` with all unigrams and bigrams of a text: words that aren't stop words, and each two that follow each other without them.
 
     The lambda names no column: an expression from outside would be worked out once for each element wherever the optimizer
@@ -35,7 +40,7 @@ def with_terms(docs: DataFrame, text: str = "text", out: str = "_t") -> DataFram
     """
     w = F.col("_w")
     bigrams = F.array_compact(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return docs.withColumn("_w", words(F.col(text))).withColumn(out, F.concat(w, bigrams)).drop("_w")
+    return docs.withColumn("_w", words(F.col(text), stop_words)).withColumn(out, F.concat(w, bigrams)).drop("_w")
 
 
 def with_tokens(docs: DataFrame, text: str = "text", out: str = "_t") -> DataFrame:
@@ -52,10 +57,15 @@ def term_counts(docs: DataFrame, keys: list[str], hashed: bool = True) -> DataFr
 
 
 def idf_weights(counts: DataFrame, keys: list[str], n_docs: Column | int) -> DataFrame:
-    """``counts`` with ``w = tf * (ln((1 + N) / (1 + df)) + 1)``."""
+    """``counts`` (a stored table) with ``w = tf * (ln((1 + N) / (1 + df)) + 1)``."""
     n = n_docs if isinstance(n_docs, Column) else F.lit(float(n_docs))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return counts.join(df, "term").withColumn("w", F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).select(*keys, "term", "w")
+    df = stored(counts.groupBy("term").agg(F.count("*").alias("df")), "document_frequencies")
+    hot = F.broadcast(df.where(F.col("df") * HOT > n).select("term", F.col("df").alias("_hot")))
+    known = counts.join(hot, "term", "left")
+    common = known.where("_hot is not null").withColumnRenamed("_hot", "df")
+    rare = known.where("_hot is null").drop("_hot").join(df.where(F.col("df") * HOT <= n), "term")
+    weight = F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
+    return common.select(*keys, "term", weight.alias("w")).unionByName(rare.select(*keys, "term", weight.alias("w")))
 
 
 def vocabulary(counts: DataFrame, k: int) -> DataFrame:
@@ -63,19 +73,19 @@ def vocabulary(counts: DataFrame, k: int) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("tf").alias("tf")).orderBy(F.desc("tf"), "term").limit(k)
 
 
-def tfidf_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, cap: int | None = None) -> DataFrame:
+def tfidf_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, cap: int | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """TF-IDF cosine of the texts of each pair; the corpus is all of ``left`` and ``right``.
 
     ``left`` is ``l, text``, ``right`` is ``r, text`` and ``pairs`` is ``l, r`` with one ``r`` for each ``l``. Returns ``l, r, tfidf``: 0 for a pair
-    without a common term. Each posting of a left text meets its right text's postings once, and norm and
+    without a common term. ``stop_words`` replaces the own list. Each posting of a left text meets its right text's postings once, and norm and
     product are summed in the same aggregation. ``cap`` keeps the commonest terms only.
     """
     corpus = left.join(pairs, "l", "left").select(F.lit(0).alias("side"), F.col("l").alias("id"), F.col("r").alias("mate"), "text") \
         .unionByName(right.select(F.lit(1).alias("side"), F.col("r").alias("id"), F.col("r").alias("mate"), "text"))
     n = left.count() + right.count()
-    counts = term_counts(with_terms(corpus), ["side", "id", "mate"], hashed=cap is None)
+    counts = stored(term_counts(with_terms(corpus, stop_words=stop_words), ["side", "id", "mate"], hashed=cap is None), "term_counts")
     if cap is not None:
-        counts = counts.join(vocabulary(counts, cap).select("term"), "term", "left_semi")
+        counts = counts.join(F.broadcast(vocabulary(counts, cap).select("term")), "term", "left_semi")  # cap rows
     weights = idf_weights(counts, ["side", "id", "mate"], n)
     theirs = weights.where("side = 1").select("mate", "term", F.col("w").alias("wr"))
     products = weights.where("side = 0").join(theirs, ["mate", "term"], "left").groupBy("mate", F.col("id").alias("l")).agg(
@@ -85,13 +95,13 @@ def tfidf_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, cap: int |
     return pairs.select("l", "r").join(found, ["l", "r"], "left").select("l", "r", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
 
 
-def tfidf_scores(left: DataFrame, right: DataFrame, pairs: DataFrame, cap: int | None = None) -> DataFrame:
+def tfidf_scores(left: DataFrame, right: DataFrame, pairs: DataFrame, cap: int | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """As ``tfidf_pairs``, for any distinct pairs: an ``l`` may meet many ``r``. The weights are the same."""
     corpus = left.select(F.lit(0).alias("side"), F.col("l").alias("id"), "text").unionByName(right.select(F.lit(1).alias("side"), F.col("r").alias("id"), "text"))
     n = left.count() + right.count()
-    counts = term_counts(with_terms(corpus), ["side", "id"], hashed=cap is None)
+    counts = stored(term_counts(with_terms(corpus, stop_words=stop_words), ["side", "id"], hashed=cap is None), "term_counts")
     if cap is not None:
-        counts = counts.join(vocabulary(counts, cap).select("term"), "term", "left_semi")
+        counts = counts.join(F.broadcast(vocabulary(counts, cap).select("term")), "term", "left_semi")  # cap rows
     weights = idf_weights(counts, ["side", "id"], n)
     side = lambda i, key: weights.where(F.col("side") == i).select(F.col("id").alias(key), "term", F.col("w").alias(f"w{key}"))
     length = lambda i, key: side(i, key).groupBy(key).agg(F.sqrt(F.sum(F.col(f"w{key}") * F.col(f"w{key}"))).alias(f"n{key}"))
@@ -109,7 +119,7 @@ def bm25_index(docs: DataFrame, scope: list[str], doc: str, idf_mode: str = "plu
     held = with_tokens(docs)
     lengths = held.select(*scope, doc, F.size("_t").alias("len"))
     stats = lengths.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    counts = term_counts(held, [*scope, doc])
+    counts = stored(term_counts(held, [*scope, doc]), "term_counts")
     df = counts.groupBy(*scope, "term").agg(F.count("*").cast("double").alias("df"))
     df = df.join(stats, scope) if scope else df.crossJoin(F.broadcast(stats))  # without a scope, one row
     if idf_mode == "plus_one":

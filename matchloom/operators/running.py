@@ -1,7 +1,8 @@
 """Order-dependent sums without one task for all rows.
 
-A window without a partition column sorts everything in one task. Here rows fall into buckets along the order, the buckets'
-sums (at most ``BUCKETS`` rows a part) give each bucket its start, and rows are sorted inside their bucket only.
+A window without a partition column sorts everything in one task. Here rows fall into buckets along the order, cut at approximate
+quantiles so that no outlier fills one, the buckets' sums (at most ``BUCKETS`` rows a part) give each bucket its start, and rows are sorted
+inside their bucket only.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+#: A power of two.
+BUCKETS = 256
+_SHARES = "array(" + ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS)) + ")"
+_STEPS = "array(" + ", ".join(str(BUCKETS >> i) for i in range(1, BUCKETS.bit_length())) + ")"
 
 
 def running_sums(df: DataFrame, part: list[str], order: str, values: list[str]) -> DataFrame:
@@ -17,10 +21,11 @@ def running_sums(df: DataFrame, part: list[str], order: str, values: list[str])
 
     ``order`` is numeric, not null, and unique within ``part``.
     """
-    span = df.groupBy(*part).agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
-    held = df.join(span, part) if part else df.crossJoin(F.broadcast(span))  # without parts, one row
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(order).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS)).otherwise(0)
-    held = held.withColumn("_b", bucket).drop("_lo", "_hi")
+    cuts = df.groupBy(*part).agg(F.expr(f"percentile_approx(`{order}`, {_SHARES}, {BUCKETS * 20})").alias("_cuts"))
+    held = df.join(F.broadcast(cuts), part) if part else df.crossJoin(F.broadcast(cuts))  # a row a part
+    # A binary search: how many cuts are at most the row's own value.
+    bucket = F.expr(f"aggregate({_STEPS}, 0, (at, step) -> if(_cuts[at + step - 1] <= `{order}`, at + step, at))")
+    held = held.withColumn("_b", bucket).drop("_cuts")
     sums = held.groupBy(*part, "_b").agg(*(F.sum(v).alias(f"_s{i}") for i, v in enumerate(values)))
     earlier = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*part, "_b", *(F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0)).alias(f"_o{i}") for i in range(len(values))))

@@ -41,14 +41,17 @@ def stratified_holdout(df: DataFrame, row_id: str, label: str, share: float = 0.
     return shuffled_index(hashed, ["seed", label], "_h", row_id).join(sizes, label).withColumn("is_test", F.col("pos") < F.col("_k")).drop("pos", "_h", "_k")
 
 
-def group_folds(df: DataFrame, group: str, folds: int = FOLDS) -> DataFrame | None:
+def group_folds(df: DataFrame, group: str, folds: int = FOLDS, largest: int = 10_000) -> DataFrame | None:
     """``fold`` by group, so that no group is on both sides; None if there are too few groups or each row is its own.
 
-    Groups go from the largest on to the fold that has fewest rows yet; one row a group passes through the driver.
+    Groups go from the largest on to the fold that has fewest rows yet, ``largest`` of them through the driver. Further, smaller ones
+    go where a hash says, which evens out as they are many. Rows without a group have no fold, and are left out.
     """
-    sizes = [(r[group], r["count"]) for r in df.groupBy(group).count().orderBy(F.desc("count"), group).collect()]
-    if len(sizes) < folds or all(n == 1 for _, n in sizes):
+    sizes_all = df.where(F.col(group).isNotNull()).groupBy(group).count()
+    told = sizes_all.agg(F.count("*").alias("groups"), F.max("count").alias("most")).first()
+    if told["groups"] < folds or told["most"] == 1:
         return None
+    sizes = [(r[group], r["count"]) for r in sizes_all.orderBy(F.desc("count"), group).limit(largest).collect()]
     load = [0] * folds
     placed = []
     for g, n in sizes:
@@ -56,7 +59,8 @@ def group_folds(df: DataFrame, group: str, folds: int = FOLDS) -> DataFrame | No
         load[fold] += n
         placed.append((g, fold))
     kind = dict(df.dtypes)[group]
-    return df.join(df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, fold int"), group)
+    named = df.where(F.col(group).isNotNull()).join(F.broadcast(df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, _fold int")), group, "left")
+    return named.withColumn("fold", F.coalesce("_fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))).drop("_fold")
 
 
 def group_columns(df: DataFrame) -> list[str]:

@@ -49,7 +49,7 @@ def pairs(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame
     return out.join(table(spark, sf_dir, "labels"), "doc_id") if labelled else out
 
 
-PAIRS = """pairs AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, b.item_id, b.text AS jd, least(10.0::DOUBLE, d.n_chars / 1000.0::DOUBLE) AS raw_score
+PAIRS = """pairs AS MATERIALIZED (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, b.item_id, b.text AS jd, least(10.0::DOUBLE, d.n_chars / 1000.0::DOUBLE) AS raw_score
   FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 lp AS (SELECT * FROM pairs JOIN labels USING (doc_id))"""
 

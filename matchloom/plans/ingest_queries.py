@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators.fusion import label_of, raw_score
+from matchloom.functions.text import criteria_sets, entries_of
+from matchloom.operators.fusion import continuous, label_of, raw_score
 from matchloom.operators.metrics import describe_by
 from matchloom.plans.base import query, rounded, table
-from matchloom.sources.records import CATEGORIES, filename_category, filename_index, last_of
+from matchloom.sources.records import CATEGORIES, filename_category, filename_index, join_tables, last_of, met, relabelled
 from matchloom.sources.sinks import statistics
 
 _KINDS = [*CATEGORIES, "mismatch"]
@@ -46,20 +47,29 @@ def raw_score_label(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("raw_score").isNotNull() & (F.col("filename_category") == "match")).alias("included"))
 
 
+@query(f"""WITH {_FILES}, {_RATED}, g AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN raw_score / 10 END AS normalized, doc_id % 3 = 1 AS rated_label FROM s)
+SELECT doc_id, round(coalesce(normalized, raw_score / 10, CAST(rated_label AS DOUBLE)), 6) AS target FROM g""")
+def continuous_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalized score, which every other document has, else a tenth of the raw score, else the label."""
+    s = rated(spark, sf_dir).withColumn("normalized", F.when(F.col("doc_id") % 2 == 0, F.col("raw_score") / 10))
+    return s.select("doc_id", rounded(continuous(F.col("normalized"), F.col("raw_score"), F.col("doc_id") % 3 == 1)).alias("target"))
+
+
 @query(f"""WITH {_FILES}, {_RATED} SELECT t.threshold, count(*) AS rows_included, count(*) FILTER (raw_score >= t.threshold) AS positives FROM s, (VALUES (6.5::DOUBLE), (7.0), (7.5)) t(threshold)
 WHERE raw_score IS NOT NULL AND trim(text) <> '' GROUP BY t.threshold""")
 def relabel_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The later inclusion rule, labelled by three thresholds in one pass."""
-    s = rated(spark, sf_dir).where((F.trim("text") != "") & F.col("raw_score").isNotNull())
-    t = s.withColumn("threshold", F.explode(F.array(F.lit(6.5), F.lit(7.0), F.lit(7.5))))
-    return t.groupBy("threshold").agg(F.count("*").alias("rows_included"), F.count_if(F.col("raw_score") >= F.col("threshold")).alias("positives"))
+    s = rated(spark, sf_dir).withColumn("include_in_matching", F.trim("text") != "").withColumn("threshold", F.explode(F.array(F.lit(6.5), F.lit(7.0), F.lit(7.5))))
+    return relabelled(s, F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("rows_included"), F.sum("label").cast("long").alias("positives"))
 
 
 @query("SELECT l_orderkey, count(*) AS requirements_total, count(*) FILTER (l_quantity > 25) AS requirements_met, round(count(*) FILTER (l_quantity > 25)::DOUBLE / count(*), 6) AS requirements_met_rate FROM lineitem GROUP BY l_orderkey")
 def requirement_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as requirements, met at quantities above 25."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("requirements_total"), F.count_if(F.col("l_quantity") > 25).alias("requirements_met"))
-    return lines.withColumn("requirements_met_rate", rounded(F.try_divide(F.col("requirements_met").cast("double"), F.col("requirements_total"))))
+    line = F.to_json(F.struct("l_linenumber", (F.col("l_quantity") > 25).alias("meets")))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("needs"))
+    counts = orders.select("l_orderkey", F.size("needs").cast("long").alias("requirements_total"), met(F.col("needs")).cast("long").alias("requirements_met"))
+    return counts.withColumn("requirements_met_rate", rounded(F.try_divide(F.col("requirements_met").cast("double"), F.col("requirements_total"))))
 
 
 @query(f"WITH {_FILES} SELECT filename_category, lang, count(*) AS files FROM c GROUP BY ALL")
@@ -88,12 +98,14 @@ def label_score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mean", rounded(F.col("mean"))).withColumn("std", rounded(F.col("std")))
 
 
-@query("""SELECT o_orderkey, c_name, n_name, r_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+@query("""WITH l AS (SELECT doc_id, quality FROM labels WHERE toxic = 0)
+SELECT d.doc_id AS sample_id, d.source, e.label AS cluster, p.url, l.quality FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id JOIN l ON l.doc_id = d.doc_id JOIN pages p ON p.page_id = d.doc_id""")
 def four_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four tables by key: an order with its customer, nation and region."""
-    t = lambda n: table(spark, sf_dir, n)
-    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.select("o_orderkey", "c_name", "n_name", "r_name", "o_totalprice")
+    """Four tables by id, of labelled and included rows: a document with its vector's class, its label and its page. Toxic rows are not included."""
+    t = lambda n, i, *c: table(spark, sf_dir, n).select(F.col(i).alias("sample_id"), *c)
+    joined = join_tables({"profiles": t("documents", "doc_id", "source"), "candidates": t("embeddings", "vec_id", F.col("label").alias("cluster")), "knowledge_items": t("pages", "page_id", "url"),
+                          "labels": t("labels", "doc_id", F.col("quality").alias("label"), (F.col("toxic") == 0).alias("include_in_matching"))})
+    return joined.select("sample_id", "profile.source", "candidate.cluster", "knowledge.url", F.col("label.label").alias("quality"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
@@ -120,5 +132,5 @@ def union_with_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE props IS NOT NULL) GROUP BY event_type""")
 def json_map_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON objects as maps of weights; null and 0 weigh 1."""
-    e = table(spark, sf_dir, "events").where("props is not null").select("event_type", F.from_json("props", "map<string,double>")["k"].alias("k"))
-    return e.groupBy("event_type").agg(F.round(F.sum(F.when(F.col("k").isNull() | (F.col("k") == 0), 1.0).otherwise(F.col("k"))), 4).alias("weight"), F.count("*").alias("entries"))
+    e = table(spark, sf_dir, "events").where("props is not null").select("event_type", F.explode(criteria_sets(entries_of(F.from_json("props", "map<string,double>")))).alias("c"))
+    return e.groupBy("event_type").agg(F.round(F.sum("c.weight"), 4).alias("weight"), F.count("*").alias("entries"))

@@ -9,6 +9,7 @@ from matchloom.functions import text as T
 from matchloom.functions import vectors as V
 from matchloom.operators import fusion, lexical, metrics
 from matchloom.operators.lexical import STOP_WORDS
+from matchloom.operators.storage import stored
 from matchloom.plans.base import PAIRS, jac, own_items, query, rounded, share, table, toks, tset
 from matchloom.plans.vector_queries import _NOISY, _SIGMA, _cos, noisy_products, private_cosine
 
@@ -16,11 +17,11 @@ from matchloom.plans.vector_queries import _NOISY, _SIGMA, _cos, noisy_products,
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _TFIDF = rf"""{PAIRS},
-corpus AS (SELECT 0 AS side, doc_id AS id, item_id AS mate, text FROM pairs UNION ALL SELECT 1, item_id, item_id, text FROM benchmark),
+corpus AS MATERIALIZED (SELECT 0 AS side, doc_id AS id, item_id AS mate, text FROM pairs UNION ALL SELECT 1, item_id, item_id, text FROM benchmark),
 ws AS (SELECT side, id, mate, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_STOP}, w)) AS w FROM corpus),
-tf AS (SELECT side, id, mate, term, count(*) AS tf FROM (SELECT side, id, mate, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ws) GROUP BY ALL)"""
+tf AS MATERIALIZED (SELECT side, id, mate, term, count(*) AS tf FROM (SELECT side, id, mate, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ws) GROUP BY ALL)"""
 _WEIGHTED = """df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-wt AS (SELECT side, id, mate, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM corpus)) / (1.0 + df)) + 1.0) AS w FROM tf JOIN df USING (term)),
+wt AS MATERIALIZED (SELECT side, id, mate, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM corpus)) / (1.0 + df)) + 1.0) AS w FROM tf JOIN df USING (term)),
 norms AS (SELECT side, id, sqrt(sum(w * w)) AS len FROM wt GROUP BY ALL),
 dots AS (SELECT a.id AS doc_id, sum(a.w * b.w) AS dot FROM wt a JOIN wt b ON a.side = 0 AND b.side = 1 AND a.mate = b.id AND a.term = b.term GROUP BY ALL),
 tfidf AS (SELECT p.doc_id, p.item_id, coalesce(dot / (na.len * nb.len), 0) AS tfidf FROM pairs p LEFT JOIN dots USING (doc_id) LEFT JOIN norms na ON na.side = 0 AND na.id = p.doc_id LEFT JOIN norms nb ON nb.side = 1 AND nb.id = p.item_id)"""
@@ -48,9 +49,9 @@ def tfidf_vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.vocabulary(terms.withColumn("tf", F.lit(1)), 4000)
 
 
-_VOCAB = f"""{_TFIDF.replace('tf AS (', 'tf0 AS (')},
+_VOCAB = f"""{_TFIDF.replace('tf AS MATERIALIZED (', 'tf0 AS MATERIALIZED (')},
 vocab AS (SELECT term FROM tf0 GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 4000),
-tf AS (SELECT * FROM tf0 SEMI JOIN vocab USING (term))"""
+tf AS MATERIALIZED (SELECT * FROM tf0 SEMI JOIN vocab USING (term))"""
 
 
 @query(f"WITH {_VOCAB}, {_WEIGHTED} SELECT doc_id, item_id, round(tfidf, 6) AS tfidf FROM tfidf")
@@ -82,11 +83,11 @@ _OWN_BM25 = f"""qt AS (SELECT doc_id, item_id AS item, unnest({toks('text')}) AS
 bm AS (SELECT doc_id, sum(weight) AS bm25 FROM qt JOIN post USING (item, term) GROUP BY doc_id)"""
 
 
-def own_bm25(spark: SparkSession, sf_dir: str, idf_mode: str = "plus_one") -> DataFrame:
-    """``doc_id, item_id, bm25`` of each document and its own item, over all items; 0 without a common token."""
+def own_bm25(spark: SparkSession, sf_dir: str, idf_mode: str = "plus_one", docs: DataFrame | None = None) -> DataFrame:
+    """``doc_id, item_id, bm25`` of each document (or of some: ``doc_id, text``) and its own item, over all items; 0 without a common token."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     postings, _ = lexical.bm25_index(items, [], "item_id", idf_mode)
-    docs = own_items(spark, sf_dir, table(spark, sf_dir, "documents").select("doc_id", "text"), items.select("item_id"))
+    docs = own_items(spark, sf_dir, docs if docs is not None else table(spark, sf_dir, "documents").select("doc_id", "text"), items.select("item_id"))
     found = lexical.bm25_scores(docs, "doc_id", postings, [], "item_id", paired=True)
     return docs.select("doc_id", "item_id").join(found, ["doc_id", "item_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
@@ -101,21 +102,24 @@ for _name, _mode in (("bm25_own_pair", "plus_one"), ("bm25_okapi_floor", "okapi_
 
 # --- light features of labelled pairs -----------------------------------------------------------
 
-_FEATURES = f"""{PAIRS}, {_bm25_sql('', _ITEMS, 'plus_one')}, {_OWN_BM25},
-{_NOISY.replace('e AS (', 've AS (', 1).replace('FROM e)', 'FROM ve)').replace('n AS (SELECT *', 'vn AS (SELECT *', 1).replace('FROM n a JOIN n b', 'FROM vn a JOIN vn b').replace('p AS (SELECT *', 'vp AS (SELECT *', 1)},
-dpc AS (SELECT vec_id, max(CASE WHEN seed = 3407 THEN cc / CASE WHEN sqrt(aa) * sqrt(bb) = 0 THEN 1 ELSE sqrt(aa) * sqrt(bb) END END) AS emb, max(CASE WHEN seed = 3407 THEN {_cos('(' + _SIGMA.format(e='2.0::DOUBLE') + ')')} END) AS dp FROM vp GROUP BY vec_id),
-ts AS (SELECT doc_id, item_id, toxic, quality, raw_score, lang, {tset('text')} AS a, {tset('jd')} AS b, {tset("regexp_replace(jd, '[.].*', '', 's')")} AS q FROM lp),
-sc AS (
+_FEATURES = f"""{PAIRS}, {_bm25_sql('', _ITEMS, 'plus_one')}, {_OWN_BM25.replace('FROM pairs)', 'FROM lp)')},
+{_NOISY.replace('e AS (', 've AS (', 1).replace('FROM e)', 'FROM ve)').replace('n AS (SELECT *', 'vn AS (SELECT *', 1).replace('FROM n a JOIN n b', 'FROM vn a JOIN vn b').replace('p AS (SELECT *', 'vp AS (SELECT *', 1).replace('(VALUES (3407), (42), (2026))', '(VALUES (3407))')},
+dpc AS MATERIALIZED (SELECT vec_id, max(CASE WHEN seed = 3407 THEN cc / CASE WHEN sqrt(aa) * sqrt(bb) = 0 THEN 1 ELSE sqrt(aa) * sqrt(bb) END END) AS emb, max(CASE WHEN seed = 3407 THEN {_cos('(' + _SIGMA.format(e='2.0::DOUBLE') + ')')} END) AS dp FROM vp GROUP BY vec_id),
+ts AS MATERIALIZED (SELECT doc_id, item_id, toxic, quality, raw_score, lang, {tset('text')} AS a, {tset('jd')} AS b, {tset("regexp_replace(jd, '[.].*', '', 's')")} AS q FROM lp),
+sc AS MATERIALIZED (
   SELECT ts.doc_id, ts.item_id, ts.toxic, ts.quality, ts.raw_score, ts.lang, round({jac('a', 'b')}, 9) AS jaccard, round({share('len(list_intersect(a, b))', 'len(b)')}, 9) AS kg, round({share('len(list_intersect(a, q))', 'len(q)')}, 9) AS requirement,
     round(coalesce(bm25, 0), 9) AS bm25, round(emb, 9) AS embedding, round(dp, 9) AS dp
   FROM ts LEFT JOIN bm USING (doc_id) JOIN dpc ON dpc.vec_id = ts.doc_id % (SELECT count(*) FROM embeddings))"""
 
 METHODS = ["jaccard", "kg", "requirement", "bm25", "embedding", "dp"]
-_LONG = f"""long AS (UNPIVOT (SELECT doc_id, item_id, toxic, quality, raw_score, lang, {', '.join(METHODS)} FROM sc) ON {', '.join(METHODS)} INTO NAME method VALUE score)"""
+_LONG = "long AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT doc_id, item_id, toxic, quality, raw_score, lang, '{m}' AS method, {m} AS score FROM sc" for m in METHODS) + ")"
 
 
 def light_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of labelled documents against their items: token sets, BM25, and vectors (a document takes the vector of its number)."""
+    """Scores of labelled documents against their items: token sets, BM25, and vectors (a document takes the vector of its number).
+
+    Written as a table: metrics read scores many times, and texts once.
+    """
     items = table(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("b"), T.token_set(F.regexp_replace("text", r"(?s)[.].*", "")).alias("q"))
     labelled = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
     docs = labelled.select("doc_id", "lang", "toxic", "quality", F.least(F.lit(10.0), F.col("n_chars") / 1000.0).alias("raw_score"), T.token_set(F.col("text")).alias("a"))
@@ -124,9 +128,9 @@ def light_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = p.select("doc_id", "item_id", "toxic", "quality", "raw_score", "lang", F.round(T.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"),
                       F.round(pair["kg_skill_coverage"], 9).alias("kg"), F.round(pair["requirement_coverage"], 9).alias("requirement"))
     n = table(spark, sf_dir, "embeddings").count()
-    v = noisy_products(spark, sf_dir).where("seed = 3407").select(F.col("vec_id").alias("vec"), F.round(V.cosine_of(F.col("cc"), F.sqrt("aa"), F.sqrt("bb")), 9).alias("embedding"), F.round(private_cosine(F.lit(V.gaussian_sigma(2.0))), 9).alias("dp"))
-    b = own_bm25(spark, sf_dir).select("doc_id", F.round("bm25", 9).alias("bm25"))
-    return scored.join(b, "doc_id").join(v, F.pmod("doc_id", F.lit(n)) == F.col("vec")).drop("vec")
+    v = noisy_products(spark, sf_dir, seeds=[3407]).select(F.col("vec_id").alias("vec"), F.round(V.cosine_of(F.col("cc"), F.sqrt("aa"), F.sqrt("bb")), 9).alias("embedding"), F.round(private_cosine(F.lit(V.gaussian_sigma(2.0))), 9).alias("dp"))
+    b = own_bm25(spark, sf_dir, docs=labelled.select("doc_id", "text")).select("doc_id", F.round("bm25", 9).alias("bm25"))
+    return stored(scored.join(b, "doc_id").join(v, F.pmod("doc_id", F.lit(n)) == F.col("vec")).drop("vec"), "light_features")
 
 
 def long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,8 +237,8 @@ def orient_in_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOLD = "SELECT *, (row_number() OVER (PARTITION BY {label} ORDER BY md5('3407|' || doc_id), doc_id) - 1) % 5 AS fold FROM {rows}"
-_BY_TRAIN = f"""fd AS ({_FOLD.format(label='toxic', rows='sc')}),
-fl AS (UNPIVOT (SELECT doc_id, toxic, fold, {', '.join(METHODS)} FROM fd) ON {', '.join(METHODS)} INTO NAME method VALUE score),
+_BY_TRAIN = f"""fd AS MATERIALIZED ({_FOLD.format(label='toxic', rows='sc')}),
+fl AS MATERIALIZED ({' UNION ALL '.join(f"SELECT doc_id, toxic, fold, '{m}' AS method, {m} AS score FROM fd" for m in METHODS)}),
 tr AS (SELECT k.fold, l.method, l.score, l.toxic AS label FROM fl l JOIN (SELECT DISTINCT fold FROM fd) k ON l.fold <> k.fold),
 au AS ({_AUC.format(keys='fold, method', rows='tr')}),
 ot AS (SELECT l.fold, l.method, l.toxic AS label, l.score * CASE WHEN au.auc < 0.5 THEN -1 ELSE 1 END AS score FROM fl l JOIN au USING (fold, method)),
@@ -301,6 +305,6 @@ def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("b"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     p = own_items(spark, sf_dir, docs.select("doc_id", "label", T.token_set(F.col("text")).alias("a")), items)
-    s = p.select("doc_id", "label", F.lit("jaccard").alias("method"), F.round(T.jaccard(F.col("a"), F.col("b")), 9).alias("score"))
+    s = stored(p.select("doc_id", "label", F.lit("jaccard").alias("method"), F.round(T.jaccard(F.col("a"), F.col("b")), 9).alias("score")), "scores")
     found = metrics.confusion(fusion.predicted(s, ["method"]), ["method"]).join(metrics.roc_auc(s, ["method"]).select("method", "auc"), "method")
     return _rounded_all(found)

@@ -87,11 +87,20 @@ def token_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "item_id", "resume_length", "jd_length", *((rounded(c) if n in ("kg_skill_coverage", "missing_skill_ratio", "requirement_coverage") else c).alias(n) for n, c in found.items()))
 
 
-@query("""SELECT conv_id, count(*) AS turns, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) FILTER (trim(coalesce(text, '')) <> '') AS body FROM conversations GROUP BY conv_id""")
+_SAID = ", ".join(f"max(CASE WHEN turn = {i} THEN text END) AS t{i}" for i in range(6))
+_PART = "CASE WHEN trim({t}, ' ') <> '' THEN {t} END"
+
+
+@query(f"""WITH r AS (SELECT conv_id, {_SAID}, list(role ORDER BY turn, role) AS roles, max(turn) AS last FROM conversations GROUP BY conv_id)
+SELECT conv_id, concat_ws(chr(10) || chr(10), {', '.join(_PART.format(t=f't{i}') for i in range(6))}) AS body,
+  concat_ws(chr(10) || chr(10), {_PART.format(t='t0')}, CASE WHEN len(list_filter(roles, lambda x: x IS NOT NULL)) > 0 THEN array_to_string(list_filter(roles, lambda x: x IS NOT NULL), chr(10)) END,
+    CASE WHEN last % 2 = 0 THEN 'True' ELSE 'False' END) AS summary FROM r""")
 def text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation in order, those with text, an empty line between them."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("turn", "text")))).alias("x"))
-    return rows.select("conv_id", "turns", F.when(F.size("x") > 0, F.array_join(F.transform("x", lambda t: t["text"]), "\n\n")).alias("body"))
+    """The first turns of a conversation that aren't blank; and its opening with its roles, a list, and a flag."""
+    turns = [F.max(F.when(F.col("turn") == i, F.col("text"))).alias(f"t{i}") for i in range(6)]
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*turns, F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"), F.max("turn").alias("last"))
+    roles = F.transform("x", lambda t: t["role"])
+    return rows.select("conv_id", T.assemble(*(F.col(f"t{i}") for i in range(6))).alias("body"), T.assemble(F.col("t0"), T.safe_text(roles, "array<string>"), T.safe_text(F.col("last") % 2 == 0, "boolean")).alias("summary"))
 
 
 @query("""SELECT event_id, coalesce(event_type, '') AS as_text, CASE WHEN value > 50 THEN 'True' WHEN value <= 50 THEN 'False' ELSE '' END AS as_flag,

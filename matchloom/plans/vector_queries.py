@@ -48,13 +48,13 @@ def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.pmod(F.col("vec_id") + 2, F.lit(n)).alias("mate"), F.col("v").alias("va")).join(e.select(F.col("vec_id").alias("mate"), F.col("v").alias("vb")), "mate")
 
 
-def noisy_products(spark: SparkSession, sf_dir: str, clip: float = 1.0) -> DataFrame:
+def noisy_products(spark: SparkSession, sf_dir: str, clip: float = 1.0, seeds: list[int] | None = None) -> DataFrame:
     """Inner products of clipped mates and their noise, a row a seed.
 
     With noise of size s a side is c + s * z, so every private cosine is a fraction of polynomials in s: one pass over the vectors
     serves all budgets, and noise is drawn once for a seed.
     """
-    m = mates(spark, sf_dir).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    m = mates(spark, sf_dir).withColumn("seed", F.explode(F.array(*map(F.lit, seeds or SEEDS))))
     clipped = lambda v: V.scaled(F.col(v), V.clip_scale(V.norm(F.col(v)), clip))
     z = m.select("seed", "vec_id", "mate", clipped("va").alias("ca"), clipped("vb").alias("cb"), V.keyed_noise(F.size("va"), F.col("seed"), F.lit("l"), F.col("vec_id")).alias("za"),
                  V.keyed_noise(F.size("vb"), F.col("seed") + 1, F.lit("r"), F.col("mate")).alias("zb"))
@@ -68,10 +68,10 @@ def private_cosine(sigma: Column) -> Column:
     return V.cosine_of(c("cc") + s * c("cz") + s * s * c("zz"), F.sqrt(c("aa") + s * c("az") + s * s * c("azz")), F.sqrt(c("bb") + s * c("bz") + s * s * c("bzz")))
 
 
-@query(f"WITH {_E} SELECT vec_id, round(len, 6) AS norm, list_transform(v[1:4], lambda x: round(x / CASE WHEN len = 0 THEN 1 ELSE len END, 6)) AS head FROM n")
+@query(f"WITH {_E} SELECT vec_id, round(len, 6) AS norm, list_transform(v, lambda x: round(x / CASE WHEN len = 0 THEN 1 ELSE len END, 6)) AS unit FROM n")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir).withColumn("len", V.norm(F.col("v")))
-    return e.select("vec_id", rounded(F.col("len")).alias("norm"), F.transform(F.slice(F.transform("v", lambda x: x / F.when(F.col("len") == 0, 1.0).otherwise(F.col("len"))), 1, 4), lambda x: F.round(x, 6)).alias("head"))
+    e = embeddings(spark, sf_dir)
+    return e.select("vec_id", rounded(V.norm(F.col("v"))).alias("norm"), F.transform(V.l2_normalize(F.col("v")), lambda x: rounded(x)).alias("unit"))
 
 
 @query(f"WITH {_E} SELECT vec_id, round(least(len, 0.9::DOUBLE), 6) AS clipped_norm, len > 0.9 AS was_clipped FROM n")

@@ -151,9 +151,10 @@ def v2_records(raw: DataFrame, split: str = "local", threshold: float = THRESHOL
                       info.alias("additional_info"), safe_list(i["minimum_requirements"], _TEXT).alias("minimum_requirements"), i["macro_dict"].alias("macro_dict"), i["micro_dict"].alias("micro_dict"))
 
 
-def relabelled(records: DataFrame, threshold: float) -> DataFrame:
-    """Included records, labelled by another threshold."""
-    return records.where("include_in_matching and raw_score is not null").withColumns({"label": label_of(F.col("raw_score"), threshold), "label_source": F.lit("score_threshold"), "threshold": F.lit(float(threshold))})
+def relabelled(records: DataFrame, threshold: float | Column) -> DataFrame:
+    """Included records, labelled by another threshold, or by one of each row's own."""
+    threshold = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    return records.where("include_in_matching and raw_score is not null").withColumns({"label": label_of(F.col("raw_score"), threshold), "label_source": F.lit("score_threshold"), "threshold": threshold})
 
 
 def threshold_rows(tables: dict[str, DataFrame]) -> DataFrame:
