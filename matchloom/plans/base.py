@@ -50,7 +50,7 @@ def pairs(spark: SparkSession, sf_dir: str, labelled: bool = False) -> DataFrame
 
 
 PAIRS = """pairs AS MATERIALIZED (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, b.item_id, b.text AS jd, least(10.0::DOUBLE, d.n_chars / 1000.0::DOUBLE) AS raw_score
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+  FROM (SELECT *, doc_id % (SELECT count(*) FROM benchmark) AS own FROM documents) d JOIN benchmark b ON b.item_id = d.own),
 lp AS (SELECT * FROM pairs JOIN labels USING (doc_id))"""
 
 TOKEN = "[A-Za-z][A-Za-z0-9_+-]{1,}"

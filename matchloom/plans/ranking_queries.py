@@ -36,7 +36,7 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANDOM = """ord AS (SELECT doc_id AS cand, row_number() OVER (ORDER BY md5('3407|' || doc_id), doc_id) - 1 AS place FROM labels WHERE toxic <> 1),
 qs AS (SELECT doc_id AS query, ('0x' || substr(md5('start|3407|' || doc_id), 1, 8))::UBIGINT::BIGINT AS start FROM labels WHERE toxic = 1),
 pool AS (SELECT query, 0 AS pos, query AS cand FROM qs UNION ALL
-  SELECT query, i + 1, cand FROM qs, range(19) r(i) JOIN ord ON ord.place = (start + i) % (SELECT count(*) FROM ord))"""
+  SELECT query, i + 1, cand FROM (SELECT query, i, (start + i) % (SELECT count(*) FROM ord) AS place FROM qs, range(19) r(i)) JOIN ord USING (place))"""
 
 
 def labelled_pool(spark: SparkSession, sf_dir: str) -> DataFrame:

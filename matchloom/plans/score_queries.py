@@ -103,13 +103,13 @@ for _name, _mode in (("bm25_own_pair", "plus_one"), ("bm25_okapi_floor", "okapi_
 # --- light features of labelled pairs -----------------------------------------------------------
 
 _FEATURES = f"""{PAIRS}, {_bm25_sql('', _ITEMS, 'plus_one')}, {_OWN_BM25.replace('FROM pairs)', 'FROM lp)')},
-{_NOISY.replace('e AS (', 've AS (', 1).replace('FROM e)', 'FROM ve)').replace('n AS (SELECT *', 'vn AS (SELECT *', 1).replace('FROM n a JOIN n b', 'FROM vn a JOIN vn b').replace('p AS (SELECT *', 'vp AS (SELECT *', 1).replace('(VALUES (3407), (42), (2026))', '(VALUES (3407))')},
+{_NOISY.replace('e AS (', 've AS (', 1).replace('FROM e)', 'FROM ve)').replace('n AS (SELECT *', 'vn AS (SELECT *', 1).replace('FROM n) a JOIN n b', 'FROM vn) a JOIN vn b').replace('p AS (SELECT *', 'vp AS (SELECT *', 1).replace('(VALUES (3407), (42), (2026))', '(VALUES (3407))')},
 dpc AS MATERIALIZED (SELECT vec_id, max(CASE WHEN seed = 3407 THEN cc / CASE WHEN sqrt(aa) * sqrt(bb) = 0 THEN 1 ELSE sqrt(aa) * sqrt(bb) END END) AS emb, max(CASE WHEN seed = 3407 THEN {_cos('(' + _SIGMA.format(e='2.0::DOUBLE') + ')')} END) AS dp FROM vp GROUP BY vec_id),
-ts AS MATERIALIZED (SELECT doc_id, item_id, toxic, quality, raw_score, lang, {tset('text')} AS a, {tset('jd')} AS b, {tset("regexp_replace(jd, '[.].*', '', 's')")} AS q FROM lp),
+ts AS MATERIALIZED (SELECT doc_id % (SELECT count(*) FROM embeddings) AS vec_id, doc_id, item_id, toxic, quality, raw_score, lang, {tset('text')} AS a, {tset('jd')} AS b, {tset("regexp_replace(jd, '[.].*', '', 's')")} AS q FROM lp),
 sc AS MATERIALIZED (
   SELECT ts.doc_id, ts.item_id, ts.toxic, ts.quality, ts.raw_score, ts.lang, round({jac('a', 'b')}, 9) AS jaccard, round({share('len(list_intersect(a, b))', 'len(b)')}, 9) AS kg, round({share('len(list_intersect(a, q))', 'len(q)')}, 9) AS requirement,
     round(coalesce(bm25, 0), 9) AS bm25, round(emb, 9) AS embedding, round(dp, 9) AS dp
-  FROM ts LEFT JOIN bm USING (doc_id) JOIN dpc ON dpc.vec_id = ts.doc_id % (SELECT count(*) FROM embeddings))"""
+  FROM ts LEFT JOIN bm USING (doc_id) JOIN dpc ON dpc.vec_id = ts.vec_id)"""
 
 METHODS = ["jaccard", "kg", "requirement", "bm25", "embedding", "dp"]
 _LONG = "long AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT doc_id, item_id, toxic, quality, raw_score, lang, '{m}' AS method, {m} AS score FROM sc" for m in METHODS) + ")"

@@ -16,7 +16,7 @@ _E = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 n AS (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM e)"""
 #: Each vector with its mate, the one after the next in a ring of ids.
 _M = f"""{_E},
-m AS (SELECT a.vec_id, b.vec_id AS mate, a.v AS va, b.v AS vb, a.len AS la, b.len AS lb FROM n a JOIN n b ON b.vec_id = (a.vec_id + 2) % (SELECT count(*) FROM embeddings))"""
+m AS (SELECT a.vec_id, b.vec_id AS mate, a.v AS va, b.v AS vb, a.len AS la, b.len AS lb FROM (SELECT *, (vec_id + 2) % (SELECT count(*) FROM embeddings) AS next FROM n) a JOIN n b ON b.vec_id = a.next)"""
 
 
 def _z(seed: str, side: str, i: str, dim: str) -> str:
