@@ -110,6 +110,26 @@ def tfidf_scores(left: DataFrame, right: DataFrame, pairs: DataFrame, cap: int |
     return pairs.select("l", "r").join(found, ["l", "r"], "left").select("l", "r", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
 
 
+def tfidf_scoped(rows: DataFrame, scope: list[str], cap: int | None = None, stop_words: list[str] | None = None) -> DataFrame:
+    """``scope, id, tfidf``: TF-IDF cosine of each scope's one query text with its candidates, from a corpus of that scope alone.
+
+    ``rows`` is ``scope, side, id, text``, side 0 the query and 1 a candidate. 0 where they share no term.
+    """
+    counts = stored(term_counts(with_terms(rows, stop_words=stop_words), [*scope, "side", "id"], hashed=cap is None), "term_counts")
+    if cap is not None:
+        total = counts.groupBy(*scope, "term").agg(F.sum("tf").alias("tf"))
+        counts = counts.join(first_by(total, scope, [F.desc("tf"), F.col("term")], cap).select(*scope, "term"), [*scope, "term"], "left_semi")
+    sizes = rows.groupBy(*scope).agg(F.count("*").cast("double").alias("n"))
+    df = counts.groupBy(*scope, "term").agg(F.count("*").alias("df")).join(sizes, scope)
+    weights = counts.join(df, [*scope, "term"]).withColumn("w", F.col("tf") * (F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
+    asked = weights.where("side = 0").select(*scope, "term", F.col("w").alias("wq"))
+    length = asked.groupBy(*scope).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
+    theirs = weights.where("side = 1").join(asked, [*scope, "term"], "left").groupBy(*scope, "id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nc"))
+    found = theirs.join(length, scope).select(*scope, "id", F.coalesce(F.try_divide(F.col("dot"), F.col("nq") * F.col("nc")), F.lit(0.0)).alias("tfidf"))
+    ids = rows.where("side = 1").select(*scope, "id")
+    return ids.join(found, [*scope, "id"], "left").select(*scope, "id", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
+
+
 def bm25_index(docs: DataFrame, scope: list[str], doc: str, idf_mode: str = "plus_one") -> tuple[DataFrame, DataFrame]:
     """Postings ``scope, doc, term, tf, weight`` and lengths, for a corpus (column ``text``) in each ``scope``.
 

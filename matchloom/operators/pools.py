@@ -62,6 +62,12 @@ def rank_of_own(pool: DataFrame, keys: list[str], score: str = "score", ties: st
     return pool.withColumn("_above", above).groupBy(*keys).agg((F.sum("_above") + 1).cast("int").alias("rank"))
 
 
+def top_of_pool(pool: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """``keys, top``: the candidate with the largest score, ties to the smaller position; nulls and NaN come last."""
+    s = F.when(~F.isnan(score), F.col(score))
+    return pool.groupBy(*keys).agg(F.max(F.struct(s.isNotNull().alias("_h"), s.alias("_s"), (-F.col("pos")).alias("_p"), "cand"))["cand"].alias("top"))
+
+
 def rank_metrics(rank: Column, k: int = 5) -> dict[str, Column]:
     """With one relevant row a query: recall, NDCG at k, reciprocal rank, hit at 1."""
     return {f"recall_at_{k}": (rank <= k).cast("double"), f"ndcg_at_{k}": F.when(rank <= k, 1 / F.log2(rank + 1.0)).otherwise(0.0), "mrr": 1.0 / rank, "hit_at_1": (rank == 1).cast("double")}

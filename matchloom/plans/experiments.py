@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
 from matchloom.functions import vectors as V
-from matchloom.operators import fusion, learn, lexical, metrics, pools, splits
+from matchloom.operators import fusion, learn, lexical, matrices, metrics, pools, splits
 from matchloom.operators.embedding import build_backend, count_before, nearest
 from matchloom.operators.storage import stored
 from matchloom.sources import records as R
@@ -32,7 +32,8 @@ HEURISTICS = {"TF-IDF": "tfidf_cosine", "BM25": "bm25_score", "Embedding": "embe
 def records_of(v2: DataFrame) -> DataFrame:
     """Experiment records from raw records by the later inclusion rule; ids are 64-bit hashes of the sample ids."""
     held = v2.where("include_in_matching").withColumn("requirement_text", F.array_join("minimum_requirements", " "))
-    return held.select(F.xxhash64("sample_id").alias("idx"), "sample_id", "source_file", "filename_category", F.col("candidate_text").alias("resume_text"), "job_text", "requirement_text", "raw_score")
+    return held.select(F.xxhash64("sample_id").alias("idx"), "sample_id", "source_file", "filename_category", F.col("candidate_text").alias("resume_text"), "job_text", "requirement_text", "raw_score",
+                       "additional_info", "minimum_requirements", "macro_dict", "micro_dict")
 
 
 def vectors_of(records: DataFrame, backend: object | None = None, **svd: int) -> DataFrame:
@@ -80,7 +81,7 @@ def feature_table(records: DataFrame, threshold: float = 7.0, seeds: list[int] |
     tokens = records.select("idx", T.tokenize(F.col("resume_text")).alias("rt"), T.tokenize(F.col("job_text")).alias("jt"), T.token_set(F.col("requirement_text")).alias("q"))
     sets = tokens.select("idx", F.array_distinct("rt").alias("r"), F.array_distinct("jt").alias("c"), "q", F.size("rt").cast("long").alias("resume_length"), F.size("jt").cast("long").alias("jd_length"))
     kg = sets.select("idx", *(c.alias(n) for n, c in T.pair_features(F.col("r"), F.col("c"), F.col("q")).items()), "resume_length", "jd_length")
-    base = records.drop("resume_text", "job_text", "requirement_text").withColumn("binary_label", fusion.label_of(F.col("raw_score"), threshold))
+    base = records.drop("resume_text", "job_text", "requirement_text", "additional_info", "minimum_requirements", "macro_dict", "micro_dict").withColumn("binary_label", fusion.label_of(F.col("raw_score"), threshold))
     out = base.join(tfidf, "idx").join(bm25, "idx", "left").join(emb, "idx").join(kg, "idx").join(wide, "idx")
     out = out.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0))).withColumn("dp_embedding_cosine", F.col(default))
     return stored(out, "features"), vectors
@@ -253,12 +254,14 @@ def sampled_ranking(records: DataFrame, table: DataFrame, vectors: DataFrame, mo
 
 
 def threshold_experiment(table: DataFrame, mode: str = "fast", thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """Oriented heuristics under each threshold of the raw score; ``threshold_tasks`` has the learned fusion."""
+    """Oriented heuristics under each threshold of the raw score, and its class counts; ``threshold_tasks`` has the learned fusion."""
     parts = []
+    spread = table.where("raw_score is not null").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    counts = spread.groupBy("threshold").agg(F.count_if(F.col("raw_score") >= F.col("threshold")).alias("positives"), F.count_if(F.col("raw_score") < F.col("threshold")).alias("negatives"), F.count("*").alias("rows"))
     for t in thresholds:
         held = fold_rows(table.withColumn("binary_label", fusion.label_of(F.col("raw_score"), t)), mode)
         parts.append(stored(classification_rows(oriented_heuristics(held, ["seed", "fold"]), ["seed", "fold", "method"]).withColumn("threshold", F.lit(t)), "threshold"))
-    return metrics.mean_std(reduce(DataFrame.unionByName, parts), ["threshold", "method"], METRICS)
+    return metrics.mean_std(reduce(DataFrame.unionByName, parts), ["threshold", "method"], METRICS).join(counts, "threshold").orderBy("threshold", "method")
 
 
 def threshold_tasks(records: DataFrame, table: DataFrame, vectors: DataFrame, mode: str = "fast", thresholds: list[float] = THRESHOLDS, epsilon: float = 2.0, models: tuple[str, ...] = learn.CLASSIFIERS, small: bool = False, max_features: int = 12_000) -> tuple[DataFrame, DataFrame]:
@@ -306,7 +309,83 @@ def pairwise_in_sample(table: DataFrame, seeds: list[int] | None = None, epsilon
     return metrics.mean_std(classification_rows(turned, ["seed", "method"]), ["method"], METRICS), report
 
 
-def full_retrieval(records: DataFrame, vectors: DataFrame) -> DataFrame:
+def score_matrix(records: DataFrame, vectors: DataFrame, pairs: DataFrame | None = None, epsilon: float = 2.0, seed: int = 3407, max_features: int = 12_000) -> DataFrame:
+    """``query, cand`` and the five single scores of all pairs, or of ``pairs``: TF-IDF, BM25, Embedding, DP-Embedding (noise, clipped again), KG."""
+    ids = records.select(F.col("idx").alias("query"))
+    asked = stored(matrices.all_pairs(ids, ids.withColumnRenamed("query", "cand")) if pairs is None else pairs.select("query", "cand").distinct(), "pairs")
+    texts = lambda key, column: records.select(F.col("idx").alias(key), F.col(column).alias("text"))
+    tfidf = lexical.tfidf_scores(texts("l", "resume_text"), texts("r", "job_text"), asked.select(F.col("query").alias("l"), F.col("cand").alias("r")), cap=max_features).select(F.col("l").alias("query"), F.col("r").alias("cand"), F.col("tfidf").alias("TF-IDF"))
+    postings, _ = lexical.bm25_index(texts("cand", "job_text"), [], "cand")
+    bm25 = lexical.bm25_scores(asked.join(texts("query", "resume_text"), "query"), "query", postings, [], "cand", paired=True).select("query", "cand", F.col("bm25").alias("BM25"))
+    found = tfidf.join(bm25, ["query", "cand"], "left").withColumn("BM25", F.coalesce("BM25", F.lit(0.0)))
+    found = found.join(matrices.vector_scores(vectors, asked, "Embedding"), ["query", "cand"])
+    found = found.join(matrices.vector_scores(stored(matrices.noisy_vectors(vectors, epsilon, seed), "noisy"), asked, "DP-Embedding"), ["query", "cand"])
+    known = matrices.knowledge_scores(records, asked).select("query", "cand", F.col("overall").alias("KG"), "consistency")
+    return stored(found.join(known, ["query", "cand"]), "score_matrix")
+
+
+RETRIEVAL = ["TF-IDF", "BM25", "Embedding", "retrieval_fusion", "DP-Embedding", "hand_fusion"]
+
+
+def full_retrieval(records: DataFrame, vectors: DataFrame, epsilon: float = 2.0, seed: int = 3407, max_features: int = 12_000, threshold: float = 7.0) -> DataFrame:
+    """Each resume against all jobs by six methods: rank metrics of positives, consistency of every resume's first job, and the scores' mean and deviation.
+
+    Fusions are of scores scaled over the whole matrix. The matrix is quadratic; ``vector_retrieval`` is the one for many records.
+    """
+    grid = score_matrix(records, vectors, None, epsilon, seed, max_features)
+    single = {"tfidf": "TF-IDF", "bm25": "BM25", "embedding": "Embedding", "dp": "DP-Embedding", "kg": "KG"}
+    scaled = fusion.scaled_all(grid.select("query", "cand", *(F.col(c).alias(n) for n, c in single.items())), list(single))
+    wide = scaled.select("query", "cand", *(F.col(n).alias(c) for n, c in single.items() if n != "kg"), fusion.weighted_sum(fusion.RAG_WEIGHTS, "_scaled").alias("retrieval_fusion"), fusion.weighted_sum(fusion.RETRIEVAL_DP_WEIGHTS, "_scaled").alias("hand_fusion"))
+    long = stored(fusion.to_long(wide, ["query", "cand"], RETRIEVAL).withColumn("score", F.round("score", 9)), "retrieval")
+    ranks = stored(matrices.ranks_in_matrix(long, ["method", "query"]), "retrieval_ranks")
+    positive = records.where(fusion.label_of(F.col("raw_score"), threshold) == 1).select(F.col("idx").alias("query"))
+    judged = pools.mean_rank_metrics(ranks.join(positive, "query"), ["method"])
+    consistent = ranks.join(grid.select("query", F.col("cand").alias("top"), "consistency"), ["query", "top"]).groupBy("method").agg(F.avg("consistency").alias("consistency"))
+    spread = long.groupBy("method").agg(F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"))
+    return judged.join(consistent, "method").join(spread, "method").orderBy("method")
+
+
+def first_ranking(records: DataFrame, table: DataFrame, vectors: DataFrame, negative_type: str = "random", seeds: list[int] | None = None, epsilon: float = 2.0, label: str = "binary_label") -> DataFrame:
+    """The first generation's pools: TF-IDF and BM25 from each pool's own corpus, fusion scaled within the pool, scores turned by in-sample direction.
+
+    Hard negatives are the nearest by TF-IDF. Rank metrics and the consistency of the first job, mean and deviation over seeds.
+    """
+    parts = []
+    rows = table.select("idx", label)
+    positive, negative = (rows.where(F.col(label) == c).select("idx") for c in (1, 0))
+    for seed in seeds or splits.SEEDS:
+        if negative_type == "random":
+            pool = pools.random_pools(rows, "idx", label, seed)
+        else:
+            asked = matrices.all_pairs(positive.select(F.col("idx").alias("query")), negative.select(F.col("idx").alias("cand")))
+            texts = lambda key, column: records.select(F.col("idx").alias(key), F.col(column).alias("text"))
+            similar = lexical.tfidf_scores(texts("l", "resume_text"), texts("r", "job_text"), asked.select(F.col("query").alias("l"), F.col("cand").alias("r")))
+            pool = pools.hard_pools(positive.select(F.col("idx").alias("query")), similar.select(F.col("l").alias("query"), F.col("r").alias("cand"), F.col("tfidf").alias("similarity")))
+        pool = stored(pool, "pool")
+        jobs = pool.join(records.select(F.col("idx").alias("cand"), F.col("job_text").alias("text")), "cand")
+        resumes = pool.select("query").distinct().join(records.select(F.col("idx").alias("query"), F.col("resume_text").alias("text")), "query")
+        corpus = resumes.select("query", F.lit(0).alias("side"), F.col("query").alias("id"), "text").unionByName(jobs.select("query", F.lit(1).alias("side"), F.col("cand").alias("id"), "text"))
+        tfidf = lexical.tfidf_scoped(corpus, ["query"]).select("query", F.col("id").alias("cand"), F.col("tfidf").alias("TF-IDF"))
+        postings, _ = lexical.bm25_index(jobs.select("query", "cand", "text"), ["query"], "cand")
+        tokens = resumes.select("query", F.explode(T.tokenize(F.col("text"))).alias("t")).select("query", F.xxhash64("t").alias("term"))
+        bm25 = tokens.join(postings, ["query", "term"]).groupBy("query", "cand").agg(F.sum("weight").alias("BM25"))
+        met = pool.select("query", "cand").join(vectors.select(F.col("idx").alias("query"), "rv"), "query").join(vectors.select(F.col("idx").alias("cand"), "jv"), "cand")
+        private = private_scores(met, [seed], [epsilon], resume="query", job="cand").select("query", "cand", F.col("dp").alias("DP-Embedding"))
+        known = matrices.knowledge_scores(records, pool.select("query", "cand")).select("query", "cand", F.col("overall").alias("KG-only"), "consistency")
+        wide = pool.join(tfidf, ["query", "cand"]).join(bm25, ["query", "cand"], "left").withColumn("BM25", F.coalesce("BM25", F.lit(0.0))) \
+            .join(matrices.vector_scores(vectors, pool.select("query", "cand"), "Embedding"), ["query", "cand"]).join(private, ["query", "cand"]).join(known, ["query", "cand"])
+        fused = stored(fusion.fuse(wide, {"DP-Embedding": 0.45, "KG-only": 0.45, "BM25": 0.10}, "hand_fusion", ["query"]), "first_pools")
+        _, report = pairwise_in_sample(table, [seed], epsilon)
+        methods = [*HEURISTICS, "hand_fusion"]
+        long = fusion.oriented(fusion.to_long(fused, ["query", "pos", "cand"], methods), report, ["method"]).withColumn("score", F.round("score", 9))
+        ranks = pools.mean_rank_metrics(pools.rank_of_own(long, ["method", "query"]), ["method"])
+        top = pools.top_of_pool(long, ["method", "query"]).join(fused.select("query", F.col("cand").alias("top"), "consistency"), ["query", "top"])
+        parts.append(stored(ranks.join(top.groupBy("method").agg(F.avg("consistency").alias("consistency")), "method").withColumn("seed", F.lit(seed)), "first_ranks"))
+    every = reduce(DataFrame.unionByName, parts)
+    return metrics.mean_std(every, ["method"], [*RANK_METRICS, "consistency"]).withColumn("negative_type", F.lit(negative_type))
+
+
+def vector_retrieval(records: DataFrame, vectors: DataFrame) -> DataFrame:
     """Each positive resume against all jobs by vector: the own job's rank among all of them, ties to the smaller id."""
     jobs = vectors.select(F.col("idx").alias("id"), F.col("jv").alias("v"))
     queries = vectors.join(records.where("raw_score >= 7").select("idx"), "idx")
@@ -333,6 +412,8 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, mode: str = "fast") ->
     results["threshold_learned"], results["threshold_ranking"] = threshold_tasks(records, table, vectors, mode)
     fitted = fitted_models(_own_dp(fold_rows(table, mode), 2.0, mode), learn.FEATURES)
     results |= {f"ranking_{t}": sampled_ranking(records, table, vectors, mode, t, fitted=fitted) for t in ("random", "hard")}
+    results |= {f"first_ranking_{t}": first_ranking(records, table, vectors, t, MODES[mode]["seeds"]) for t in ("random", "hard")}
+    results["full_retrieval"] = full_retrieval(records, vectors)
     for name, df in results.items():
         sinks.write_csv(f"{out_dir}/{name}", df)
     sinks.write_metadata(f"{out_dir}/metadata.json", {"mode": mode, "rows": table.count(), "epsilons": EPSILONS, "seeds": MODES[mode]["seeds"]})

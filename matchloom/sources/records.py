@@ -206,6 +206,11 @@ def read_dp_scores(spark: SparkSession, path: str, epsilon: float, seed: int) ->
     return spark.read.parquet(path).where((F.col("epsilon") == float(epsilon)) & (F.col("seed") == seed))
 
 
+def read_matrix(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The matrix or stack of a name; no other's files are read."""
+    return spark.read.option("basePath", path).parquet(f"{path}/matrix={name}").drop("matrix")
+
+
 def read_metadata(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 

@@ -6,6 +6,7 @@ import json
 from functools import reduce
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,19 @@ def write_csv(path: str, *parts: DataFrame) -> None:
 
 
 def write_table(df: DataFrame, base: str) -> str:
-    """Parquet. Returns its path."""
-    df.write.mode("overwrite").parquet(f"{base}.parquet")
-    return f"{base}.parquet"
+    """Parquet, or CSV where Parquet can't hold a column's type or name. Returns its path."""
+    try:
+        df.write.mode("overwrite").parquet(f"{base}.parquet")
+        return f"{base}.parquet"
+    except AnalysisException:
+        flat = df.select(*(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias(c) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`").cast("string").alias(c) for c, t in df.dtypes))
+        flat.write.mode("overwrite").csv(f"{base}.csv", header=True)
+        return f"{base}.csv"
+
+
+def write_matrix(df: DataFrame, path: str, name: str) -> None:
+    """A long table (``query, cand, score``, or ids and vectors) under its name: a folder of ``path`` for each, of which readers read one."""
+    df.write.mode("overwrite").parquet(f"{path}/matrix={name}")
 
 
 def write_dp_scores(df: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.operators import lexical, matrices
 from matchloom.operators.storage import stored
 from matchloom.plans import experiments as X
 from matchloom.sources import records as R
@@ -119,10 +120,11 @@ def test_experiments(spark, raw_dir):
     assert found["score"].count() == 7 and found["correlation"].count() == 10 and "## binary" in X.summarize({"binary": found["binary"]})
     ranked = {r["method"]: r for t in ("random", "hard") for r in X.sampled_ranking(records, table, vectors, negative_type=t).collect()}
     assert ranked["kg_skill_coverage"]["queries"] == 24
-    assert X.threshold_experiment(table, thresholds=[7.0, 8.0]).count() == 12
+    swept = X.threshold_experiment(table, thresholds=[7.0, 8.0]).collect()
+    assert len(swept) == 12 and {(r["positives"] + r["negatives"], r["rows"]) for r in swept} == {(48, 48)} and {r["positives"] for r in swept if r["threshold"] == 7.0} == {24}
     in_sample, report = X.pairwise_in_sample(table, seeds=[3407])
     assert all(r["auc_mean"] >= 0.5 for r in in_sample.collect()) and report.count() == 6
-    assert X.full_retrieval(records, vectors).first()["queries"] == 24
+    assert X.vector_retrieval(records, vectors).first()["queries"] == 24
     assert X.robust_validation(table, models=("LogisticRegression",)).where("protocol = 'holdout'").count() == 7
 
 
@@ -164,13 +166,67 @@ def test_thresholds_train_and_rank_the_learned_fusion(spark, pairs):
     assert auc[7.0]["auc_mean"] > 0.9 > auc[9.0]["auc_mean"] and 0 < ranked[9.0]["mrr_mean"] <= 1 and ranked[7.0]["mrr_mean"] > 0
 
 
+def test_full_retrieval_by_six_methods(spark, pairs):
+    records, table, vectors = pairs
+    grid = X.score_matrix(records, vectors, max_features=200)
+    n = records.count()
+    cells = {(r["query"], r["cand"]): r for r in grid.collect()}
+    assert len(cells) == n * n
+    own = {r["idx"]: r for r in table.collect()}
+    assert all(abs(cells[i, i][c] - own[i][f]) < 1e-9 for i in own for c, f in (("TF-IDF", "tfidf_cosine"), ("BM25", "bm25_score"), ("Embedding", "embedding_cosine")))
+    got = {r["method"]: r for r in X.full_retrieval(records, vectors, max_features=200).collect()}
+    assert sorted(got) == sorted(X.RETRIEVAL)
+    positive = [r["idx"] for r in table.where("binary_label = 1").collect()]
+    lo, hi = ({c: f(r[c] for r in cells.values()) for c in ("TF-IDF", "BM25", "Embedding", "DP-Embedding", "KG")} for f in (min, max))
+    scaled = lambda r, c: 0.0 if abs(hi[c] - lo[c]) <= 1e-8 + 1e-5 * abs(hi[c]) else (r[c] - lo[c]) / (hi[c] - lo[c])
+    by = {"BM25": lambda r: r["BM25"], "DP-Embedding": lambda r: r["DP-Embedding"], "hand_fusion": lambda r: 0.55 * scaled(r, "DP-Embedding") + 0.45 * scaled(r, "KG"),
+          "retrieval_fusion": lambda r: 0.35 * scaled(r, "TF-IDF") + 0.25 * scaled(r, "BM25") + 0.2 * scaled(r, "Embedding") + 0.2 * scaled(r, "KG")}
+    for m, f in by.items():
+        order = {q: sorted(own, key=lambda c: (-round(f(cells[q, c]), 9), c)) for q in own}  # noqa: B023
+        ranks = [order[q].index(q) + 1 for q in positive]
+        assert got[m]["queries"] == len(positive) and got[m]["mrr"] == pytest.approx(sum(1 / r for r in ranks) / len(ranks), abs=1e-6)
+        assert got[m]["consistency"] == pytest.approx(sum(cells[q, order[q][0]]["consistency"] for q in own) / len(own), abs=1e-6)
+
+
+def test_first_ranking_refits_in_each_pool_and_turns_scores(spark, pairs):
+    records, table, vectors = pairs
+    for kind in ("random", "hard"):
+        got = {r["method"]: r for r in X.first_ranking(records, table, vectors, kind, [3407]).collect()}
+        assert sorted(got) == sorted([*X.HEURISTICS, "hand_fusion"]) and all(0 < r["mrr_mean"] <= 1 and 0 <= r["consistency_mean"] <= 1 and r["runs"] == 1 for r in got.values())
+
+
+def test_scoped_tfidf_equals_each_corpus_alone(spark):
+    texts = {1: ("spark joins tables", [(1, "spark joins"), (2, "other words here"), (3, "")]), 2: ("other tables", [(1, "tables other tables"), (4, "spark")])}
+    rows = [(q, 0, q, t) for q, (t, _) in texts.items()] + [(q, 1, i, t) for q, (_, c) in texts.items() for i, t in c]
+    got = {(r["query"], r["id"]): r["tfidf"] for r in lexical.tfidf_scoped(spark.createDataFrame(rows, "query long, side int, id long, text string"), ["query"]).collect()}
+    assert len(got) == 5
+    for q, (t, c) in texts.items():
+        left, right = spark.createDataFrame([(q, t)], "l long, text string"), spark.createDataFrame(c, "r long, text string")
+        for r in lexical.tfidf_scores(left, right, right.select(F.lit(q).alias("l"), "r")).collect():
+            assert got[q, r["r"]] == pytest.approx(r["tfidf"], abs=1e-12)
+
+
+def test_matrices_are_stored_by_name(spark, pairs, tmp_path):
+    records, _, vectors = pairs
+    ids = records.select(F.col("idx").alias("query")).limit(3)
+    asked = matrices.all_pairs(ids, ids.withColumnRenamed("query", "cand"))
+    noisy = matrices.noisy_vectors(vectors, 2.0)
+    assert all(math.sqrt(sum(x * x for x in r["rv"])) <= 2 + 1e-9 for r in noisy.collect())
+    S.write_matrix(matrices.vector_scores(noisy, asked, "score"), str(tmp_path / "m"), R.dp_matrix_name(2, 3407))
+    S.write_matrix(vectors.select("idx", "rv"), str(tmp_path / "m"), "resumes")
+    assert R.read_matrix(spark, str(tmp_path / "m"), R.dp_matrix_name(2, 3407)).count() == 9
+    assert R.read_matrix(spark, str(tmp_path / "m"), "resumes").columns == ["idx", "rv"]
+    odd = spark.createDataFrame([(1, [1, 2])], "k int, a array<int>").withColumn("none", F.lit(None))
+    assert S.write_table(odd, str(tmp_path / "odd")).endswith((".csv", ".parquet"))
+
+
 def test_full_retrieval_ranks_among_all_jobs(spark):
     # Record 0's own job is the furthest of 40 jobs, so its rank is 40; record 1's ties with the job of 39 and comes first by id.
     angle = {i: 0.01 * i for i in range(40)} | {0: 1.5, 39: 0.01}
     rows = [(i, [1.0, 0.0], [math.cos(a), math.sin(a)]) for i, a in angle.items()]
     vectors = spark.createDataFrame(rows, "idx long, rv array<double>, jv array<double>")
     records = spark.createDataFrame([(i, 8.0 if i < 2 else 1.0) for i in range(40)], "idx long, raw_score double")
-    got = X.full_retrieval(records, vectors).first()
+    got = X.vector_retrieval(records, vectors).first()
     assert got["queries"] == 2 and got["mrr"] == pytest.approx((1 / 40 + 1) / 2) and got["hit_at_1"] == 0.5
     own = vectors.where("idx < 2").selectExpr("idx id", "rv v", "round(jv[0], 9) own")
     jobs = vectors.selectExpr("idx id", "jv v")
