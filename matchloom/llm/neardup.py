@@ -29,6 +29,8 @@ from matchloom.llm.common import _COEF, materialize, mix64, shingle_sets, small_
 BANDS, ROWS = 48, 6
 #: Shingles that a task verifies at a time, and members of a larger group that all its tasks share.
 BLOCK_SHINGLES, ANCHORS = 50_000, 8
+#: So many groups above that size are broadcast, a row each; more are joined by shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
@@ -226,9 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     weighed = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     per_group = weighed.groupBy("component").agg(F.sum("n").alias("total"), F.min("node").alias("least"), *(F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"a{j}") for j in range(1, ANCHORS)))
-    sized = materialize(weighed.join(per_group.withColumn("k", F.ceil(F.col("total") / block_shingles).cast("int")), "component")
-                        .withColumn("block", F.expr("cast(pmod(xxhash64(node, 3), k) as int)")).withColumn("anchors", F.array_distinct(F.array("least", *(f"a{j}" for j in range(1, ANCHORS)))))
-                        .select("component", "node", "n", "k", "block", F.array_contains("anchors", F.col("node")).alias("anchor")), "sized")
+    # Only groups above a block, which are few, join back to their members: a hot group's members don't move for it.
+    big = materialize(per_group.where(F.col("total") > block_shingles).select(
+        F.col("component").alias("of"), F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"), F.array("least", *(f"a{j}" for j in range(1, ANCHORS))).alias("anchors")), "groups")
+    few = lambda df, count: F.broadcast(df) if count <= BROADCAST_GROUPS else df
+    n_big = big.count()
+    sized = materialize(weighed.join(few(big, n_big), F.col("component") == F.col("of"), "left").withColumn("k", F.coalesce("blocks", F.lit(1)))
+                        .withColumn("block", F.expr("cast(pmod(xxhash64(node, 3), k) as int)"))
+                        .select("component", "node", "n", "k", "block", F.coalesce(F.array_contains("anchors", F.col("node")), F.lit(False)).alias("anchor")), "sized")
 
     def verified(tasks: DataFrame) -> DataFrame:
         """Links among the members of each task: ``component, a, b`` name it, ``doc_id`` is the member."""
@@ -238,13 +245,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     blocks = F.when(F.col("anchor"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("block"))
     found = materialize(verified(sized.select("component", F.explode(blocks).alias("a"), F.lit(0).alias("b"), F.col("node").alias("doc_id"))), "found")
-    large = sized.where("k > 1")
-    if not large.isEmpty():
+    if n_big:
+        large = sized.where("k > 1")
         labels = connected_components(found).withColumnRenamed("component", "label")
         held = materialize(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
         by_label = held.groupBy("component", "label").agg(F.sum("n").alias("m"))
-        main = by_label.groupBy("component").agg(F.max(F.struct("m", "label"))["label"].alias("main"), (F.sum("m") - F.max("m")).alias("rest"))
-        left = held.join(main.where("rest > 0"), "component").withColumn("kb", F.ceil(F.col("rest") / block_shingles).cast("int")).withColumn("other", F.col("label") != F.col("main"))
+        main = by_label.groupBy(F.col("component").alias("of")).agg(F.max(F.struct("m", "label"))["label"].alias("main"), (F.sum("m") - F.max("m")).alias("rest"))
+        left = held.join(few(main.where("rest > 0"), n_big), F.col("component") == F.col("of")).withColumn("kb", F.ceil(F.col("rest") / block_shingles).cast("int")).withColumn("other", F.col("label") != F.col("main"))
         rest = materialize(left.withColumn("spare", F.expr("cast(pmod(xxhash64(node, 5), kb) as int)")).select("component", "node", "k", "kb", "block", "spare", "other"), "rest")
         every = rest.select("component", F.col("block").alias("a"), F.explode(F.expr("sequence(0, kb - 1)")).alias("b"), F.col("node").alias("doc_id"))
         others = rest.where("other").select("component", F.explode(F.expr("sequence(0, k - 1)")).alias("a"), F.col("spare").alias("b"), F.col("node").alias("doc_id"))
