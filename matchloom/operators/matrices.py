@@ -57,12 +57,12 @@ def knowledge_scores(records: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("query", "cand", T.weighted(named, T.OVERALL_WEIGHTS).alias("overall"), T.weighted(named, T.CONSISTENCY_WEIGHTS).alias("consistency"))
 
 
-def ranks_in_matrix(long: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, rank, top, mean, std``: the own candidate's rank in its row (ties to the smaller id), the row's first candidate, and its scores.
+def ranks_in_matrix(long: DataFrame, keys: list[str], own: str = "query") -> DataFrame:
+    """``keys, rank, top``: the own candidate's rank in its row (ties to the smaller id), and the row's first candidate.
 
-    ``long`` is ``keys, query, cand, score``; ``keys`` hold ``query``. Counts and largest values, nothing is sorted.
+    ``long`` is ``keys, query, cand, score``; ``own`` is the column with the own candidate's id. Counts and largest values, nothing is sorted.
     """
-    own = long.where(F.col("query") == F.col("cand")).select(*keys, F.col("score").alias("_own"))
-    ahead = (F.col("score") > F.col("_own")) | ((F.col("score") == F.col("_own")) & (F.col("cand") < F.col("query")))
+    held = long.where(F.col(own) == F.col("cand")).select(*keys, F.col("score").alias("_own"))
+    ahead = (F.col("score") > F.col("_own")) | ((F.col("score") == F.col("_own")) & (F.col("cand") < F.col(own)))
     first = F.max(F.struct("score", (-F.col("cand")).alias("c")))["c"]
-    return long.join(own, keys).groupBy(*keys).agg((F.count_if(ahead) + 1).cast("int").alias("rank"), (-first).alias("top"))
+    return long.join(held, keys).groupBy(*keys).agg((F.count_if(ahead) + 1).cast("int").alias("rank"), (-first).alias("top"))

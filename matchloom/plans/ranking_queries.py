@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
-from matchloom.operators import lexical, pools, splits
+from matchloom.operators import fusion, lexical, matrices, pools, splits
 from matchloom.operators.embedding import nearest
-from matchloom.plans.base import PAIRS, jac, own_items, query, rounded, share, table, toks, tset
-from matchloom.plans.score_queries import _bm25_sql
+from matchloom.operators.storage import stored
+from matchloom.plans.base import PAIRS, jac, own_items, query, requirements, rounded, share, table, toks, tset
+from matchloom.plans.score_queries import _ITEMS, _STOP, _bm25_sql
 from matchloom.plans.vector_queries import _E, embeddings
 
 
@@ -171,3 +172,137 @@ def top1_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = docs.join(best, "doc_id", "left").withColumn("item_id", F.coalesce("item_id", F.lit(first))).select("doc_id", "item_id", T.token_set(F.col("text")).alias("a"))
     found = top.join(table(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("b")), "item_id")
     return found.agg(F.count("*").alias("queries"), rounded(F.avg(T.jaccard(F.col("a"), F.col("b")))).alias("mean_jaccard"), rounded(F.avg(T.overlap(F.col("a"), F.col("b")))).alias("mean_coverage"))
+
+
+# --- pools and the whole matrix by several methods ---------------------------------------------------
+
+_POOL_TFIDF = rf"""{PAIRS}, {_RANDOM},
+pr AS MATERIALIZED (SELECT DISTINCT query FROM pool),
+tx AS MATERIALIZED (SELECT query, 0 AS side, query AS id, text FROM pr JOIN documents ON doc_id = query UNION ALL SELECT query, 1, cand, jd FROM pool JOIN pairs ON doc_id = cand),
+tw AS (SELECT query, side, id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_STOP}, w)) AS w FROM tx),
+ttf AS MATERIALIZED (SELECT query, side, id, term, count(*) AS tf FROM (SELECT query, side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tw) GROUP BY ALL),
+tn AS (SELECT query, count(*)::DOUBLE AS n FROM tx GROUP BY query),
+tdf AS (SELECT query, term, count(*) AS df FROM ttf GROUP BY ALL),
+twt AS MATERIALIZED (SELECT query, side, id, term, tf * (ln((1.0::DOUBLE + n) / (1.0 + df)) + 1.0) AS w FROM ttf JOIN tdf USING (query, term) JOIN tn USING (query)),
+tln AS (SELECT query, side, id, sqrt(sum(w * w)) AS len FROM twt GROUP BY ALL),
+tdt AS (SELECT c.query, c.id, sum(c.w * q.w) AS dot FROM twt c JOIN twt q ON q.query = c.query AND q.term = c.term AND q.side = 0 WHERE c.side = 1 GROUP BY ALL),
+tfidf_in AS MATERIALIZED (SELECT p.query, p.pos, p.cand, coalesce(dot / (a.len * b.len), 0) AS tfidf FROM pool p LEFT JOIN tdt d ON d.query = p.query AND d.id = p.cand
+  LEFT JOIN tln a ON a.query = p.query AND a.side = 0 LEFT JOIN tln b ON b.query = p.query AND b.side = 1 AND b.id = p.cand)"""
+
+
+def pool_tfidf(spark: SparkSession, sf_dir: str, pool: DataFrame) -> DataFrame:
+    """``query, cand, tfidf`` from the corpus of each pool alone: the query's text and its candidates' items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("jd"))
+    cands = own_items(spark, sf_dir, docs.select("doc_id"), items).select(F.col("doc_id").alias("cand"), F.col("jd").alias("text"))
+    asked = pool.select("query").distinct().join(docs.withColumnRenamed("doc_id", "query"), "query")
+    corpus = asked.select("query", F.lit(0).alias("side"), F.col("query").alias("id"), "text").unionByName(pool.join(cands, "cand").select("query", F.lit(1).alias("side"), F.col("cand").alias("id"), "text"))
+    return lexical.tfidf_scoped(corpus, ["query"]).withColumnRenamed("id", "cand")
+
+
+@query(f"WITH {_POOL_TFIDF} SELECT query, CAST(pos AS INTEGER) AS pos, cand, round(tfidf, 6) AS tfidf FROM tfidf_in")
+def tfidf_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF fitted anew on each pool."""
+    pool = stored(labelled_pool(spark, sf_dir), "pool")
+    return pool.join(pool_tfidf(spark, sf_dir, pool), ["query", "cand"]).select("query", "pos", "cand", rounded(F.col("tfidf")).alias("tfidf"))
+
+
+def _scaled_in(x: str) -> str:
+    lo, hi = f"min({x}) OVER (PARTITION BY query)", f"max({x}) OVER (PARTITION BY query)"
+    return f"CASE WHEN abs({hi} - {lo}) <= 1e-8 + 1e-5 * abs({hi}) THEN 0.0::DOUBLE ELSE ({x} - {lo}) / ({hi} - {lo}) END"
+
+
+_DIRECTED = ["tfidf", "jaccard", "kg", "fused"]
+
+
+@query(f"""WITH {_POOL_TFIDF},
+t AS MATERIALIZED (SELECT doc_id, {tset('text')} AS a, {tset('jd')} AS b FROM pairs),
+ps AS MATERIALIZED (SELECT query, pos, cand, tfidf, {jac('x.a', 'y.b')} AS jaccard, {share('len(list_intersect(x.a, y.b))', 'len(y.b)')} AS kg FROM tfidf_in JOIN t x ON x.doc_id = query JOIN t y ON y.doc_id = cand),
+fp AS MATERIALIZED (SELECT *, 0.45 * {_scaled_in('tfidf')} + 0.45 * {_scaled_in('kg')} + 0.1 * {_scaled_in('jaccard')} AS fused FROM ps),
+lg AS MATERIALIZED ({' UNION ALL '.join(f"SELECT '{m}' AS method, query, pos, jaccard, round({m}, 9) AS score FROM fp" for m in _DIRECTED)}),
+g AS (SELECT method, score, count(*) FILTER (pos = 0) AS p, count(*) FILTER (pos <> 0) AS n FROM lg GROUP BY ALL),
+b AS (SELECT *, sum(n) OVER (PARTITION BY method ORDER BY score) - n AS before FROM g),
+au AS (SELECT method, sum(p * (before + n / 2.0))::DOUBLE / (sum(p) * sum(n)) AS auc FROM b GROUP BY method),
+tu AS MATERIALIZED (SELECT method, query, pos, jaccard, score * CASE WHEN auc < 0.5 THEN -1 ELSE 1 END AS score FROM lg JOIN au USING (method)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY method, query ORDER BY score DESC, pos) AS rank FROM tu),
+rm AS (SELECT method, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall_at_5, avg(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS ndcg_at_5, avg(1.0::DOUBLE / rank) AS mrr, avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END) AS hit_at_1, count(*) AS queries FROM rk WHERE pos = 0 GROUP BY method),
+tp AS (SELECT method, avg(jaccard) AS consistency FROM rk WHERE rank = 1 GROUP BY method)
+SELECT method, round(recall_at_5, 6) AS recall_at_5, round(ndcg_at_5, 6) AS ndcg_at_5, round(mrr, 6) AS mrr, round(hit_at_1, 6) AS hit_at_1, queries, round(consistency, 6) AS consistency, CASE WHEN auc < 0.5 THEN -1 ELSE 1 END AS direction FROM rm JOIN tp USING (method) JOIN au USING (method)""")
+def pool_ranking_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools ranked by each method: TF-IDF of the pool's own corpus, fusion scaled within the pool, scores turned by direction; and how well the first job explains itself."""
+    pool = stored(labelled_pool(spark, sf_dir), "pool")
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("b"))
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.join(pool.select(F.col("query").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("query"), T.token_set(F.col("text")).alias("a"))
+    cands = own_items(spark, sf_dir, docs.select("doc_id"), items).select(F.col("doc_id").alias("cand"), "b")
+    p = pool.join(pool_tfidf(spark, sf_dir, pool), ["query", "cand"]).join(cands, "cand").join(asked, "query")
+    s = stored(p.select("query", "pos", "cand", "tfidf", T.jaccard(F.col("a"), F.col("b")).alias("jaccard"), T.overlap(F.col("a"), F.col("b")).alias("kg")), "pool_scores")
+    fused = stored(fusion.fuse(s, {"tfidf": 0.45, "kg": 0.45, "jaccard": 0.1}, "fused", ["query"]), "pool_fused")
+    long = fusion.to_long(fused, ["query", "pos", "cand"], _DIRECTED).withColumns({"score": F.round("score", 9), "label": (F.col("pos") == 0).cast("int")})
+    report = stored(fusion.directions(long, ["method"]), "directions")
+    turned = stored(fusion.oriented(long, report, ["method"]), "turned")
+    ranks = pools.mean_rank_metrics(pools.rank_of_own(turned, ["method", "query"]), ["method"])
+    top = pools.top_of_pool(turned, ["method", "query"]).join(fused.select("query", F.col("cand").alias("top"), "jaccard"), ["query", "top"])
+    found = ranks.join(top.groupBy("method").agg(F.avg("jaccard").alias("consistency")), "method").join(report.select("method", "direction"), "method")
+    return found.select(*(rounded(F.col(c)).alias(c) if t == "double" else c for c, t in found.dtypes))
+
+
+def _mm_all(x: str) -> str:
+    return f"CASE WHEN abs(max({x}) OVER () - min({x}) OVER ()) <= 1e-8 + 1e-5 * abs(max({x}) OVER ()) THEN 0.0::DOUBLE ELSE ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) END"
+
+
+_BY_METHOD = ["bm25", "kg", "jaccard", "retrieval_fusion"]
+
+
+@query(f"""WITH {PAIRS}, {_bm25_sql('', _ITEMS, 'plus_one')},
+q AS MATERIALIZED (SELECT doc_id, item_id AS own, quality, {tset('text')} AS a FROM lp), i AS MATERIALIZED (SELECT item_id, {tset('text')} AS b FROM benchmark),
+qt AS (SELECT doc_id, unnest({toks('text')}) AS term FROM lp),
+bg AS MATERIALIZED (SELECT doc_id, item AS item_id, sum(weight) AS bm25 FROM qt JOIN post USING (term) GROUP BY ALL),
+gr AS MATERIALIZED (SELECT doc_id, own, quality, item_id, {jac('a', 'b')} AS jaccard, {share('len(list_intersect(a, b))', 'len(b)')} AS kg FROM q, i),
+gb AS MATERIALIZED (SELECT gr.*, coalesce(bm25, 0) AS bm25 FROM gr LEFT JOIN bg USING (doc_id, item_id)),
+gf AS MATERIALIZED (SELECT *, 0.55 * {_mm_all('bm25')} + 0.45 * {_mm_all('kg')} AS retrieval_fusion FROM gb),
+lg AS MATERIALIZED ({' UNION ALL '.join(f"SELECT '{m}' AS method, doc_id, own, quality, item_id, jaccard, round({m}, 9) AS score FROM gf" for m in _BY_METHOD)}),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY method, doc_id ORDER BY score DESC, item_id) AS rank FROM lg),
+rm AS (SELECT method, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall_at_5, avg(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS ndcg_at_5, avg(1.0::DOUBLE / rank) AS mrr, avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END) AS hit_at_1, count(*) AS queries FROM rk WHERE item_id = own AND quality = 1 GROUP BY method),
+tp AS (SELECT method, avg(jaccard) AS consistency FROM rk WHERE rank = 1 GROUP BY method),
+sp AS (SELECT method, avg(score) AS score_mean, stddev_pop(score) AS score_std FROM lg GROUP BY method)
+SELECT method, round(recall_at_5, 6) AS recall_at_5, round(ndcg_at_5, 6) AS ndcg_at_5, round(mrr, 6) AS mrr, round(hit_at_1, 6) AS hit_at_1, queries, round(consistency, 6) AS consistency, round(score_mean, 6) AS score_mean, round(score_std, 6) AS score_std
+FROM rm JOIN tp USING (method) JOIN sp USING (method)""")
+def retrieval_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents against all items by several methods, fusion scaled over the whole matrix: ranks of positives, consistency of every document's first item, spread of the scores."""
+    items = table(spark, sf_dir, "benchmark")
+    n = items.count()
+    docs = stored(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "text", F.pmod("doc_id", F.lit(n)).alias("own"), T.token_set(F.col("text")).alias("a")), "labelled")
+    pairs = matrices.all_pairs(docs.select(F.col("doc_id").alias("query")), items.select(F.col("item_id").alias("cand")))
+    sets = items.select(F.col("item_id").alias("cand"), T.token_set(F.col("text")).alias("b"))
+    met = pairs.join(docs.select(F.col("doc_id").alias("query"), "own", "quality", "a"), "query").join(sets, "cand")
+    grid = met.select("query", "own", "quality", "cand", T.jaccard(F.col("a"), F.col("b")).alias("jaccard"), T.overlap(F.col("a"), F.col("b")).alias("kg"))
+    postings, _ = lexical.bm25_index(items.select(F.col("item_id").alias("cand"), "text"), [], "cand")
+    bm25 = lexical.bm25_scores(docs.select(F.col("doc_id").alias("query"), "text"), "query", postings, [], "cand")
+    whole = stored(grid.join(bm25, ["query", "cand"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))), "grid")
+    fused = fusion.fuse(whole, {"bm25": 0.55, "kg": 0.45}, "retrieval_fusion")
+    long = stored(fusion.to_long(fused, ["query", "own", "quality", "cand", "jaccard"], [m for m in _BY_METHOD if m != "jaccard"]).unionByName(
+        fused.select("query", "own", "quality", "cand", "jaccard", F.lit("jaccard").alias("method"), F.col("jaccard").alias("score"))).withColumn("score", F.round("score", 9)), "retrieval")
+    ranks = stored(matrices.ranks_in_matrix(long, ["method", "query"], "own"), "ranks")
+    judged = pools.mean_rank_metrics(ranks.join(docs.where("quality = 1").select(F.col("doc_id").alias("query")), "query"), ["method"])
+    consistent = ranks.join(whole.select("query", F.col("cand").alias("top"), "jaccard"), ["query", "top"]).groupBy("method").agg(F.avg("jaccard").alias("consistency"))
+    spread = long.groupBy("method").agg(F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"))
+    found = judged.join(consistent, "method").join(spread, "method")
+    return found.select(*(rounded(F.col(c)).alias(c) if t == "double" else c for c, t in found.dtypes))
+
+
+_KNOWN = f"""{PAIRS},
+ki AS MATERIALIZED (SELECT item_id, {tset('text')} AS b, list_filter(list_transform(regexp_split_to_array(text, '[.]\\s*'), lambda x: {tset('x')}), lambda s: len(s) > 0) AS req FROM benchmark),
+kq AS MATERIALIZED (SELECT doc_id, {tset('text')} AS a FROM lp)"""
+
+
+@query(f"""WITH {_KNOWN}, kc AS (SELECT doc_id, item_id, {jac('a', 'b')} AS jaccard, {share("coalesce(list_sum(list_transform(req, lambda r: len(list_intersect(a, r))::DOUBLE / len(r))), 0)", "len(req)")} AS requirement, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS additional FROM kq, ki)
+SELECT doc_id AS query, item_id AS cand, round(0.45 * jaccard + 0.2 * requirement + 0.1 * additional + 1e-10, 6) AS overall, round(0.45 * jaccard + 0.25 * requirement + 0.15 * additional + 1e-10, 6) AS consistency FROM kc""")
+def knowledge_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The knowledge score of all pairs of labelled documents and items; an item's sentences are its requirements, and it has no criteria."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("idx"), F.col("text").alias("resume_text"), F.lit(None).cast("string").alias("job_text"), F.lit(None).cast("array<string>").alias("minimum_requirements"))
+    items = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("idx"), F.lit(None).cast("string").alias("resume_text"), F.col("text").alias("job_text"), requirements(F.col("text")).alias("minimum_requirements"))
+    pairs = matrices.all_pairs(docs.select(F.col("idx").alias("query")), items.select(F.col("idx").alias("cand")))
+    found = matrices.knowledge_scores(docs.unionByName(items), pairs)
+    # A little more, so that no engine finds a tie to round.
+    return found.select("query", (-1 - F.col("cand")).alias("cand"), rounded(F.col("overall") + 1e-10).alias("overall"), rounded(F.col("consistency") + 1e-10).alias("consistency"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as V
+from matchloom.operators import matrices, metrics
 from matchloom.operators.embedding import nearest
+from matchloom.operators.storage import stored
 from matchloom.plans.base import query, rounded, table
 
 EPSILONS = [0.5, 1.0, 2.0, 4.0, 8.0]
@@ -113,3 +115,38 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest others of every vector."""
     e = embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "v")
     return nearest(e, e, 5).withColumn("cosine", rounded(F.col("cosine")))
+
+
+_TOXIC = "x AS (SELECT doc_id, toxic, doc_id % (SELECT count(*) FROM embeddings) AS vec_id FROM labels)"
+
+
+@query(f"""WITH {_NOISY}, {_TOXIC}, s AS (SELECT epsilon, seed, toxic, round({_cos('(' + _SIGMA.format(e='epsilon') + ')')}, 9) AS score FROM p JOIN x USING (vec_id), (VALUES (0.5::DOUBLE), (1.0), (2.0), (4.0), (8.0)) t(epsilon)),
+g AS (SELECT epsilon, seed, score, count(*) FILTER (toxic = 1) AS pos, count(*) FILTER (toxic <> 1) AS neg FROM s GROUP BY ALL),
+b AS (SELECT *, sum(neg) OVER (PARTITION BY epsilon, seed ORDER BY score) - neg AS before FROM g),
+a AS (SELECT epsilon, seed, sum(pos * (before + neg / 2.0))::DOUBLE / (sum(pos) * sum(neg)) AS auc FROM b GROUP BY epsilon, seed)
+SELECT epsilon, round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std, count(*) AS runs, round({_SIGMA.format(e='epsilon')}, 6) AS sigma FROM a GROUP BY epsilon""")
+def dp_auc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of the private cosine at each budget, mean and deviation over seeds; a labelled document has the vector of its number."""
+    n = table(spark, sf_dir, "embeddings").count()
+    labels = table(spark, sf_dir, "labels").select(F.pmod("doc_id", F.lit(n)).alias("vec_id"), F.col("toxic").alias("label"))
+    products = stored(noisy_products(spark, sf_dir), "noisy_products")
+    swept = products.join(labels, "vec_id").withColumn("epsilon", F.explode(F.array(*map(F.lit, EPSILONS))))
+    scores = swept.select("epsilon", "seed", "label", F.round(private_cosine(V.sigma_column(F.col("epsilon"))), 9).alias("score"))
+    found = metrics.mean_std(metrics.roc_auc(scores, ["epsilon", "seed"]), ["epsilon"], ["auc"])
+    return found.select("epsilon", rounded(F.col("auc_mean")).alias("auc_mean"), rounded(F.col("auc_std")).alias("auc_std"), "runs", rounded(V.sigma_column(F.col("epsilon"))).alias("sigma"))
+
+
+def _side(name: str, seed: int, label: int, side: str) -> str:
+    clipped = "CASE WHEN len > 1 THEN len ELSE 1 END"
+    return f"""{name} AS (SELECT vec_id, list_transform(range(1, len(v) + 1), lambda i: v[i] / {clipped} + {_SIGMA.format(e='2.0::DOUBLE')} * ({_z(str(seed), side, 'vec_id', 'i - 1')})) AS w FROM n JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) WHERE label = {label}),
+{name}c AS (SELECT vec_id, list_transform(w, lambda x: x * CASE WHEN sqrt(list_dot_product(w, w)) > 2 THEN 2 / sqrt(list_dot_product(w, w)) ELSE 1 END) AS w FROM {name})"""
+
+
+@query(f"""WITH {_E}, {_side('lq', 3407, 1, 'resume')}, {_side('rc', 3408, 0, 'job')}
+SELECT q.vec_id AS query, c.vec_id AS cand, round(list_dot_product(q.w, c.w) / (sqrt(list_dot_product(q.w, q.w)) * sqrt(list_dot_product(c.w, c.w))), 6) AS score FROM lqc q, rcc c""")
+def noisy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of vectors of class 1 and class 0 under noise at a budget of 2, clipped before it at 1 and after it at 2."""
+    e = embeddings(spark, sf_dir)
+    noisy = matrices.noisy_vectors(e.select(F.col("vec_id").alias("idx"), F.col("v").alias("rv"), F.col("v").alias("jv")), 2.0)
+    pairs = matrices.all_pairs(e.where("label = 1").select(F.col("vec_id").alias("query")), e.where("label = 0").select(F.col("vec_id").alias("cand")))
+    return matrices.vector_scores(stored(noisy, "noisy"), pairs, "score").withColumn("score", rounded(F.col("score")))
