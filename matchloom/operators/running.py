@@ -22,7 +22,7 @@ def running_sums(df: DataFrame, part: list[str], order: str, values: list[str])
     ``order`` is numeric, not null, and unique within ``part``.
     """
     cuts = df.groupBy(*part).agg(F.expr(f"percentile_approx(`{order}`, {_SHARES}, {BUCKETS * 20})").alias("_cuts"))
-    held = df.join(F.broadcast(cuts), part) if part else df.crossJoin(F.broadcast(cuts))  # a row a part
+    held = df.join(cuts, part) if part else df.crossJoin(F.broadcast(cuts))  # without parts, one row
     # A binary search: how many cuts are at most the row's own value.
     bucket = F.expr(f"aggregate({_STEPS}, 0, (at, step) -> if(_cuts[at + step - 1] <= `{order}`, at + step, at))")
     held = held.withColumn("_b", bucket).drop("_cuts")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import fusion, lexical, metrics, pools, splits
+from matchloom.operators import fusion, learn, lexical, metrics, pools, splits
 from matchloom.operators.embedding import TfidfSvd, build_backend, nearest, right_vectors
 from matchloom.operators.running import running_sums, shuffled_index
 
@@ -202,3 +202,57 @@ def test_svd_has_the_sizes_of_the_final_run_and_the_true_vectors(spark):
     texts = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j * j) % 400}" for j in range(40))) for i in range(150)], "id long, text string")
     fitted = build_backend().fit(texts)
     assert len(fitted.vocabulary) > 2000 and fitted.projection.shape == (len(fitted.vocabulary), 96) and np.allclose(fitted.projection.T @ fitted.projection, np.eye(96))
+
+
+def test_running_sums_with_an_outlier_and_one_part(spark):
+    rows = [(float(i), 1) for i in range(3000)] + [(1e18, 5), (-1e18, 7)]
+    got = {r["x"]: (r["v_before"], r["v_upto"]) for r in running_sums(spark.createDataFrame(rows, "x double, v int").repartition(3), [], "x", ["v"]).collect()}
+    assert got[-1e18] == (0, 7) and got[1e18] == (3007, 3012) and all(got[float(i)] == (7 + i, 8 + i) for i in range(3000))
+
+
+def test_many_groups_are_placed_by_hash(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 1000, F.lit("big")).when(F.col("id") < 2990, F.concat(F.lit("g"), (F.col("id") % 400).cast("string"))).alias("source"))
+    rows = splits.group_folds(df, "source", largest=10).collect()
+    folds = {}
+    for r in rows:
+        folds.setdefault(r["source"], set()).add(r["fold"])
+    assert len(rows) == 2990 and len(folds) == 401 and all(len(f) == 1 for f in folds.values()) and set().union(*folds.values()) == set(range(5))
+    rest = Counter(r["fold"] for r in rows if r["source"] != "big")
+    assert min(rest.values()) > 200
+
+
+def test_hot_terms_have_the_same_weights(spark, monkeypatch):
+    left = spark.createDataFrame([(i, f"common word{i % 7} common thing{i}") for i in range(60)], "l long, text string")
+    right = spark.createDataFrame([(i, f"common word{i} other") for i in range(5)], "r long, text string")
+    pairs = left.select("l", (F.col("l") % 5).alias("r"))
+    found = []
+    for hot in (0, 64, 10**9):
+        monkeypatch.setattr(lexical, "HOT", hot)
+        found.append(sorted((r["l"], r["r"], round(r["tfidf"], 12)) for r in lexical.tfidf_pairs(left, right, pairs).collect()))
+    assert found[0] == found[1] == found[2] and any(t > 0 for *_, t in found[0])
+    other = lexical.tfidf_pairs(left, right, pairs, stop_words=["common"]).collect()
+    assert sum(r["tfidf"] for r in other) < sum(t for *_, t in found[0])
+
+
+def test_linear_models_against_their_closed_forms(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2)) * [1.0, 20.0]
+    y = x @ [2.0, -0.1] + rng.normal(size=200)
+    label = (rng.random(200) < 1 / (1 + np.exp(-(x @ [1.0, 0.05])))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), float(t), int(c)) for i, ((a, b), t, c) in enumerate(zip(x, y, label, strict=True))], "id long, a double, b double, t double, c int")
+    _, ridge = learn.train_regressor(df, ["a", "b"], "t", 1, "id", ("Ridge",))
+    centred = x - x.mean(axis=0)
+    want = np.linalg.solve(centred.T @ centred + np.eye(2), centred.T @ (y - y.mean()))
+    assert np.allclose(ridge.stages[-1].coefficients.toArray(), want, atol=1e-8)
+    _, logistic = learn.train_classifier(df, ["a", "b"], "c", 1, "id", ("LogisticRegression",))
+    design, w = np.column_stack([x, np.ones(200)]), np.zeros(3)
+    weight = np.where(label == 1, 100 / label.sum(), 100 / (200 - label.sum()))
+    for _ in range(50):  # Newton's method on the penalised, balanced likelihood
+        p = 1 / (1 + np.exp(-design @ w))
+        grad = design.T @ (weight * (p - label)) + [w[0], w[1], 0]
+        hess = design.T @ (design * (weight * p * (1 - p))[:, None]) + np.diag([1.0, 1.0, 0.0])
+        w -= np.linalg.solve(hess, grad)
+    model = logistic.stages[-1]
+    assert np.allclose([*model.coefficients.toArray(), model.intercept], w, atol=1e-4)
+    scored = {r["id"]: r["score"] for r in learn.with_probability(logistic, df, "score").collect()}
+    assert all(abs(scored[i] - 1 / (1 + np.exp(-design[i] @ w))) < 1e-4 for i in range(200))
