@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -25,3 +25,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{root.rstrip('/')}/matchloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file(path: str) -> tuple:
+    """The path, and its file system, as Spark resolves it: local, or shared by the cluster."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration()), spark
+
+
+def write_text(path: str, text: str) -> None:
+    where, files, _ = _file(path)
+    out = files.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(path: str) -> str:
+    where, files, spark = _file(path)
+    held = files.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(held)).decode()
+    finally:
+        held.close()

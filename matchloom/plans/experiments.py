@@ -1,13 +1,16 @@
 """Composite experiments on records ``idx, resume_text, job_text, requirement_text, raw_score`` (``idx`` long and unique).
 
-Budgets, seeds, folds and thresholds are columns. Only the training of models loops on the driver; each loop step is a Spark job over all rows.
+Budgets, seeds, folds and thresholds are columns. Only the training of models loops on the driver, a few at a time; each loop step is a Spark job over all rows.
 """
 
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from matchloom.operators.storage import stored
 from matchloom.sources import records as R
 from matchloom.sources import sinks
 
+#: Models that are trained at the same time.
+PARALLEL = 4
 EPSILONS = [0.5, 1.0, 2.0, 4.0, 8.0]
 THRESHOLDS = [6.5, 7.0, 7.5]
 MODES = {"fast": {"folds": 3, "seeds": [3407]}, "final": {"folds": 5, "seeds": splits.SEEDS}}
@@ -123,10 +128,16 @@ def _splits(held: DataFrame) -> list[tuple[int, int]]:
     return sorted((r["seed"], r["fold"]) for r in held.select("seed", "fold").distinct().collect())
 
 
+def _each(job: Callable[[tuple], Any], keys: list[tuple]) -> dict:
+    """The result of each key's Spark jobs, ``PARALLEL`` keys at a time: small jobs of one key leave most of a cluster idle."""
+    with ThreadPoolExecutor(PARALLEL) as threads:
+        return dict(zip(keys, threads.map(job, keys), strict=True))
+
+
 def fitted_models(held: DataFrame, features: list[str], label: str = "binary_label", models: tuple[str, ...] = learn.CLASSIFIERS, small: bool = False) -> dict:
     """(name, model) of each (seed, fold), from its training rows."""
     rows = lambda seed, fold: held.where((F.col("seed") == seed) & (F.col("fold") == fold) & ~F.col("is_test"))
-    return {(seed, fold): learn.train_classifier(rows(seed, fold), features, label, seed, "idx", models, small) for seed, fold in _splits(held)}
+    return _each(lambda k: learn.train_classifier(rows(*k), features, label, k[0], "idx", models, small), _splits(held))
 
 
 def learned_rows(held: DataFrame, features: list[str], method: str, label: str = "binary_label", models: tuple[str, ...] = learn.CLASSIFIERS, small: bool = False, fitted: dict | None = None) -> tuple[DataFrame, list[dict]]:
@@ -151,9 +162,10 @@ def core_prediction(table: DataFrame, mode: str = "fast", small: bool = False, m
 
     wide = stored(heuristic_scores(held.where("is_test"), ["seed", "fold"]), "heuristics")
     raw = fusion.to_long(wide, ["seed", "fold", "idx", "raw_score"], [*HEURISTICS, "hand_fusion"])
-    for seed, fold in _splits(held):
-        rows = held.where((F.col("seed") == seed) & (F.col("fold") == fold))
-        _, model = learn.train_regressor(rows.where(~F.col("is_test")), learn.FEATURES, "raw_score", seed, "idx", regressors, small)
+    part = lambda seed, fold: held.where((F.col("seed") == seed) & (F.col("fold") == fold))
+    regressed = _each(lambda k: learn.train_regressor(part(*k).where(~F.col("is_test")), learn.FEATURES, "raw_score", k[0], "idx", regressors, small), _splits(held))
+    for (seed, fold), (_, model) in regressed.items():
+        rows = part(seed, fold)
         raw = raw.unionByName(stored(learn.with_prediction(model, rows.where("is_test"), "score").select("seed", "fold", "idx", "raw_score", F.lit("learned_fusion").alias("method"), "score"), "regressed"))
     regression = metrics.errors(raw, keys, "score", "raw_score").join(metrics.correlations(raw.withColumn("score", F.round("score", 9)), keys, "score", "raw_score"), keys)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.text import assemble, either, safe_list, safe_text
 from matchloom.operators.fusion import label_of, raw_score
+from matchloom.operators.storage import read_text
 
 #: The keys of a raw record and of its three blocks.
 BLOCK_KEYS = {
@@ -212,7 +213,7 @@ def read_matrix(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_metadata(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(read_text(path))
 
 
 def fullest_snapshot(root: str) -> str:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 from functools import reduce
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.operators.storage import write_text
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One object a line; null fields stay."""
@@ -48,7 +49,8 @@ def write_dp_scores(df: DataFrame, path: str) -> None:
 
 
 def write_metadata(path: str, values: dict) -> None:
-    Path(path).write_text(json.dumps(values, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+    """One JSON file, on whatever file system Spark knows by the path."""
+    write_text(path, json.dumps(values, indent=2, ensure_ascii=False, default=str) + "\n")
 
 
 def statistics(df: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
