@@ -31,6 +31,8 @@ BANDS, ROWS = 48, 6
 BLOCK_SHINGLES, ANCHORS = 50_000, 8
 #: So many groups above that size are broadcast, a row each; more are joined by shuffle.
 BROADCAST_GROUPS = 100_000
+#: So many members of groups, four numbers each, are broadcast to the texts; more are joined by shuffle.
+BROADCAST_MEMBERS = 1_000_000
 
 
 def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
@@ -239,8 +241,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verified(tasks: DataFrame) -> DataFrame:
         """Links among the members of each task: ``component, a, b`` name it, ``doc_id`` is the member."""
-        # Of a repeated id all rows come along, as nodes of that id, and the search links them by their own sets.
-        texts = rows_in.join(tasks, "doc_id").select("component", "a", "b", "doc_id", "text")
+        tasks = materialize(tasks, "tasks")
+        # Texts move once, to their tasks, while the members' ids fit a broadcast. Of a repeated id all rows come along, as nodes of that id,
+        # and the search links them by their own sets.
+        texts = rows_in.join(F.broadcast(tasks) if tasks.count() <= BROADCAST_MEMBERS else tasks, "doc_id").select("component", "a", "b", "doc_id", "text")
         return texts.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "doc_id").mapInArrow(_verify(width, num, den), "u long, v long")
 
     blocks = F.when(F.col("anchor"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("block"))
