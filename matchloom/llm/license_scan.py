@@ -1,7 +1,7 @@
 """Licence scans by diagonal voting, as DataFrame code.
 
-1. every whole text becomes its word 2-grams with positions; Spark joins them by 64-bit hash, and then by the words
-   themselves, to the positions of the templates' 2-grams;
+1. every whole text becomes its word 2-grams with positions (with few templates those of the templates' words alone);
+   Spark joins them by 64-bit hash, and then by the words themselves, to the positions of the templates' 2-grams;
 2. a hit at document position p and template position q votes for the diagonal p - q. Votes are summed by (document,
    template, diagonal), on the map side first;
 3. diagonals of a template that lie next to each other, no more than ``gap`` words apart, are merged: a word put in or left
@@ -51,8 +51,13 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Words: runs of letters, digits and characters beyond ASCII, A-Z lower-cased; null counts as empty."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """Words: runs of letters, digits and characters beyond ASCII, A-Z lower-cased; null counts as empty.
+
+    ``translate`` makes an object of every character; of a text in ASCII alone ``lower`` changes A-Z alone and makes none.
+    """
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -> DataFrame:
@@ -69,20 +74,36 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -
     return spark.createDataFrame(rows, "template int, kind string, label string, gram string, q int, n_grams int")
 
 
+#: Words of so many 2-grams at most are looked up in the texts before the join; of more, every 2-gram of a text goes to it.
+LISTED_GRAMS = 10_000
 #: The entry that stands at the end of every text: it joins to a template of its own and brings the text's number of words.
 _END = ""
 
 
+def _entries(docs: DataFrame, templates: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """``keys, p, g``: of each text its 2-grams, and its end at p = its number of words, so that the words are cut once.
+
+    With few templates only 2-grams of a first and a second word that some template has are made; no other can hit.
+    """
+    words = docs.select(*keys, words_of(F.col(text_col)).alias("w"))
+    listed = [r[0].split(" ") for r in templates.select("gram").distinct().limit(LISTED_GRAMS + 1).collect()]
+    first, second = (sorted({x[i] for x in listed}) for i in (0, 1))
+
+    def gram(x: Column, i: Column) -> Column:
+        made = F.struct(i.alias("p"), F.concat(F.col("w")[i], F.lit(" "), x).alias("g"))
+        return made if len(listed) > LISTED_GRAMS else F.when(x.isin(second) & F.col("w")[i].isin(first), made)
+
+    grams = F.filter(F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), gram), lambda x: x.isNotNull())
+    return words.select(*keys, F.inline(F.array_append(grams, F.struct(F.size("w").alias("p"), F.lit(_END).alias("g")))))
+
+
 def _hits(docs: DataFrame, templates: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``keys, template, kind, label, n_grams, q, p`` of every hit, and of the end of every text, at p = its number of words.
 
     Few templates are broadcast. Many meet by a shuffle only the 2-grams that a Bloom filter of bounded size lets pass, hot ones
     split by the adaptive join; ends of texts never go along under one key, they keep to hashes of their rows.
     """
-    words = docs.select(*keys, words_of(F.col(text_col)).alias("w"))
-    # Of each text its 2-grams and its end, so that the words are cut once.
-    grams = F.expr(f"array_append(transform(slice(w, 2, greatest(size(w), 1)), (x, i) -> named_struct('p', i, 'g', concat(w[i], ' ', x))), named_struct('p', size(w), 'g', '{_END}'))")
-    entries = words.select(*keys, F.inline(grams))
+    entries = _entries(docs, templates, keys, text_col)
     end = docs.sparkSession.createDataFrame([(-1, "end", "", _END, 0, 0)], templates.schema)
     keyed = templates.unionByName(end).withColumn("h", F.xxhash64("gram"))
     count = templates.count()

@@ -59,3 +59,14 @@ def test_only_ascii_is_lower_cased(docs):
     t = [("this wor\u212a is", "x")]
     assert [r.labels for r in scan_licenses(docs([(1, "THIS WORK IS")]), phrases=t, notices=[("no such words", "y")]).collect()] == [""]
     assert [r.n_base for r in scan_licenses(docs([(1, "THIS WOR\u212a IS")]), phrases=t, notices=[("no such words", "y")]).collect()] == [1]
+
+
+def test_only_what_can_hit_leaves_a_text(docs, monkeypatch):
+    t = template_table(docs([]).sparkSession, [("base", "mit license", "mit"), ("notice", "under the mit license", "mit")])
+    rows = docs([(1, "plain words " * 5000 + "under the MIT license"), (2, "the license mit"), (3, "Kelvin " * 3), (4, None)])
+    assert sorted(tuple(r) for r in license_scan._entries(rows, t, ["doc_id"], "text").collect()) == [
+        (1, 10000, "under the"), (1, 10001, "the mit"), (1, 10002, "mit license"), (1, 10004, ""), (2, 0, "the license"), (2, 3, ""), (3, 3, ""), (4, 0, "")]
+    few = {r.doc_id: tuple(r) for r in scan_licenses(rows).collect()}
+    monkeypatch.setattr(license_scan, "LISTED_GRAMS", 1)
+    assert license_scan._entries(rows, t, ["doc_id"], "text").count() == 10003 + 1 + 2 + 1 + 2 + 1 + 1
+    assert {r.doc_id: tuple(r) for r in scan_licenses(rows).collect()} == few
