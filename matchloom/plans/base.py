@@ -29,7 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(c: Column, places: int = 6) -> Column:
-    return F.round(c, places) + F.lit(0.0)  # no negative zero
+    """Rounded as SQL does it: what a negative number leaves is a negative zero, which Spark's own rounding drops."""
+    r = F.round(c, places)
+    return F.when(r == 0, c * F.lit(0.0)).otherwise(r)
 
 
 def own_items(spark: SparkSession, sf_dir: str, docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -59,3 +59,12 @@ def test_noise_is_normal_repeatable_and_keyed(spark):
     assert abs(fresh - 1) < 0.05
     p = spark.range(200).select(V.private_vector(F.array(F.lit(3.0), F.lit(4.0)), V.keyed_noise(F.lit(2), F.lit(1), F.lit("l"), F.col("id")), F.lit(0.5)).alias("v")).select(V.norm(F.col("v")).alias("n"))
     assert all(math.isclose(r["n"], 1.0) for r in p.collect())
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    from matchloom.plans.base import rounded
+
+    df = spark.createDataFrame([([-1e-9, 1e-9, -0.0, 0.0, -0.1234567],)], "v array<double>")
+    unit = df.select(F.transform("v", lambda x: rounded(x)).alias("u")).first()["u"]
+    assert [math.copysign(1, x) for x in unit] == [-1, 1, -1, 1, -1] and unit == [0, 0, 0, 0, -0.123457]
+    assert str(df.select(rounded(F.col("v")[0]).alias("x")).first()["x"]) == "-0.0"
