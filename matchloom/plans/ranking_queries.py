@@ -300,9 +300,8 @@ kq AS MATERIALIZED (SELECT doc_id, {tset('text')} AS a FROM lp)"""
 SELECT doc_id AS query, item_id AS cand, round(0.45 * jaccard + 0.2 * requirement + 0.1 * additional + 1e-10, 6) AS overall, round(0.45 * jaccard + 0.25 * requirement + 0.15 * additional + 1e-10, 6) AS consistency FROM kc""")
 def knowledge_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The knowledge score of all pairs of labelled documents and items; an item's sentences are its requirements, and it has no criteria."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("idx"), F.col("text").alias("resume_text"), F.lit(None).cast("string").alias("job_text"), F.lit(None).cast("array<string>").alias("minimum_requirements"))
-    items = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("idx"), F.lit(None).cast("string").alias("resume_text"), F.col("text").alias("job_text"), requirements(F.col("text")).alias("minimum_requirements"))
-    pairs = matrices.all_pairs(docs.select(F.col("idx").alias("query")), items.select(F.col("idx").alias("cand")))
-    found = matrices.knowledge_scores(docs.unionByName(items), pairs)
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("idx"), F.col("text").alias("resume_text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("job_text"), requirements(F.col("text")).alias("minimum_requirements"))
+    found = matrices.knowledge_matrix(docs, items)
     # A little more, so that no engine finds a tie to round.
-    return found.select("query", (-1 - F.col("cand")).alias("cand"), rounded(F.col("overall") + 1e-10).alias("overall"), rounded(F.col("consistency") + 1e-10).alias("consistency"))
+    return found.select("query", "cand", rounded(F.col("overall") + 1e-10).alias("overall"), rounded(F.col("consistency") + 1e-10).alias("consistency"))

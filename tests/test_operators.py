@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import fusion, learn, lexical, metrics, pools, splits
+from matchloom.operators import fusion, learn, lexical, matrices, metrics, pools, splits
 from matchloom.operators.embedding import TfidfSvd, build_backend, nearest, right_vectors
 from matchloom.operators.running import running_sums, shuffled_index
 
@@ -256,3 +256,20 @@ def test_linear_models_against_their_closed_forms(spark):
     assert np.allclose([*model.coefficients.toArray(), model.intercept], w, atol=1e-4)
     scored = {r["id"]: r["score"] for r in learn.with_probability(logistic, df, "score").collect()}
     assert all(abs(scored[i] - 1 / (1 + np.exp(-design[i] @ w))) < 1e-4 for i in range(200))
+
+
+def test_knowledge_matrix_equals_the_scores_of_all_pairs_and_moves_no_text(spark):
+    resumes = [(i, t) for i, t in enumerate(["python sql spark teamwork", "java", "", None, "sql sql python team lead communication"])]
+    jobs = [(10, "python spark java", ["python sql", "", "java"], "team lead", {"sql": 60.0, "team work": 0.0, "!": 5.0}, {"lead": 40.0}),
+            (11, "", [], "", None, None), (12, None, None, None, {"java spark": None}, {"python": 10.0}), (13, "sql", ["sql sql"], "sql", {}, {})]
+    kinds = "minimum_requirements array<string>, additional_info string, macro_dict map<string,double>, micro_dict map<string,double>"
+    r = spark.createDataFrame(resumes, "idx long, resume_text string")
+    j = spark.createDataFrame(jobs, f"idx long, job_text string, {kinds}")
+    both = r.unionByName(j, allowMissingColumns=True)
+    pairs = matrices.all_pairs(r.select(F.col("idx").alias("query")), j.select(F.col("idx").alias("cand")))
+    want = sorted(tuple(x) for x in matrices.knowledge_scores(both, pairs).select("query", "cand", "overall", "consistency").collect())
+    matrix = matrices.knowledge_matrix(r, j)
+    got = sorted(tuple(x) for x in matrix.collect())
+    assert len(got) == 20 and [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2:] for x in got], [x[2:] for x in want], atol=1e-12)
+    assert "Exchange" not in matrix._jdf.queryExecution().executedPlan().toString()
+    assert matrices.knowledge_matrix(r, j.where("false")).count() == 0
