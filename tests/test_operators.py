@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import fusion, learn, lexical, matrices, metrics, pools, splits
-from matchloom.operators.embedding import TfidfSvd, build_backend, nearest, right_vectors
+from matchloom.operators import embedding, fusion, learn, lexical, matrices, metrics, pools, splits
+from matchloom.operators.embedding import TfidfSvd, all_cosines, build_backend, nearest, right_vectors
 from matchloom.operators.running import running_sums, shuffled_index
 
 
@@ -273,3 +273,31 @@ def test_knowledge_matrix_equals_the_scores_of_all_pairs_and_moves_no_text(spark
     assert len(got) == 20 and [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2:] for x in got], [x[2:] for x in want], atol=1e-12)
     assert "Exchange" not in matrix._jdf.queryExecution().executedPlan().toString()
     assert matrices.knowledge_matrix(r, j.where("false")).count() == 0
+
+
+def test_blocks_find_the_first_among_many_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(900, 4)), 1)
+    v[::3] = v[0]
+    v[5] = np.nan
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    m = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cosines = np.where(np.isnan(m @ m.T), -np.inf, np.round(m @ m.T, 9))
+    np.fill_diagonal(cosines, -np.inf)
+    want = np.argsort(-cosines, axis=1, kind="stable")
+    for block in (100, 32_768):
+        got = {(r["id"], r["rank"]): r["other"] for r in nearest(e, e, 3, block=block).collect()}
+        assert len(got) == 899 * 3 and all([got[i, r + 1] for r in range(3)] == want[i, :3].tolist() for i in range(900) if i != 5)
+    pairs = all_cosines(e.where("id > 5 and id < 50"), e.where("id > 800"), "s", block=30)
+    moved = {(r["query"], r["cand"]): r["s"] for r in pairs.collect()}
+    assert len(moved) == 44 * 99 and all(abs(s - (m @ m.T)[i, j]) < 5.1e-7 for (i, j), s in moved.items())
+
+
+def test_a_block_of_scores_is_bounded_and_has_no_full_sort():
+    rng = np.random.default_rng(6)
+    scores = np.round(rng.random((40, 5000)), 3)
+    scores[3] = 0.5
+    row, at, x = embedding._first(scores.copy(), 5)
+    for r in range(40):
+        want = np.argsort(-scores[r], kind="stable")[:5]
+        assert at[row == r].tolist() == want.tolist() and np.array_equal(x[row == r], scores[r][want])
