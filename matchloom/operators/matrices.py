@@ -1,6 +1,6 @@
 """Score matrices in long form: a row for each query and candidate.
 
-They are quadratic by contract. Whole matrices are made from blocks: ``knowledge_matrix`` and ``vector_matrix`` move neither texts nor
+They are quadratic by contract. Whole matrices are made from blocks: ``knowledge_matrix`` and ``embedding.all_cosines`` move neither texts nor
 vectors for each pair. Where pairs are given, ids alone are paired, and vectors and token sets join the pairs.
 """
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as V
 from matchloom.operators import matrices, metrics
-from matchloom.operators.embedding import nearest
+from matchloom.operators.embedding import all_cosines, nearest
 from matchloom.operators.storage import stored
 from matchloom.plans.base import query, rounded, table
 
@@ -147,6 +147,7 @@ SELECT q.vec_id AS query, c.vec_id AS cand, round(list_dot_product(q.w, c.w) / (
 def noisy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of vectors of class 1 and class 0 under noise at a budget of 2, clipped before it at 1 and after it at 2."""
     e = embeddings(spark, sf_dir)
-    noisy = matrices.noisy_vectors(e.select(F.col("vec_id").alias("idx"), F.col("v").alias("rv"), F.col("v").alias("jv")), 2.0)
-    pairs = matrices.all_pairs(e.where("label = 1").select(F.col("vec_id").alias("query")), e.where("label = 0").select(F.col("vec_id").alias("cand")))
-    return matrices.vector_scores(stored(noisy, "noisy"), pairs, "score").withColumn("score", rounded(F.col("score")))
+    noisy = matrices.noisy_vectors(e.where("label in (0, 1)").select(F.col("vec_id").alias("idx"), F.col("v").alias("rv"), F.col("v").alias("jv")), 2.0)
+    side = lambda label, c: held.where(F.col("label") == label).select(F.col("idx").alias("id"), F.col(c).alias("v"))
+    held = stored(noisy.join(e.select(F.col("vec_id").alias("idx"), "label"), "idx"), "noisy")
+    return all_cosines(side(1, "rv"), side(0, "jv"), "score")
