@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
-from matchloom.operators import fusion, lexical, matrices, pools, splits
+from matchloom.operators import fusion, lexical, matrices, pools, retrieval, splits
 from matchloom.operators.embedding import nearest
+from matchloom.operators.postings import hashed
 from matchloom.operators.storage import stored
 from matchloom.plans.base import PAIRS, jac, own_items, query, requirements, rounded, share, table, toks, tset
 from matchloom.plans.score_queries import _ITEMS, _STOP, _bm25_sql
@@ -272,22 +273,11 @@ def retrieval_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents against all items by several methods, fusion scaled over the whole matrix: ranks of positives, consistency of every document's first item, spread of the scores."""
     items = table(spark, sf_dir, "benchmark")
     n = items.count()
-    docs = stored(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "text", F.pmod("doc_id", F.lit(n)).alias("own"), T.token_set(F.col("text")).alias("a")), "labelled")
-    pairs = matrices.all_pairs(docs.select(F.col("doc_id").alias("query")), items.select(F.col("item_id").alias("cand")))
-    sets = items.select(F.col("item_id").alias("cand"), T.token_set(F.col("text")).alias("b"))
-    met = pairs.join(docs.select(F.col("doc_id").alias("query"), "own", "quality", "a"), "query").join(sets, "cand")
-    grid = met.select("query", "own", "quality", "cand", T.jaccard(F.col("a"), F.col("b")).alias("jaccard"), T.overlap(F.col("a"), F.col("b")).alias("kg"))
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    asked = stored(docs.select(F.col("doc_id").alias("query"), "quality", F.pmod("doc_id", F.lit(n)).alias("own"), hashed(T.tokenize(F.col("text"))).alias("tokens")), "labelled")
     postings, _ = lexical.bm25_index(items.select(F.col("item_id").alias("cand"), "text"), [], "cand")
-    bm25 = lexical.bm25_scores(docs.select(F.col("doc_id").alias("query"), "text"), "query", postings, [], "cand")
-    whole = stored(grid.join(bm25, ["query", "cand"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))), "grid")
-    fused = fusion.fuse(whole, {"bm25": 0.55, "kg": 0.45}, "retrieval_fusion")
-    long = stored(fusion.to_long(fused, ["query", "own", "quality", "cand", "jaccard"], [m for m in _BY_METHOD if m != "jaccard"]).unionByName(
-        fused.select("query", "own", "quality", "cand", "jaccard", F.lit("jaccard").alias("method"), F.col("jaccard").alias("score"))).withColumn("score", F.round("score", 9)), "retrieval")
-    ranks = stored(matrices.ranks_in_matrix(long, ["method", "query"], "own"), "ranks")
-    judged = pools.mean_rank_metrics(ranks.join(docs.where("quality = 1").select(F.col("doc_id").alias("query")), "query"), ["method"])
-    consistent = ranks.join(whole.select("query", F.col("cand").alias("top"), "jaccard"), ["query", "top"]).groupBy("method").agg(F.avg("jaccard").alias("consistency"))
-    spread = long.groupBy("method").agg(F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"))
-    found = judged.join(consistent, "method").join(spread, "method")
+    sets = items.select(F.col("item_id").alias("cand"), hashed(T.token_set(F.col("text"))).alias("b"))
+    found = retrieval.judged(asked, sets, postings, {"bm25": 0.55, "kg": 0.45})
     return found.select(*(rounded(F.col(c)).alias(c) if t == "double" else c for c, t in found.dtypes))
 
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import embedding, fusion, learn, lexical, matrices, metrics, pools, splits
+from matchloom.functions import text as T
+from matchloom.operators import embedding, fusion, learn, lexical, matrices, metrics, pools, postings, retrieval, splits
 from matchloom.operators.embedding import TfidfSvd, all_cosines, build_backend, nearest, right_vectors
 from matchloom.operators.running import running_sums, shuffled_index
 
@@ -301,3 +302,29 @@ def test_a_block_of_scores_is_bounded_and_has_no_full_sort():
     for r in range(40):
         want = np.argsort(-scores[r], kind="stable")[:5]
         assert at[row == r].tolist() == want.tolist() and np.array_equal(x[row == r], scores[r][want])
+
+
+def test_retrieval_is_judged_without_a_row_for_each_pair(spark):
+    random.seed(8)
+    words = ["spark", "sql", "java", "graph", "model", "data"]
+    text = lambda n: " ".join(random.choice(words) for _ in range(random.randrange(0, n)))
+    asked, jobs = [(i, i % 2, i % 5, text(9)) for i in range(30)], [(i, text(6)) for i in range(5)]
+    q = spark.createDataFrame(asked, "query long, quality int, own long, text string")
+    d = spark.createDataFrame(jobs, "cand long, text string")
+    index, _ = lexical.bm25_index(d, [], "cand")
+    bm25 = {(r["query"], r["cand"]): r["bm25"] for r in lexical.bm25_scores(q.select("query", "text"), "query", index, [], "cand").collect()}
+    tokens = lambda df, out: df.withColumn(out, postings.hashed(T.tokenize(F.col("text"))))
+    judged = retrieval.judged(tokens(q, "tokens"), tokens(d, "b").withColumn("b", F.array_distinct("b")), index, {"bm25": 0.55, "kg": 0.45})
+    assert "Generate" not in judged._jdf.queryExecution().executedPlan().toString()
+    got = {r["method"]: r for r in judged.collect()}
+    a, b = [set(x[3].split()) for x in asked], [set(x[1].split()) for x in jobs]
+    m = {"jaccard": np.array([[len(x & y) / len(x | y) if x | y else 1.0 for y in b] for x in a]), "kg": np.array([[len(x & y) / len(y) if y else 0.0 for y in b] for x in a]),
+         "bm25": np.array([[bm25.get((i, j), 0.0) for j in range(5)] for i in range(30)])}
+    m["retrieval_fusion"] = sum(w * (m[k] - m[k].min()) / (m[k].max() - m[k].min()) for k, w in (("bm25", 0.55), ("kg", 0.45)))
+    for name, x in m.items():
+        x = np.round(x, 9)
+        order = np.argsort(-x, axis=1, kind="stable")
+        rank = np.array([order[i].tolist().index(i % 5) + 1 for i in range(30) if i % 2])
+        assert got[name]["queries"] == 15 and got[name]["mrr"] == pytest.approx((1 / rank).mean()) and got[name]["recall_at_5"] == 1 and got[name]["hit_at_1"] == pytest.approx((rank == 1).mean())
+        assert got[name]["consistency"] == pytest.approx(m["jaccard"][np.arange(30), order[:, 0]].mean())
+        assert (got[name]["score_mean"], got[name]["score_std"]) == (pytest.approx(x.mean()), pytest.approx(x.std()))
