@@ -328,3 +328,11 @@ def test_retrieval_is_judged_without_a_row_for_each_pair(spark):
         assert got[name]["queries"] == 15 and got[name]["mrr"] == pytest.approx((1 / rank).mean()) and got[name]["recall_at_5"] == 1 and got[name]["hit_at_1"] == pytest.approx((rank == 1).mean())
         assert got[name]["consistency"] == pytest.approx(m["jaccard"][np.arange(30), order[:, 0]].mean())
         assert (got[name]["score_mean"], got[name]["score_std"]) == (pytest.approx(x.mean()), pytest.approx(x.std()))
+
+
+def test_hashed_terms_are_counted_without_an_exchange(spark):
+    docs = spark.createDataFrame([(1, None, ["a", "b", "a"]), (2, 5, []), (3, 6, None), (4, 7, ["b"])], "id long, mate long, _t array<string>")
+    counts = lexical.term_counts(docs, ["id", "mate"])
+    h = {w: spark.range(1).select(F.xxhash64(F.lit(w)).alias("h")).first()["h"] for w in "ab"}
+    assert sorted(map(tuple, counts.collect()), key=repr) == sorted([(1, None, h["a"], 2), (1, None, h["b"], 1), (4, 7, h["b"], 1)], key=repr)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
